@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash
-from .common import materialize, table
+from . import bpe, html, language, mixing, neighbours, quality, secrets, sharding, simhash, warc
+from .common import table
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -14,19 +14,45 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_rules(documents.select("doc_id", "text"), model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op2_html(spark, sf_dir):
+    return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_sharding(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     slot_map = sharding.SlotMap(spark).create(sharding.slot_bytes(documents))
     return sharding.shard_documents(documents, slot_map).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_warc(spark, sf_dir):
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.with_hex(simhash.simhash_components(table(spark, sf_dir, "documents")))
 
 
+def op8_language(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.train_language(documents))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_sharding, op7_simhash, op9_mixing)}
+def op10_secrets(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html, op3_sharding, op4_bpe, op5_neighbours, op6_warc, op7_simhash, op8_language, op9_mixing, op10_secrets)}
 ORACLES: dict[str, str] = {}
