@@ -43,7 +43,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.open, self.names, self.made = [], [], {}, 0
-        self.text, self.tags = [], 0
+        self.text, self.tags, self.silent = [], 0, None
 
     def _skipped(self, tag: str, attrs: list, inside: list) -> bool:
         if tag in SKIPPED or tag == "header" and not any(n in ("article", "main") for n, _, _ in inside):
@@ -67,7 +67,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        if tag in BLOCKS:
+        if tag in BLOCKS and self.silent is None:
             self.cut()
         if tag == "br":
             self.text.append(" ")
@@ -77,18 +77,23 @@ class _Lines(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1) if ended else ():
             name = self.open[k][0]
             if name in ended:
-                del self.open[k:]
+                self._close(k)
                 break
             if name in _BARRIER:
                 break
         above = bool(self.open) and self.open[-1][2]
         skipped = above or self._skipped(tag, attrs, self.open)
-        if skipped and not above:
-            self.cut()
+        if skipped and not above and tag not in BLOCKS:  # in the middle of a line: its data is dropped and the line goes on
+            self.silent = self.made
         self.open.append((tag, self.made, skipped))
         self.names[self.made] = tag
         self.made += 1
 
+    def _close(self, k: int) -> None:
+        if self.silent is not None and self.silent >= self.open[k][1]:
+            self.silent = None
+        del self.open[k:]
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -98,15 +103,16 @@ class _Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                if tag in BLOCKS or self.open[k][2]:
+                if tag in BLOCKS and (self.silent is None or self.silent >= self.open[k][1]):
                     self.cut()
-                del self.open[k:]
+                self._close(k)
                 return
             if tag not in _BARRIER and self.open[k][0] in _BARRIER:
                 return
 
     def handle_data(self, data):
-        self.text.append(data)
+        if self.silent is None:
+            self.text.append(data)
 
 
 def smooth(ratios: np.ndarray) -> np.ndarray:

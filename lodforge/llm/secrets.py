@@ -28,7 +28,7 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE, SHORTEST = 6, 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Level of each candidate's tests, false-discovery rate over all, and how often text changes its character class.
-ALPHA, RATE, TEXT_CHANGES = 0.001, 0.01, 0.15
+ALPHA, RATE, TEXT_CHANGES = 0.001, 0.01, 0.3
 MASK = "[SECRET]"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from narrow to wide: pattern of the whole run, alphabet.
