@@ -28,7 +28,7 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE, SHORTEST = 6, 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Level of each candidate's tests, false-discovery rate over all, and how often text changes its character class.
-ALPHA, RATE, TEXT_CHANGES = 0.001, 0.01, 0.3
+ALPHA, RATE, TEXT_CHANGES = 0.001, 0.01, 0.2
 MASK = "[SECRET]"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from narrow to wide: pattern of the whole run, alphabet.
@@ -66,7 +66,7 @@ def base_spans(text: Column) -> Column:
 
 def _two_sided(z: Column) -> Column:
     """Normal tail beyond the absolute value, both sides (error below 2e-7)."""
-    x = F.abs(z) / 2**0.5
+    x = F.least(F.abs(z), F.lit(30.0)) / 2**0.5
     t = 1 / (1 + 0.3275911 * x)
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
@@ -75,38 +75,54 @@ def _total(array: Column, f) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda s, x: s + f(x).cast("double"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _pairs(array: Column) -> Column:
+    return F.arrays_zip(F.slice(array, F.lit(1), F.size(array) - 1).alias("a"), F.slice(array, F.lit(2), F.size(array) - 1).alias("b"))
+
+
 def _battery(token: Column) -> Column:
     """(random, unlike) of a candidate: whether no test rejects uniform characters; minus log of the chance that words look so."""
     core = F.rtrim(token, F.lit("="))
     alphabet = reduce(lambda other, e: F.when(token.rlike(e[0]), F.lit(e[1])).otherwise(other), reversed(ENCODINGS), F.lit(_WIDEST))
-
-    n, k = F.length(core).cast("double"), F.length(alphabet).cast("double")
-    chars = F.filter(F.split(core, ""), lambda c: c != "")
-    squares = _total(F.filter(F.split(alphabet, ""), lambda c: c != ""), lambda c: F.pow(F.length(core) - F.length(F.replace(core, c, F.lit(""))), F.lit(2.0)))
-    chi, free = k / n * squares - n, k - 1
-    p_chi = _two_sided(F.greatest(F.lit(0.0), (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))) / 2
-    place = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
-    halves = F.transform(place, lambda x: (x > k / 2).cast("int"))
-    shifted = lambda a: F.arrays_zip(F.slice(a, F.lit(1), F.size(a) - 1).alias("a"), F.slice(a, F.lit(2), F.size(a) - 1).alias("b"))
-    runs = 1 + _total(shifted(halves), lambda x: x["a"] != x["b"])
-    high = _total(halves, lambda x: x)
-    cross = 2 * high * (n - high)
-    p_runs = _two_sided(F.coalesce((runs - cross / n - 1) / F.nullif(F.sqrt(cross * (cross - n) / (n * n * (n - 1))), F.lit(0.0)), F.lit(99.0)))
-    mean = _total(place, lambda x: x) / n
-    spread = _total(place, lambda x: (x - mean) * (x - mean))
-    p_serial = _two_sided(F.coalesce(_total(shifted(place), lambda x: (x["a"] - mean) * (x["b"] - mean)) / F.nullif(spread, F.lit(0.0)) * F.sqrt(n), F.lit(99.0)))
-    kind = F.transform(chars, lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3))
-    share = F.least(_total(shifted(kind), lambda x: x["a"] != x["b"]) / (n - 1), F.lit(0.999))
-    q = TEXT_CHANGES
-    unlike = F.when(share > q, (n - 1) * (share * F.log(share / q) + (1 - share) * F.log((1 - share) / (1 - q)))).otherwise(F.lit(0.0))
-    return F.struct((3 * F.least(p_chi, p_runs, p_serial) >= ALPHA).alias("random"), unlike.alias("unlike"))
+    letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    kind = lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
+
+    def counted(x):
+        return F.struct(x["core"].alias("core"), F.length(x["core"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), letters(x["alphabet"]).alias("alphabet"), F.transform(x["chars"], lambda c: F.instr(x["alphabet"], c).cast("double")).alias("place"), F.transform(x["chars"], kind).alias("kind"))
+
+    def summed(x):
+        squares = _total(x["alphabet"], lambda c: F.pow(F.length(x["core"]) - F.length(F.replace(x["core"], c, F.lit(""))), F.lit(2.0)))
+        halves = F.transform(x["place"], lambda v: (v > x["k"] / 2).cast("int"))
+        return F.struct(
+            x["n"].alias("n"), x["k"].alias("k"), x["place"].alias("place"), (x["k"] / x["n"] * squares - x["n"]).alias("chi"), (1 + _total(_pairs(halves), lambda v: v["a"] != v["b"])).alias("runs"),
+            _total(halves, lambda v: v).alias("high"), (_total(x["place"], lambda v: v) / x["n"]).alias("mean"), F.least(_total(_pairs(x["kind"]), lambda v: v["a"] != v["b"]) / (x["n"] - 1), F.lit(0.999)).alias("share"),
+        )
+
+    def judged(x):
+        n, free, mean, share, q = x["n"], x["k"] - 1, x["mean"], x["share"], TEXT_CHANGES
+        z_chi = F.greatest(F.lit(0.0), (F.pow(x["chi"] / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
+        cross = 2 * x["high"] * (n - x["high"])
+        z_runs = F.coalesce((x["runs"] - cross / n - 1) / F.nullif(F.sqrt(cross * F.greatest(cross - n, F.lit(0.0)) / (n * n * (n - 1))), F.lit(0.0)), F.lit(99.0))
+        spread = _total(x["place"], lambda v: (v - mean) * (v - mean))
+        z_serial = F.coalesce(_total(_pairs(x["place"]), lambda v: (v["a"] - mean) * (v["b"] - mean)) / F.nullif(spread, F.lit(0.0)) * F.sqrt(n), F.lit(99.0))
+        unlike = F.when(share > q, (n - 1) * (share * F.log(share / q) + (1 - share) * F.log((1 - share) / (1 - q)))).otherwise(F.lit(0.0))
+        tails = _let(F.array(z_chi, z_runs, z_serial), lambda z: F.least(_two_sided(z[0]) / 2, _two_sided(z[1]), _two_sided(z[2])))
+        return F.struct((3 * tails >= ALPHA).alias("random"), unlike.alias("unlike"))
+
+    start = F.struct(core.alias("core"), alphabet.alias("alphabet"), letters(core).alias("chars"))
+    return _let(start, lambda x: _let(counted(x), lambda y: _let(summed(y), judged)))
 
 
 def scanned(documents: DataFrame, *columns: str) -> DataFrame:
     """``columns`` with ``base`` (base spans) and ``tested`` (candidates that touch no base span, with their tests)."""
     text = text_or_empty()
     rows = documents.select(*columns, base_spans(text).alias("base"), _spans(text, CANDIDATE, 3).alias("_free"))
-    free = F.filter("_free", lambda c: (F.length(F.rtrim(c["token"], F.lit("="))) >= SHORTEST) & ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    touches = lambda c: lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])
+    free = F.filter("_free", lambda c: (F.length(F.rtrim(c["token"], F.lit("="))) >= SHORTEST) & ~F.exists("base", touches(c)))
     tested = F.transform(free, lambda c: F.struct(c.alias("span"), _battery(c["token"]).alias("test")))
     return rows.select(*columns, "base", tested.alias("tested"))
 
@@ -154,10 +170,11 @@ def redact(documents: DataFrame) -> DataFrame:
 
     def step(state, s):
         fresh = s["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(MASK))).otherwise(state["out"]).alias("out"))
+        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(MASK))
+        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
 
-    folded = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    folded = F.aggregate("__spans", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     clean = F.when(F.size("__spans") > 0, folded).otherwise(text)
     out = rows.select("__row.*", clean.alias("__clean"), (F.size("__spans") > 0).alias("__hit"))
     fresh = {"text": F.col("__clean"), "n_chars": F.when(F.col("__hit"), F.length("__clean").cast("long")).otherwise(F.col("n_chars"))}

@@ -47,7 +47,7 @@ def test_random_runs_are_found_and_words_are_not(spark):
     rows = [(i, f"see {k} here") for i, k in enumerate(keys)] + [(1000 + i, f"see {w} here") for i, w in enumerate(words)]
     found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum("random:4:44" == found[i] for i in range(30)) >= 24
-    assert not any(found[1000 + i] for i in range(len(words)))
+    assert not any("random" in found[1000 + i] for i in range(len(words)))
 
 
 def test_redaction_and_cases(spark):
