@@ -10,6 +10,7 @@ from .test_simhash import brute_components, brute_print
 
 def test_stages_take_effect(spark, small):
     docs = table(spark, small, "documents")
+    docs = docs.union(docs.orderBy("doc_id").limit(1).selectExpr("doc_id + 100000", "concat(text, ' and the password: hunter2hunter2 was left here by the people')", "lang", "source", "n_chars"))
     columns, whole = docs.columns, {r["doc_id"]: r for r in docs.collect()}
     kept = corpus_pipeline.identify_language(spark, docs, small)
     assert kept.columns == columns and kept.count() >= 0.98 * len(whole)
