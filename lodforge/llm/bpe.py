@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP, CACHED, ROUND = 2_000_000, 200_000, 48
+#: Characters of a group of texts, cached words, recursive steps of a round for long words, bytes of a short word, words a query.
+GROUP, CACHED, ROUND, SHORT, WORDS = 1_000_000, 200_000, 32, 48, 20_000
 #: Fixed value: how texts are cut before merging; public_tokenizers.PATTERN by default.
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 
@@ -52,6 +53,25 @@ SELECT w, list(tok ORDER BY pos) AS ids, max(depth) AS depth FROM state s
 WHERE depth = (SELECT max(depth) FROM state t WHERE t.w = s.w) GROUP BY w
 """
 
+#: The same contraction for short words: each row knows its right neighbour, so a step needs hash joins only, no sort.
+_SHORT = """
+WITH RECURSIVE state(w, pos, tok, npos, nxt, depth) AS (
+  SELECT w, pos, tok, npos, nxt, 0::INTEGER FROM fresh
+  UNION ALL
+  (WITH best AS (
+     SELECT w, min(m.id::BIGINT * 65536 + pos) AS b FROM state s JOIN merges m ON m.l = s.tok AND m.r = s.nxt GROUP BY w),
+   spot AS (
+     SELECT b.w, (b.b % 65536)::INTEGER AS p, (b.b // 65536)::INTEGER AS made, s.npos AS gone
+     FROM best b JOIN state s ON s.w = b.w AND s.pos = b.b % 65536),
+   change AS (
+     SELECT spot.*, r.npos AS npos2, r.nxt AS nxt2 FROM spot JOIN state r ON r.w = spot.w AND r.pos = spot.gone)
+   SELECT s.w, s.pos, CASE WHEN s.pos = p THEN made ELSE s.tok END, CASE WHEN s.pos = p THEN npos2 ELSE s.npos END,
+     CASE WHEN s.pos = p THEN nxt2 WHEN s.npos = p THEN made ELSE s.nxt END, s.depth + 1
+   FROM state s JOIN change c ON c.w = s.w WHERE s.pos <> gone)
+)
+SELECT s.w, s.tok FROM state s JOIN (SELECT w, max(depth) AS depth FROM state GROUP BY w) USING (w, depth) ORDER BY s.w, s.pos
+"""
+
 
 def read_ranks(path: str) -> list[bytes]:
     """Token bytes by rank from a file of base64 tokens and ranks."""
@@ -82,7 +102,7 @@ class Bpe:
         l, r, m = (np.array(x, np.int32) for x in (left, right, made))
         lowest = np.full(len(self.tokens), len(self.tokens), np.int64)  # of the merges that a token takes part in
         np.minimum.at(lowest, l, m), np.minimum.at(lowest, r, m)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "temp_directory": tempfile.mkdtemp(prefix="duckdb-")})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "temp_directory": tempfile.mkdtemp(prefix="duckdb-")})
         self.db.register("given", pa.table({"l": l, "r": r, "id": m, "repeats": lowest[m] > m}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
@@ -99,7 +119,35 @@ class Bpe:
         return cls._own[path, pattern]
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """Token ids (little-endian unsigned 32-bit) of each word, by rounds of at most ``ROUND`` recursive steps."""
+        """Token ids (little-endian unsigned 32-bit) of each word."""
+        out: list[bytes] = [b""] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        for i in range(0, len(short), WORDS):
+            part = short[i : i + WORDS]
+            for k, ids in zip(part, self._contract_short([words[k] for k in part]), strict=True):
+                out[k] = ids
+        long = [k for k, w in enumerate(words) if len(w) > SHORT]
+        for k, ids in zip(long, self._contract_long([words[k] for k in long]), strict=True):
+            out[k] = ids
+        return out
+
+    def _contract_short(self, words: list[bytes]) -> list[bytes]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        tokens = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        following = np.append(tokens[1:], np.int32(-1)).astype(np.int32)
+        following[np.cumsum(lengths) - 1] = -1
+        self.db.register("given", pa.table({"w": owner, "pos": place, "tok": tokens, "npos": place + np.int32(1), "nxt": following}))
+        self.db.execute("CREATE OR REPLACE TEMP TABLE fresh AS SELECT * FROM given")
+        self.db.unregister("given")
+        found = self.db.execute(_SHORT).fetchnumpy()
+        ends = np.cumsum(np.bincount(found["w"], minlength=len(words))) * 4
+        raw = np.asarray(found["tok"]).astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
+        """By rounds of at most ``ROUND`` recursive steps."""
         out: list[bytes] = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         tokens = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
