@@ -61,4 +61,12 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html, op3_sharding, op4_bpe, op5_neighbours, op6_warc, op7_simhash, op8_language, op9_mixing, op10_secrets, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+WITH body AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+digest AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM body),
+grouped AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM digest),
+judged AS (SELECT *, payload_bytes >= 100 AND least IS NOT NULL AND page_id IS DISTINCT FROM least AS again FROM grouped)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to FROM judged
+""",
+}
