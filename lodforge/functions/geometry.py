@@ -63,3 +63,15 @@ def to_ecef(lon: Column, lat: Column, height: Column) -> tuple[Column, Column, C
     p, l = F.radians(lat), F.radians(lon)
     n = a / F.sqrt(1 - e2 * F.sin(p) * F.sin(p))
     return (n + height) * F.cos(p) * F.cos(l), (n + height) * F.cos(p) * F.sin(l), (n * (1 - e2) + height) * F.sin(p)
+
+
+def enu_basis(lon: float, lat: float) -> tuple[tuple[Column, ...], ...]:
+    """East, north and up unit vectors of an origin in degrees."""
+    l, p = F.radians(F.lit(lon)), F.radians(F.lit(lat))
+    sl, cl, sp, cp = F.sin(l), F.cos(l), F.sin(p), F.cos(p)
+    return (-sl, cl, F.lit(0.0)), (-sp * cl, -sp * sl, cp), (cp * cl, cp * sl, sp)
+
+
+def to_enu(point: tuple[Column, ...], origin: tuple[Column, ...], basis) -> tuple[Column, ...]:
+    moved = [p - o for p, o in zip(point, origin, strict=True)]
+    return tuple(sum((m * b for m, b in zip(moved, axis, strict=True)), F.lit(0.0)) for axis in basis)

@@ -41,3 +41,15 @@ def is_contained(owner: Column, uri: Column) -> Column:
     parts = F.split(F.concat_ws("/", owner, uri), "/")
     depth = F.aggregate(parts, F.struct(F.lit(0).alias("d"), F.lit(True).alias("ok")), lambda s, p: F.struct(F.when(p == "..", s["d"] - 1).when((p == ".") | (p == ""), s["d"]).otherwise(s["d"] + 1).alias("d"), (s["ok"] & ~((p == "..") & (s["d"] == 0))).alias("ok")))
     return ~uri.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|/)") & depth["ok"]
+
+
+def canonical_uri(uri: Column) -> Column:
+    """Slashes, query and fragment normalised; an absolute reference gives its path; one that climbs out stays marked as relative."""
+    plain = F.regexp_replace(F.regexp_replace(uri, r"\\\\", "/"), r"[?#].*$", "")
+    path = F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    return F.when(plain.rlike(r"^\.\.?/"), F.concat(F.lit("relative:"), plain)).otherwise(path)
+
+
+def human_count(n: Column) -> Column:
+    step = lambda k, unit: F.concat(F.format_string("%.1f", F.round(n / 1000.0**k, 1)), F.lit(unit))
+    return F.when(n >= 1e9, step(3, "B")).when(n >= 1e6, step(2, "M")).when(n >= 1e3, step(1, "K")).otherwise(n.cast("string"))

@@ -191,6 +191,39 @@ on_timing("human_bytes", "SELECT event_id, CASE WHEN decoded < 1024 THEN concat(
 on_timing("human_duration", "SELECT event_id, CASE WHEN decoded >= 3600 THEN concat(lpad(CAST(decoded//3600 AS VARCHAR),2,'0'), ':', lpad(CAST(decoded//60%60 AS VARCHAR),2,'0'), ':', lpad(CAST(decoded%60 AS VARCHAR),2,'0')) ELSE concat(lpad(CAST(decoded//60 AS VARCHAR),2,'0'), ':', lpad(CAST(decoded%60 AS VARCHAR),2,'0')) END AS label FROM (SELECT event_id, decoded % 90000 AS decoded FROM timing)", lambda e: e.select("event_id", t.human_duration(c("decoded") % 90000).alias("label")))
 
 
+# More expressions and small reports
+on_timing("uri_canonical", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('/x/', uri) ELSE concat('relative:../', uri) END AS canonical FROM timing",
+          lambda e: e.select("event_id", t.canonical_uri(F.when(c("event_id") % 2 == 0, F.concat(F.lit("https://t/x/"), c("uri"), F.lit("?c=1"))).otherwise(F.concat(F.lit("../"), c("uri"), F.lit("#a")))).alias("canonical")))
+on_timing("human_count", "SELECT event_id, CASE WHEN decoded >= 1000000 THEN concat(printf('%.1f', round(decoded/1000000.0::DOUBLE,1)), 'M') WHEN decoded >= 1000 THEN concat(printf('%.1f', round(decoded/1000.0::DOUBLE,1)), 'K') ELSE CAST(decoded AS VARCHAR) END AS label FROM timing", lambda e: e.select("event_id", t.human_count(c("decoded")).alias("label")))
+on_timing("requests_by_level", r"SELECT count(*) FILTER (WHERE uri LIKE 'points/z0/%') AS z0, count(*) FILTER (WHERE uri NOT LIKE 'points/z0/%') AS other FROM timing",
+          lambda e: e.agg(F.count_if(F.regexp_extract("uri", r"^points/z(\d+)/", 1) == "0").alias("z0"), F.count_if(~c("uri").rlike(r"^points/z\d+/")).alias("other")))
+on_points("leaf_stats", f"SELECT round(quantile_cont(n,0.5),6) AS p50, round(quantile_cont(n,0.95),6) AS p95, max(n) AS largest, round(avg(CAST(n BETWEEN 1000 AND 5000 AS INT)),9) AS accepted, count(*) AS leaves FROM {_CENSUS}",
+          lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).agg(_r(F.percentile("n", 0.5)).alias("p50"), _r(F.percentile("n", 0.95)).alias("p95"), F.max("n").alias("largest"), _r(F.avg(c("n").between(1000, 5000).cast("int")), 9).alias("accepted"), F.count("*").alias("leaves")))
+on_points("structural_gate", f"SELECT quantile_cont(n,0.95) <= 10000 AS p95_ok, max(n) <= 6000 AS hard_ok FROM {_CENSUS}",
+          lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).agg((F.percentile("n", 0.95) <= 10000).alias("p95_ok"), (F.max("n") <= 6000).alias("hard_ok")))
+on_points("sparse_cell", f"SELECT ix, iy, n FROM {_CENSUS} ORDER BY abs(n - (SELECT quantile_cont(n,0.25) FROM {_CENSUS})), ix, iy LIMIT 1",
+          lambda p: (lambda k: k.crossJoin(F.broadcast(k.agg(F.percentile("n", 0.25).alias("q")))).orderBy(F.abs(c("n") - c("q")), "ix", "iy").limit(1).select("ix", "iy", "n"))(p.groupBy("ix", "iy").agg(F.count("*").alias("n"))))
+on_points("pyramid_zrange", "SELECT l AS lvl, CAST(floor((x+4000)/s) AS INT) AS px, CAST(floor((y+2000)/s) AS INT) AS py, round(min(z),6) AS lo, round(max(z),6) AS hi FROM cells, (VALUES (0,2000.0),(1,1000.0),(2,500.0),(3,250.0),(4,50.0)) v(l,s) GROUP BY 1,2,3",
+          lambda p: _zrange(p))
+on_points("occupied_ancestors", "SELECT l AS lvl, count(DISTINCT (floor((x+4000)/s), floor((y+2000)/s))) AS cells FROM cells, (VALUES (0,2000.0),(1,1000.0),(2,500.0),(3,250.0),(4,50.0)) v(l,s) GROUP BY 1", lambda p: _zrange(p).groupBy("lvl").agg(F.count("*").alias("cells")))
+on_points("enu_basis", "SELECT round(-sin(radians(7.5)),12) AS ex, round(cos(radians(7.5)),12) AS ey, round(cos(radians(46.5))*cos(radians(7.5)),12) AS ux, round(sin(radians(46.5)),12) AS uz FROM (SELECT min(ordinal) FROM cells)",
+          lambda p: p.agg(F.min("ordinal").alias("_o")).select(*[_r(g.enu_basis(7.5, 46.5)[i][j], 12).alias(n) for i, j, n in ((0, 0, "ex"), (0, 1, "ey"), (2, 0, "ux"), (2, 2, "uz"))]))
+on_areas("density_ratio", "SELECT area_id, round(point_count / nullif(point_count - point_count % 7, 0), 9) AS ratio FROM areas", lambda a: a.select("area_id", _r(F.try_divide(c("point_count"), c("point_count") - c("point_count") % 7), 9).alias("ratio")))
+on_areas("chunk_limit_filter", "SELECT area_id, chunk_id FROM areas WHERE chunk_id NOT IN ('chunk-1','chunk-2') ORDER BY chunk_id LIMIT 3", lambda a: a.join(a.where(c("chunk_id").isin("chunk-1", "chunk-2")).select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id").limit(3).select("area_id", "chunk_id"))
+
+
+def _zrange(p: DataFrame) -> DataFrame:
+    """Height range of every cell: leaves from the points, each coarser level from the cells below it."""
+    key = lambda a, o: g.cell_index(c(a), o, g.SIZES[4])
+    level = p.groupBy(key("x", -4000.0).alias("px"), key("y", -2000.0).alias("py")).agg(F.min("z").alias("lo"), F.max("z").alias("hi")).withColumn("lvl", F.lit(4))
+    every = level
+    for k in (4, 3, 2, 1):
+        up = lambda name, k=k: F.floor(c(name) / g.RATIOS[k]).cast("int").alias(name)
+        level = level.groupBy(up("px"), up("py")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("lvl", F.lit(k - 1))
+        every = every.unionByName(level)
+    return every.select("lvl", "px", "py", _r(c("lo")).alias("lo"), _r(c("hi")).alias("hi"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Points per root cell of the smallest dataset."""
     return QUERIES["z0_census"](spark, "/root/testdata/sf0.001")
