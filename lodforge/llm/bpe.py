@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Characters of a group of texts, cached words, recursive steps of a round for long words, bytes of a short word, words a query.
 GROUP, CACHED, ROUND, SHORT, WORDS = 1_000_000, 200_000, 32, 48, 20_000
 #: Fixed value: how texts are cut before merging; public_tokenizers.PATTERN by default.
@@ -250,4 +252,4 @@ def round_trip(documents: DataFrame, path: str | None = None, pattern: str | Non
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
 
     digest = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return documents.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+    return bounded_batches(documents).select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")

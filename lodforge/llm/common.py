@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,5 +42,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most rows and bytes of an Arrow batch given to a Python worker; long texts make batches of fewer rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller limits of the session stay.
+
+    A batch is held by the JVM, in the pipe and by the worker at once, and whole texts are large.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", conf.get(f"spark.sql.execution.arrow.{key}").lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are neither letters of ASCII nor part of a longer character become spaces.
@@ -198,7 +200,7 @@ def identified(network: Network | None, column: str = "text") -> Column:
 
 def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of every document."""
-    return documents.select("doc_id", held_out().alias("held_out"), identified(network).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return bounded_batches(documents).select("doc_id", held_out().alias("held_out"), identified(network).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 #: Least score of a document that the filter keeps.
@@ -207,7 +209,7 @@ LEAST = 0.5
 
 def keep_identified(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """Documents whose language is recognised with at least this score; columns stay."""
-    network = train_language(documents)
+    network = train_language(bounded_batches(documents))
     columns = [F.col(f"`{c}`") for c in documents.columns]
     rows = documents.withColumn("__p", identified(network))
     return rows.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least)).select(*columns)

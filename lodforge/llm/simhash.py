@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import bounded_batches, discard, materialize
 
 TILE, RADIUS, SHINGLE, SEED = 4096, 3, 3, 42
 _PART = 1 << 16
@@ -167,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fp`` (signed), ``root`` (smallest fingerprint of the component), ``component_id`` for every document."""
-    own = materialize(documents.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
+    own = materialize(bounded_batches(documents).select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     rooted = distinct.join(components(fingerprint_links(distinct, radius)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
