@@ -142,13 +142,17 @@ on_points("pyramid_level_summary", f"SELECT lvl, count(*) AS tiles, CAST(sum(n)
 on_points("content_bounds", "SELECT ix, iy, round(min(x),6) AS min_x, round(max(x),6) AS max_x, round((min(y)+max(y))/2,6) AS mid_y FROM cells GROUP BY 1,2", lambda p: p.groupBy("ix", "iy").agg(_r(F.min("x")).alias("min_x"), _r(F.max("x")).alias("max_x"), _r((F.min("y") + F.max("y")) / 2).alias("mid_y")))
 on_points("microcell_occupancy", f"SELECT ix, iy, {_MICRO} AS cell, count(*) AS cnt FROM cells GROUP BY 1,2,3", lambda p: _micro(p).groupBy("ix", "iy", "cell").agg(F.count("*").alias("cnt")))
 _OCC = f"(SELECT ix, iy, {_MICRO} AS cell, count(*) AS cnt FROM cells GROUP BY 1,2,3)"
-_QUOTA = f"""(WITH a AS (SELECT *, sum(cnt) OVER w AS tot, count(*) OVER w AS n, row_number() OVER (PARTITION BY ix,iy ORDER BY cnt DESC, cell) AS top FROM {_OCC} WINDOW w AS (PARTITION BY ix,iy)),
- b AS (SELECT *, least(400,tot) AS q FROM a), d AS (SELECT *, CAST((q-n)*cnt AS DOUBLE)/tot AS t FROM b), e AS (SELECT *, greatest(0,least(floor(t),cnt-1)) AS f FROM d),
- h AS (SELECT *, q-n-sum(f) OVER (PARTITION BY ix,iy) AS rest, CAST(f+1<cnt AS INT) AS can FROM e),
- i AS (SELECT *, CAST(can=1 AND sum(can) OVER (PARTITION BY ix,iy ORDER BY t-f DESC, cell ROWS UNBOUNDED PRECEDING) <= rest AS INT) AS b FROM h),
- j AS (SELECT *, rest-sum(b) OVER (PARTITION BY ix,iy) AS rest2, cnt-1-f-b AS spare FROM i),
- k AS (SELECT *, coalesce(sum(spare) OVER (PARTITION BY ix,iy ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM j)
- SELECT ix, iy, cell, cnt, CAST(CASE WHEN q<=n THEN CAST(top<=q AS INT) ELSE 1+f+b+greatest(0,least(spare,rest2-before)) END AS BIGINT) AS alloc FROM k)"""
+def quota_sql(occupancy: str, node: str = "ix,iy", quota: int = 400) -> str:
+    return f"""(WITH a AS (SELECT *, sum(cnt) OVER w AS tot, count(*) OVER w AS n, row_number() OVER (PARTITION BY {node} ORDER BY cnt DESC, cell) AS top FROM {occupancy} WINDOW w AS (PARTITION BY {node})),
+ b AS (SELECT *, least({quota},tot) AS q FROM a), d AS (SELECT *, CAST((q-n)*cnt AS DOUBLE)/tot AS t FROM b), e AS (SELECT *, greatest(0,least(floor(t),cnt-1)) AS f FROM d),
+ h AS (SELECT *, q-n-sum(f) OVER (PARTITION BY {node}) AS rest, CAST(f+1<cnt AS INT) AS can FROM e),
+ i AS (SELECT *, CAST(can=1 AND sum(can) OVER (PARTITION BY {node} ORDER BY t-f DESC, cell ROWS UNBOUNDED PRECEDING) <= rest AS INT) AS b FROM h),
+ j AS (SELECT *, rest-sum(b) OVER (PARTITION BY {node}) AS rest2, cnt-1-f-b AS spare FROM i),
+ k AS (SELECT *, coalesce(sum(spare) OVER (PARTITION BY {node} ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM j)
+ SELECT {node}, cell, cnt, CAST(CASE WHEN q<=n THEN CAST(top<=q AS INT) ELSE 1+f+b+greatest(0,least(spare,rest2-before)) END AS BIGINT) AS alloc FROM k)"""
+
+
+_QUOTA = quota_sql(_OCC)
 
 
 def _quota(p: DataFrame) -> DataFrame:
@@ -227,3 +231,6 @@ def _zrange(p: DataFrame) -> DataFrame:
 def entry(spark: SparkSession) -> DataFrame:
     """Points per root cell of the smallest dataset."""
     return QUERIES["z0_census"](spark, "/root/testdata/sf0.001")
+
+
+from lodforge.plans import tree  # noqa: E402,F401  registers the queries of the residual tree
