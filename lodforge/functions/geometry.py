@@ -75,3 +75,29 @@ def enu_basis(lon: float, lat: float) -> tuple[tuple[Column, ...], ...]:
 def to_enu(point: tuple[Column, ...], origin: tuple[Column, ...], basis) -> tuple[Column, ...]:
     moved = [p - o for p, o in zip(point, origin, strict=True)]
     return tuple(sum((m * b for m, b in zip(moved, axis, strict=True)), F.lit(0.0)) for axis in basis)
+
+
+def node_bounds(min_x: Column, min_y: Column, path: Column, size: float = CELL) -> Column:
+    """Struct (x, y, size) of the node at a base-4 path below a cell, by repeated bisection."""
+    start = F.struct(min_x.cast("double").alias("x"), min_y.cast("double").alias("y"), F.lit(float(size)).alias("size"))
+    digits = F.filter(F.split(path, ""), lambda d: d != "")
+
+    def half(b, d):
+        step, digit = b["size"] / 2, d.cast("int")
+        return F.struct((b["x"] + (digit % 2) * step).alias("x"), (b["y"] + F.floor(digit / 2) * step).alias("y"), step.alias("size"))
+
+    return F.aggregate(digits, start, half)
+
+
+def box(low: tuple[Column, ...], high: tuple[Column, ...]) -> Column:
+    """Centre and three half axes as twelve numbers."""
+    half = [(h - l) / 2 for l, h in zip(low, high, strict=True)]
+    zero = F.lit(0.0)
+    return F.array(*[(h + l) / 2 for l, h in zip(low, high, strict=True)], half[0], zero, zero, zero, half[1], zero, zero, zero, half[2])
+
+
+def contains(outer: tuple[Column, ...], inner: tuple[Column, ...], eps: float) -> Column:
+    """(min..., max...) of ``outer`` holds that of ``inner`` on each axis, up to ``eps``."""
+    n = len(outer) // 2
+    checks = [i >= o - eps if k < n else i <= o + eps for k, (o, i) in enumerate(zip(outer, inner, strict=True))]
+    return F.forall(F.array(*checks), lambda ok: ok)

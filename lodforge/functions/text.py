@@ -53,3 +53,11 @@ def canonical_uri(uri: Column) -> Column:
 def human_count(n: Column) -> Column:
     step = lambda k, unit: F.concat(F.format_string("%.1f", F.round(n / 1000.0**k, 1)), F.lit(unit))
     return F.when(n >= 1e9, step(3, "B")).when(n >= 1e6, step(2, "M")).when(n >= 1e3, step(1, "K")).otherwise(n.cast("string"))
+
+
+def human_meters(m: Column) -> Column:
+    """Whole metres below a kilometre; kilometres with two decimals, from ten on with one; a minus sign leads."""
+    size = F.abs(m)
+    kilo = lambda digits: F.concat(F.format_string(f"%.{digits}f", F.round(size / 1000.0, digits)), F.lit(" km"))
+    label = F.when(size >= 10000, kilo(1)).when(size >= 1000, kilo(2)).otherwise(F.concat(F.round(size).cast("long").cast("string"), F.lit(" m")))
+    return F.concat(F.when(m < 0, "-").otherwise(""), label)
