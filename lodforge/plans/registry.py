@@ -233,4 +233,4 @@ def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["z0_census"](spark, "/root/testdata/sf0.001")
 
 
-from lodforge.plans import ledgers, tree  # noqa: E402,F401  register further queries
+from lodforge.plans import ledgers, streams, tree  # noqa: E402,F401  register further queries
