@@ -127,3 +127,11 @@ def tree_validate(spark, sf):
     nodes = _rolled(spark, sf)
     above = nodes.select("ix", "iy", c("path").alias("parent"), c("error").alias("p_error"), c("sub_min_x").alias("p_x"), c("sub_max_z").alias("p_z"))
     return nodes.join(above, ["ix", "iy", "parent"]).select("ix", "iy", "path", (c("error") < c("p_error")).alias("falls"), ((c("sub_min_x") >= c("p_x") - 1e-6) & (c("sub_max_z") <= c("p_z") + 1e-6)).alias("contained"))
+
+
+on_nodes("top_leaves", "SELECT ix, iy, path, emitted FROM nodes WHERE kind <> 'internal' ORDER BY emitted DESC, ix, iy, path LIMIT 10",
+         lambda n: n.where("kind <> 'internal'").orderBy(F.desc("emitted"), "ix", "iy", "path").limit(10).select("ix", "iy", "path", "emitted"))
+on_nodes("tile_lineage", "SELECT a.ix, a.iy, a.path, b.path AS below, b.depth - a.depth AS steps FROM nodes a JOIN nodes b ON a.ix = b.ix AND a.iy = b.iy AND starts_with(b.path, a.path)",
+         lambda n: n.select("ix", "iy", c("path").alias("below"), F.explode(F.sequence(F.lit(0), c("depth"))).alias("_up"), "depth").select("ix", "iy", F.expr("substring(below, 1, _up)").alias("path"), "below", (c("depth") - c("_up")).alias("steps")))
+on_nodes("descendants_by_level", "SELECT a.ix, a.iy, a.path, b.depth - a.depth AS steps, count(*) AS n FROM nodes a JOIN nodes b ON a.ix = b.ix AND a.iy = b.iy AND starts_with(b.path, a.path) AND b.depth > a.depth GROUP BY ALL",
+         lambda n: n.select("ix", "iy", "path", "depth", F.explode(F.sequence(F.lit(0), c("depth"))).alias("_up")).where("_up < depth").groupBy("ix", "iy", F.expr("substring(path, 1, _up)").alias("path"), (c("depth") - c("_up")).alias("steps")).agg(F.count("*").alias("n")))
