@@ -49,3 +49,18 @@ def test_cases(spark):
     assert [i for i, _ in found[50]] == [51, 0, 1, 2, 3]
     assert search(spark, []) == {} and search(spark, [(0, one)]) == {}
     assert [i for i, _ in search(spark, [(0, one), (7, [0.0, 2.0, 0.0])])[0]] == [7]
+
+
+def recall(found, expected):
+    return np.mean([len({i for i, _ in found[q]} & {i for i, _ in expected[q]}) / 5 for q in expected])
+
+
+def test_near_copies(spark):
+    source = np.random.default_rng(3)
+    one = source.normal(size=64)
+    one /= np.linalg.norm(one)
+    x = np.concatenate([one + noise * source.normal(size=(1000, 64)) / 8 for noise in (0.01, 0.003)] + [source.normal(size=(500, 64))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x.astype(np.float32))]
+    found, expected = search(spark, rows), brute(rows)
+    assert all(len(found[q]) == 5 for q in expected)
+    assert recall({q: v for q, v in found.items() if q < 2000}, {q: v for q, v in expected.items() if q < 2000}) >= 0.95
