@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, searched greedily.
 
-Equal vectors form one node. Random-projection blocks of bounded size give each node first neighbours. A round then brings
+Equal vectors form one node. Random-projection blocks of bounded size give each node first neighbours; nodes that get fewer than
+``DEGREE`` are compared with all nodes. A round then brings
 every node's neighbours, and nodes that have it as a neighbour, together at that node, compares them with each other and
 keeps each node's nearest ``DEGREE``: neighbours of neighbours. A query starts at its own node and expands the nearest nodes
 not yet expanded until the nearest ``POOL`` all are; those nearest and all that tie with them give the result.
@@ -111,6 +112,38 @@ def _around(edges: DataFrame, reverse: int = REVERSE) -> DataFrame:
     return edges.select("src", "dst").union(back.select("src", "dst")).distinct().toDF("at", "member")
 
 
+def completed(edges: DataFrame, nodes: DataFrame, count: int, degree: int = DEGREE) -> DataFrame:
+    """``edges``, and for nodes that have fewer than ``degree`` of them those to their nearest of all nodes, both ways.
+
+    Such nodes lie apart from all others in every table; each is compared with every node, in blocks.
+    """
+    if count < 2:
+        return edges
+    full = edges.groupBy("src").count().where(F.col("count") >= min(degree, count - 1)).select(F.col("src").alias("node"))
+    apart = materialize(nodes.select("node", "v").join(full, "node", "left_anti"), "apart")
+    n = apart.count()
+    if not n:
+        return edges
+    kind, across, down = _kind(nodes), math.ceil(n / 1024), math.ceil(count / 4096)
+    dealt = lambda rows, own, other, k, m: rows.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(k)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+
+    def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"src": [], "dst": [], "score": []}).astype({"src": "int64", "dst": "int64", "score": "float32"})]
+        if len(few) and len(many):
+            a, b = few["node"].to_numpy(), many["node"].to_numpy()
+            near = _matrix(few["v"], kind) @ _matrix(many["v"], kind).T - 1
+            near[a[:, None] == b] = -9
+            for src, dst, score in ((a, b, near), (b, a, near.T)):
+                k = min(degree, len(dst))
+                at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                best = np.take_along_axis(score, at, 1).ravel()
+                out.append(pd.DataFrame({"src": np.repeat(src, k), "dst": dst[at].ravel(), "score": best.astype(np.float32)})[best > -9])
+        return pd.concat(out, ignore_index=True)
+
+    further = dealt(apart, "a", "b", across, down).groupBy("a", "b").cogroup(dealt(nodes.select("node", "v"), "b", "a", down, across).groupBy("a", "b"))
+    return edges.union(further.applyInPandas(compare, _EDGE))
+
+
 def descend(edges: DataFrame, nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
     """One round: edges between neighbours of a node wherever they beat a member's farthest neighbour."""
     kind = _kind(nodes)
@@ -142,7 +175,9 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int = DEGREE) -> DataFra
 
 def neighbour_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, degree: int = DEGREE) -> DataFrame:
     """Edges (src, dst, score) to the nearest nodes found."""
-    edges = materialize(_merged(first_neighbours(nodes, count, degree), degree), "graph")
+    first = materialize(_merged(first_neighbours(nodes, count, degree), degree), "first")
+    edges = materialize(_merged(completed(first, nodes, count, degree), degree), "graph")
+    discard(first)
     for _ in range(rounds):
         after = materialize(_merged(edges.union(descend(edges, nodes, degree)), degree), "graph")
         discard(edges)

@@ -64,3 +64,19 @@ def test_near_copies(spark):
     found, expected = search(spark, rows), brute(rows)
     assert all(len(found[q]) == 5 for q in expected)
     assert recall({q: v for q, v in found.items() if q < 2000}, {q: v for q, v in expected.items() if q < 2000}) >= 0.95
+
+
+def test_nodes_apart_from_all_others(spark):
+    source = np.random.default_rng(5)
+    centres = source.normal(size=(4, 16))
+    x = np.concatenate([np.repeat(centres, 600, axis=0) + 0.002 * source.normal(size=(2400, 16)), source.normal(size=(30, 16))])
+    valid = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = neighbours.materialize(neighbours.build_nodes(neighbours.valid_vectors(valid)), "nodes")
+    first = neighbours.materialize(neighbours._merged(neighbours.first_neighbours(nodes, 2430).where("src % 7 > 0 and src < 2400 and dst < 2400"), 20), "first")
+    edges = neighbours._merged(neighbours.completed(first, nodes, 2430), 20).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -9)
+    for i in [*range(0, 2400, 7), *range(2400, 2430)]:
+        assert set(edges["dst"][edges["src"] == i]) == set(np.argsort(-near[i])[:20])
+    assert (edges.groupby("src").size() == 20).all() and len(edges) == 20 * 2430
