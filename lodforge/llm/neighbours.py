@@ -1,14 +1,13 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, searched greedily.
 
 Equal vectors form one node. Random-projection blocks of bounded size give each node first neighbours; nodes that get fewer than
-``DEGREE`` are compared with all nodes. A round then brings
+``DEGREE`` are compared with all nodes. Rounds follow until fewer than ``CHANGED`` of the edges are new: a round brings
 every node's neighbours, and nodes that have it as a neighbour, together at that node, compares them with each other and
 keeps each node's nearest ``DEGREE``: neighbours of neighbours. A query starts at its own node and expands the nearest nodes
-not yet expanded until the nearest ``POOL`` all are; those nearest and all that tie with them give the result.
+not yet expanded until the nearest ``POOL`` all are; the pool doubles until that leaves the query's nearest unchanged. Those nearest and all that tie with them give the result.
 
 Vectors travel as they are stored and every comparison is in double precision, so the order holds within groups of near copies
-too; edges keep the cosine less one, which single precision holds to seven digits however small. A node's list in a round is bounded by ``DEGREE`` and ``REVERSE``, a block by ``BLOCK``, a bucket by ``BUCKET`` nodes on average. With isotropic 64-dimensional vectors recall
-at 5 was 0.926 over 51,282 rows (1,026 queries); ``POOL`` trades time for recall.
+too; edges keep the cosine less one, which single precision holds to seven digits however small. A node's list in a round is bounded by ``DEGREE`` and ``REVERSE``, a block by ``BLOCK``, a bucket by ``BUCKET`` nodes on average. The README states measured recall.
 
 Defined cases: null vectors, zero vectors, those with null or non-finite components or with another length than the smallest
 valid id's take no part, as queries or candidates; with at most five candidates all are returned; queries sharing a vector share the search.
@@ -17,6 +16,7 @@ valid id's take no part, as queries or candidates; with at most five candidates
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-DEGREE, REVERSE, TABLES, BLOCK, ROUNDS, BEST = 20, 12, 6, 512, 2, 6
-POOL, TOP, HOPS, BUCKET, SAMPLE, SEED = 256, 5, 30, 1024, 2048, 11
+DEGREE, REVERSE, TABLES, BLOCK, CHANGED, BEST = 20, 12, 6, 512, 0.01, 6
+POOL, TOP, BUCKET, SAMPLE, SEED = 256, 5, 1024, 2048, 11
 #: Scores nearer to each other than this may be equal but for rounding.
 TIE = 1e-12
 _EDGE = "src long, dst long, score float"
@@ -87,7 +87,7 @@ def first_neighbours(nodes: DataFrame, count: int, degree: int = DEGREE) -> Data
 
     dealt = nodes.select("node", "v", F.posexplode(F.pandas_udf(codes, "array<long>")("v")).alias("t", "code"))
     full = dealt.groupBy("t", "code").count().where(F.col("count") > BLOCK).select("t", "code", F.ceil(F.col("count") / BLOCK).alias("parts"))
-    placed = dealt.join(full, ["t", "code"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+    placed = dealt.join(full, ["t", "code"], "left").withColumn("part", F.pmod(F.xxhash64("node", "t"), F.coalesce("parts", F.lit(1))))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         ids, x = block["node"].to_numpy(), _matrix(block["v"], kind)
@@ -173,20 +173,27 @@ def descend(edges: DataFrame, nodes: DataFrame, degree: int = DEGREE) -> DataFra
     return met.select("ids", "least", "vs").mapInPandas(meet, _EDGE)
 
 
-def neighbour_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, degree: int = DEGREE) -> DataFrame:
-    """Edges (src, dst, score) to the nearest nodes found."""
+def neighbour_graph(nodes: DataFrame, count: int, changed: float = CHANGED, degree: int = DEGREE) -> DataFrame:
+    """Edges (src, dst, score) to the nearest nodes found, once a round brings fewer than ``changed`` of them."""
     first = materialize(_merged(first_neighbours(nodes, count, degree), degree), "first")
     edges = materialize(_merged(completed(first, nodes, count, degree), degree), "graph")
     discard(first)
-    for _ in range(rounds):
-        after = materialize(_merged(edges.union(descend(edges, nodes, degree)), degree), "graph")
+    while True:
+        both = edges.withColumn("new", F.lit(False)).union(descend(edges, nodes, degree).withColumn("new", F.lit(True)))
+        one = both.groupBy("src", "dst").agg(F.max("score").alias("score"), F.min("new").alias("new"))
+        after = materialize(_nearest(one, "src", degree), "graph")
+        every, fresh = after.agg(F.count("*"), F.count_if("new")).first()
         discard(edges)
-        edges = after
-    return edges
+        edges = after.drop("new")
+        if fresh <= changed * every:
+            return edges
 
 
-def search(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, count: int, pool: int = POOL) -> DataFrame:
-    """``q``, ``node``, ``score``: for each node ``q`` of ``seeds`` the ``pool`` nearest nodes that greedy search reaches."""
+def search(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, count: int, pool: int = POOL, top: int = TOP) -> DataFrame:
+    """``q``, ``node``, ``score``: for each node ``q`` of ``seeds`` the nearest nodes that greedy search reaches, ``pool`` or more.
+
+    Queries whose ``top`` nearest change with a pool twice as large go on with the next larger one, others end there.
+    """
     kind = _kind(nodes)
     around = materialize(_around(edges, DEGREE).groupBy("at").agg(F.collect_list("member").alias("near")), "around")
     buckets = max(1, count // BUCKET)
@@ -212,20 +219,34 @@ def search(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, count: int, poo
         lists = pairs.groupBy("q", bucket("node").alias("b")).agg(F.collect_list("node").alias("want")).join(asked, "q")
         return lists.groupBy("b").cogroup(held.groupBy("b")).applyInPandas(measure, "q long, node long, score double")
 
-    def best(rows: DataFrame) -> DataFrame:
+    def best(rows: DataFrame, size: int) -> DataFrame:
         one = rows.groupBy("q", "node").agg(F.max("score").alias("score"), F.max("done").alias("done"))
-        return materialize(_nearest(one, "q", pool, "node"), "pool")
-
-    now = best(asked.select("q", F.col("q").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("done")))
-    for _ in range(HOPS):
-        reached = now.where("not done").join(around, F.col("node") == F.col("at")).select("q", F.explode("near").alias("node")).distinct()
-        known = now.withColumn("done", F.lit(True))
-        after = best(known.union(scored(reached).withColumn("done", F.lit(False))))
+        return materialize(_nearest(one, "q", size, "node"), "pool")
+
+    def finished(now: DataFrame, size: int) -> DataFrame:
+        """Expands until all of the pool are done."""
+        while not now.where("not done").isEmpty():
+            reached = now.where("not done").join(around, F.col("node") == F.col("at")).select("q", F.explode("near").alias("node")).distinct()
+            fresh = reached.join(now.select("q", "node"), ["q", "node"], "left_anti")
+            after = best(now.withColumn("done", F.lit(True)).union(scored(fresh).withColumn("done", F.lit(False))), size)
+            discard(now)
+            now = after
+        return now
+
+    told = lambda rows: _nearest(rows, "q", top + 1, "node").groupBy("q").agg(F.array_sort(F.collect_list("node")).alias("told"))
+    now = finished(best(asked.select("q", F.col("q").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("done")), pool), pool)
+    ended = []
+    while pool < count and not now.isEmpty():
+        pool *= 2
+        before = materialize(told(now), "told")
+        # nodes that the smaller pool dropped are found again beside all it holds
+        again = materialize(now.withColumn("done", F.lit(False)), "pool")
         discard(now)
-        now = after
-        if now.where("not done").isEmpty():
-            break
-    return now.select("q", "node", "score")
+        wide = finished(again, pool)
+        same = materialize(before.join(told(wide).withColumnRenamed("told", "after"), "q").where(F.col("told") == F.col("after")).select("q"), "same")
+        ended.append(wide.join(same, "q", "left_semi"))
+        now = materialize(wide.join(same, "q", "left_anti").select("q", "node", "score", "done"), "pool")
+    return reduce(DataFrame.union, [d.select("q", "node", "score") for d in [*ended, now]])
 
 
 def nearest(vectors: DataFrame, is_query, top: int = TOP, pool: int = POOL) -> DataFrame:
@@ -238,7 +259,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, pool: int = POOL) -> D
         return vectors.sparkSession.createDataFrame([], schema)
     edges = neighbour_graph(nodes, count)
     asking = materialize(valid.where(is_query).join(nodes.select("e", F.col("node").alias("q")), "e").select(F.col("vec_id").alias("query_id"), "q"), "asking")
-    found = search(asking.select("q").distinct(), nodes, edges, count, pool)
+    found = search(asking.select("q").distinct(), nodes, edges, count, pool, top)
 
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
         def parts(x):

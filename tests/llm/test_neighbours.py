@@ -80,3 +80,21 @@ def test_nodes_apart_from_all_others(spark):
     for i in [*range(0, 2400, 7), *range(2400, 2430)]:
         assert set(edges["dst"][edges["src"] == i]) == set(np.argsort(-near[i])[:20])
     assert (edges.groupby("src").size() == 20).all() and len(edges) == 20 * 2430
+
+
+def test_parts_differ_between_tables(spark):
+    source = np.random.default_rng(6)
+    x = np.concatenate([source.normal(size=16) + 1e-4 * source.normal(size=(2000, 16)) for _ in range(2)])
+    valid = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = neighbours.materialize(neighbours.build_nodes(neighbours.valid_vectors(valid)), "nodes")
+    met = {i: i for i in range(4000)}
+
+    def top(i):
+        while met[i] != i:
+            met[i] = met[met[i]]
+            i = met[i]
+        return i
+
+    for src, dst in neighbours.first_neighbours(nodes, 4000).select("src", "dst").distinct().toPandas().itertuples(index=False):
+        met[top(src)] = top(dst)
+    assert len({top(i) for i in range(4000)}) <= 2
