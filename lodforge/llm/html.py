@@ -1,8 +1,8 @@
 """Main-text extraction: parser events, text-to-tag ratio per line, Gaussian smoothing and threshold clustering.
 
 The standard library's parser streams events; block elements cut the page into lines, each with its characters and tags.
-Ratios are smoothed and lines at or above their standard deviation are content. Content lines choose the region: the page's
-article or main elements that hold some, else the deepest element that holds nearly all of them. Every line of the region
+Ratios are smoothed and lines at or above their standard deviation are content. Content lines and h1 choose the region: if
+article or main elements hold content, all of those; else the deepest container that holds all of them, and any article. Every line of the region
 stays, however short, but for elements that tag, role, class or id mark as menus, headers, footers, sidebars, notices,
 adverts, forms or comments.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,9 @@ NEVER = frozenset("html body main".split())
 #: Elements that a new one of the group ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = frozenset("article aside blockquote body div dl fieldset form main nav ol section table td th ul".split())
-SIGMA, REACH, NEARLY = 1.0, 3, 0.8
+#: Elements that can be the region; blocks of text can't.
+_CONTAINERS = frozenset("article body center div html main section".split())
+SIGMA, REACH = 1.0, 3
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -136,15 +139,13 @@ def main_text(html: str | None) -> str:
     smoothed = smooth(np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines]))
     content = [x for x, s in zip(lines, smoothed, strict=True) if s >= smoothed.std() and not x[2]] or free
     articles = {i for i, n in parser.names.items() if n in ("article", "main")}
-    named = {i for x in content for i in x[3] if i in articles} or {i for x in free for i in x[3] if i in articles}
-    if named:
+    named = {i for x in free for i in x[3] if i in articles}
+    if any(not named.isdisjoint(x[3]) for x in content):
         return "\n\n".join(x[0] for x in free if not named.isdisjoint(x[3]))
-    weight, whole = {}, sum(len(x[0]) for x in content)
-    for text, _, _, path in content:
-        for depth, i in enumerate(path):
-            weight[i] = (weight.get(i, (0, 0))[0] + len(text), depth)
-    region = max((i for i, (w, _) in weight.items() if w >= NEARLY * whole and parser.names[i] in BLOCKS - {"p"}), key=lambda i: weight[i][1], default=None)
-    return "\n\n".join(x[0] for x in free if region is None or region in x[3])
+    titles = [x for x in free if any(parser.names[i] == "h1" for i in x[3])]
+    common = commonprefix([x[3] for x in content + titles])
+    region = next((i for i in reversed(common) if parser.names[i] in _CONTAINERS), None)
+    return "\n\n".join(x[0] for x in free if region is None or region in x[3] or not named.isdisjoint(x[3]))
 
 
 def _texts(pages: pd.Series) -> pd.Series:

@@ -41,3 +41,14 @@ def test_cases(spark):
     got = {(r["page_id"], r["n_chars"]) for r in out.collect()}
     assert got == {(1, 0), (2, 0), (3, 0), (None, 16), (4, 249999)} and out.count() == 6
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_nothing_beside_the_body_is_lost():
+    intro, body = "An introduction of some words about it. " * 4, "The body goes on for quite a while here. " * 24
+    page = f"<body><h1>Title</h1><div>{intro}</div><div><p>{body}</p></div></body>"
+    assert html.main_text(page) == "\n\n".join(["Title", intro.strip(), body.strip()])
+    for tag in ("blockquote", "li", "td", "pre"):
+        page = f"<body><div><p>Before.</p><{tag}>{body}</{tag}><p>After.</p></div></body>"
+        assert html.main_text(page) == f"Before.\n\n{body.strip()}\n\nAfter."
+    page = f"<body><article><p>{body}</p><p>{body}</p></article><hr><hr><hr><article><b>S</b><i>h</i><b>o</b><i>r</i>t.</article></body>"
+    assert html.main_text(page) == "\n\n".join([body.strip(), body.strip(), "Short."])
