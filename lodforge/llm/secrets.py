@@ -3,8 +3,10 @@
 Fixed patterns give the base spans. Besides, every run of at least ``SHORTEST`` key characters is a candidate. Its encoding is
 inferred from the characters it uses; it counts as random if chi-squared uniformity over that alphabet, the runs test on the
 alphabet's halves and the lag-1 serial correlation together don't reject uniform random characters. How unlike words it is
-comes from a bound on the chance that words of its length change between character classes as often; over all candidates a
+comes from its likelihood as uniform characters of its encoding against that as words, which keep or change their character
+class and take any character of it: words reach a ratio r with a chance of at most 1/r. Over all distinct candidates a
 Benjamini-Hochberg step on a histogram of those bounds sets the cut-off, so longer runs need less and many candidates more.
+Digits alone can't differ from words so: there the tests decide by themselves, outside the false-discovery rate.
 
 Offsets count code points. Defined cases: a null text counts as empty; no secret gives empty spans; matches that fail a length
 rule are consumed but dropped; a random span that touches a base span is part of it and not listed again; repeated rows each
@@ -14,7 +16,7 @@ get their result; an empty table gives no rows.
 from __future__ import annotations
 
 from functools import reduce
-from math import exp
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ ENCODINGS = (
     (r"^[A-Z0-9]+$", _DIGITS + _UPPER), (r"^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER), (r"^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 _WIDEST = _UPPER + _LOWER + _DIGITS + "+/"
+#: Characters of each class: digits, small, capitals, others.
+_CLASSES = (10, 26, 26, 5)
 _SPAN = "struct<start:int,ord:int,stop:int,token:string>"
 
 
@@ -85,7 +89,7 @@ def _pairs(array: Column) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """(random, unlike) of a candidate: whether no test rejects uniform characters; minus log of the chance that words look so."""
+    """(random, unlike, digits) of a candidate: whether no test rejects uniform characters; minus log of the chance that words look so; whether it has one class only."""
     core = F.rtrim(token, F.lit("="))
     alphabet = reduce(lambda other, e: F.when(token.rlike(e[0]), F.lit(e[1])).otherwise(other), reversed(ENCODINGS), F.lit(_WIDEST))
     letters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
@@ -99,19 +103,21 @@ def _battery(token: Column) -> Column:
         halves = F.transform(x["place"], lambda v: (v > x["k"] / 2).cast("int"))
         return F.struct(
             x["n"].alias("n"), x["k"].alias("k"), x["place"].alias("place"), (x["k"] / x["n"] * squares - x["n"]).alias("chi"), (1 + _total(_pairs(halves), lambda v: v["a"] != v["b"])).alias("runs"),
-            _total(halves, lambda v: v).alias("high"), (_total(x["place"], lambda v: v) / x["n"]).alias("mean"), F.least(_total(_pairs(x["kind"]), lambda v: v["a"] != v["b"]) / (x["n"] - 1), F.lit(0.999)).alias("share"),
+            _total(halves, lambda v: v).alias("high"), (_total(x["place"], lambda v: v) / x["n"]).alias("mean"), _total(_pairs(x["kind"]), lambda v: v["a"] != v["b"]).alias("changes"),
+            _total(x["kind"], lambda v: F.element_at(F.array(*[F.lit(log(size)) for size in _CLASSES]), v + 1)).alias("within"),
         )
 
     def judged(x):
-        n, free, mean, share, q = x["n"], x["k"] - 1, x["mean"], x["share"], TEXT_CHANGES
+        n, free, mean, q = x["n"], x["k"] - 1, x["mean"], TEXT_CHANGES
         z_chi = F.greatest(F.lit(0.0), (F.pow(x["chi"] / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
         cross = 2 * x["high"] * (n - x["high"])
         z_runs = F.coalesce((x["runs"] - cross / n - 1) / F.nullif(F.sqrt(cross * F.greatest(cross - n, F.lit(0.0)) / (n * n * (n - 1))), F.lit(0.0)), F.lit(99.0))
         spread = _total(x["place"], lambda v: (v - mean) * (v - mean))
         z_serial = F.coalesce(_total(_pairs(x["place"]), lambda v: (v["a"] - mean) * (v["b"] - mean)) / F.nullif(spread, F.lit(0.0)) * F.sqrt(n), F.lit(99.0))
-        unlike = F.when(share > q, (n - 1) * (share * F.log(share / q) + (1 - share) * F.log((1 - share) / (1 - q)))).otherwise(F.lit(0.0))
+        as_text = log(len(_CLASSES)) + x["within"] - x["changes"] * log(q / (len(_CLASSES) - 1)) - (n - 1 - x["changes"]) * log(1 - q)
+        unlike = F.greatest(F.lit(0.0), as_text - n * F.log(x["k"]) - log(len(ENCODINGS) + 1))  # one of the encodings fits best
         tails = _let(F.array(z_chi, z_runs, z_serial), lambda z: F.least(_two_sided(z[0]) / 2, _two_sided(z[1]), _two_sided(z[2])))
-        return F.struct((3 * tails >= ALPHA).alias("random"), unlike.alias("unlike"))
+        return F.struct((3 * tails >= ALPHA).alias("random"), unlike.alias("unlike"), (x["k"] == len(_DIGITS)).alias("digits"))
 
     start = F.struct(core.alias("core"), alphabet.alias("alphabet"), letters(core).alias("chars"))
     return _let(start, lambda x: _let(counted(x), lambda y: _let(summed(y), judged)))
@@ -133,7 +139,8 @@ STEPS, LAST = 4, 400
 
 def cut_off(tested: DataFrame) -> float:
     """The least ``unlike`` that the step-up rule accepts; bins count as their weakest member, so the rate is kept."""
-    bins = tested.select(F.explode("tested").alias("t")).groupBy(F.least(F.floor(F.col("t.test.unlike") * STEPS), F.lit(LAST)).alias("bin")).agg(F.count("*").alias("n"))
+    runs = tested.select(F.explode("tested").alias("t")).where("not t.test.digits").select("t.span.token", "t.test.unlike").distinct()
+    bins = runs.groupBy(F.least(F.floor(F.col("unlike") * STEPS), F.lit(LAST)).alias("bin")).agg(F.count("*").alias("n"))
     held = {r["bin"]: r["n"] for r in bins.collect()}  # at most LAST + 1 rows
     every, above, best = sum(held.values()), 0, float("inf")
     for b in sorted(held, reverse=True):
@@ -145,7 +152,7 @@ def cut_off(tested: DataFrame) -> float:
 
 def all_spans(cut: float) -> Column:
     """Base spans and accepted random ones by start, then kind."""
-    chosen = F.filter("tested", lambda t: t["test"]["random"] & (t["test"]["unlike"] >= F.lit(cut)))
+    chosen = F.filter("tested", lambda t: t["test"]["random"] & (t["test"]["digits"] | (t["test"]["unlike"] >= F.lit(cut))))
     return F.array_sort(F.concat("base", F.transform(chosen, lambda t: t["span"])))
 
 

@@ -66,3 +66,15 @@ def test_redaction_and_cases(spark):
 def test_battery(spark, token, random):
     row = spark.createDataFrame([(token,)], "t string").select(secrets._battery(secrets.F.col("t")).alias("b")).first()["b"]
     assert row["random"] == random
+
+
+@pytest.mark.parametrize("name, alphabet, size", [(e[0], e[1], 22 if set(e[1]) <= set("0123456789abcdef") else 32) for e in secrets.ENCODINGS] + [("wide", secrets._WIDEST, 40)])
+def test_each_encoding_is_found(spark, name, alphabet, size):
+    import random
+
+    source = random.Random(9)
+    words = ["internationalizationally", "SomeCamelCaseIdentifierName", "some/long/path-name/of-files", "LONG_CONSTANT_NAME_OF_A_KIND"]
+    rows = [(i, f"see {''.join(source.choice(alphabet) for _ in range(size))} here") for i in range(50)] + [(1000 + i, f"see {words[i % 4]} here") for i in range(2000)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] == f"random:4:{4 + size}" for i in range(50)) >= 40
+    assert not any("random" in found[1000 + i] for i in range(2000))
