@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``; a local folder is set only where that is unset (tests)."""
+    """A new folder under the session's ``spark.checkpoint.dir``, which every executor must see; an error where that is unset.
+
+    A single-process session (master ``local``) without the setting gets its warehouse folder, which is the same disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/lodforge-{uuid.uuid4().hex}"
 
 
@@ -46,18 +50,25 @@ def discard(df: DataFrame) -> None:
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller limits of the session stay.
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Holds Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES`` for the jobs run inside, then gives the session its settings back.
 
-    A batch is held by the JVM, in the pipe and by the worker at once, and whole texts are large.
+    A batch is held by the JVM, in the pipe and by the worker at once, and whole texts are large. Smaller limits stay.
     """
-    conf = df.sparkSession.conf
+    before = {}
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", conf.get(f"spark.sql.execution.arrow.{key}").lower()).groups()
+        name = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", spark.conf.get(name).lower()).groups()
         now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
         if not 0 < now <= most:
-            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
-    return df
+            before[name] = spark.conf.get(name)
+            spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def text_or_empty(column: str = "text"):

@@ -2,10 +2,12 @@
 
 Filters of several widths run over bytes, are max-pooled over a window and feed a softmax. A text is cut into fixed-length
 windows, every one is scored, and the windows' log-probabilities are averaged by their letters. The fit uses windows spread
-over at most ``Fit.rows`` labelled rows, chosen by a hash of their id; rows whose crc32(id) mod 4 is 2 are held out.
+over at most ``Fit.rows`` labelled rows, one of each id and about as many of each language, chosen by a hash of their id;
+rows whose crc32(id) mod 4 is 2 are held out.
 
 Defined cases: a null text or one without letters gives ``und`` with score 0, and so does every text if no row is labelled;
-a null id is not held out and not learned from; repeated rows each get their result.
+a null id is not held out and not learned from; equal scores go to the language that comes first by code point; repeated rows
+each get their result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
 UNKNOWN = "und"
+_PARTS = 64
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are neither letters of ASCII nor part of a longer character become spaces.
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -162,12 +165,19 @@ def held_out() -> Column:
 
 
 def train_language(documents: DataFrame, fit: Fit = Fit()) -> Network | None:
-    """The network learned from rows that are not held out; None if none is labelled."""
+    """The network learned from rows that are not held out; None if none is labelled.
+
+    Each language's ids are taken in the order of their hash until ``fit.rows`` are full, in turn, so rare languages aren't lost.
+    A language's ids are ranked in ``_PARTS`` parts first, and of each part only as many go on as can be chosen.
+    """
     rows = (
         documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
         .withColumn("_h", F.xxhash64("doc_id"))
     )
-    chosen = rows.select("_h", "doc_id").orderBy("_h", "doc_id").limit(fit.rows)
+    first = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_r") <= fit.rows)
+    ids = rows.select("lang", "_h", "doc_id").distinct()
+    ranked = first(first(ids.withColumn("_p", F.pmod("_h", F.lit(_PARTS))), "lang", "_p").drop("_r"), "lang")
+    chosen = ranked.orderBy("_r", "_h", "doc_id", "lang").limit(fit.rows).select("_h", "doc_id", "lang")
 
     def pick(texts: pd.Series) -> pd.Series:
         out = []
@@ -176,7 +186,9 @@ def train_language(documents: DataFrame, fit: Fit = Fit()) -> Network | None:
             out.append(w[np.unique(np.linspace(0, max(len(w) - 2, 0), fit.spread).astype(int))].tobytes() if len(w) else b"")
         return pd.Series(out, dtype=object)
 
-    known = rows.join(F.broadcast(chosen), ["_h", "doc_id"], "left_semi").select("_h", "doc_id", "lang", F.pandas_udf(pick, "binary")("text").alias("w")).toPandas()
+    read = rows.join(F.broadcast(chosen), ["_h", "doc_id", "lang"], "left_semi").select("_h", "doc_id", "lang", F.pandas_udf(pick, "binary")("text").alias("w"))
+    with bounded_batches(documents.sparkSession):
+        known = read.groupBy("_h", "doc_id", "lang").agg(F.min("w").alias("w")).toPandas()  # at most fit.rows
     known = known.sort_values(["_h", "doc_id", "lang", "w"], ignore_index=True)
     cut = [np.frombuffer(w, np.uint8).reshape(-1, fit.window) for w in known["w"]]
     x = np.concatenate(cut) if cut else np.empty((0, fit.window), np.uint8)
@@ -200,7 +212,8 @@ def identified(network: Network | None, column: str = "text") -> Column:
 
 def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of every document."""
-    return bounded_batches(documents).select("doc_id", held_out().alias("held_out"), identified(network).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    with bounded_batches(documents.sparkSession):
+        return materialize(documents.select("doc_id", held_out().alias("held_out"), identified(network).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score"), "languages")
 
 
 #: Least score of a document that the filter keeps.
@@ -209,7 +222,8 @@ LEAST = 0.5
 
 def keep_identified(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """Documents whose language is recognised with at least this score; columns stay."""
-    network = train_language(bounded_batches(documents))
+    network = train_language(documents)
     columns = [F.col(f"`{c}`") for c in documents.columns]
     rows = documents.withColumn("__p", identified(network))
-    return rows.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least)).select(*columns)
+    with bounded_batches(documents.sparkSession):
+        return materialize(rows.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least)).select(*columns), "identified")

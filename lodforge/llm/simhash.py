@@ -132,7 +132,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
         .groupBy("leaf", "part").agg(F.collect_list("fp").alias("fps")), "simhash-tiles",
     )
     side = lambda s: tiles.select(F.col("leaf").alias(f"leaf_{s}"), F.col("part").alias(f"part_{s}"), F.col("fps").alias(f"fps_{s}"))
-    work = pairs.hint("shuffle_hash").join(side("a"), ["leaf_a", "part_a"]).join(side("b"), ["leaf_b", "part_b"]).select("fps_a", "fps_b")
+    work = pairs.hint("shuffle_hash").join(side("a"), ["leaf_a", "part_a"]).join(side("b"), ["leaf_b", "part_b"])
 
     def compare(batches):
         for batch in batches:
@@ -141,7 +141,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
                     yield pd.DataFrame(links, columns=["u", "v"])
 
     size = max(12, len(leaves))
-    return work.repartition(size, F.rand(SEED)).mapInPandas(compare, "u long, v long")
+    dealt = work.repartition(size, F.xxhash64("leaf_a", "part_a", "leaf_b", "part_b"))  # the same at every attempt of a task
+    return dealt.select("fps_a", "fps_b").mapInPandas(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,7 +168,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fp`` (signed), ``root`` (smallest fingerprint of the component), ``component_id`` for every document."""
-    own = materialize(bounded_batches(documents).select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
+    with bounded_batches(documents.sparkSession):
+        own = materialize(documents.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     rooted = distinct.join(components(fingerprint_links(distinct, radius)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
