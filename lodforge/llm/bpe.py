@@ -1,20 +1,23 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, one connection a Python worker.
 
-A batch's texts are cut into pattern matches; a match that is a token by itself is that token. The others become rows of
+A group of texts is cut into pattern matches; a match that is a token by itself is that token. The others become rows of
 (word, position, token), starting from single bytes, and a recursive query joins neighbours to the merge table and contracts
-each word's leftmost pair of minimum rank until no pair merges. Where the vocabulary shows that a merge can't bring forth a
-pair of lower rank, later non-overlapping repeats of the same pair are contracted in the same step, which gives the same
-tokens. Decoding joins ids to the vocabulary and concatenates in order.
+each word's leftmost pair of minimum rank until no pair merges. Decoding joins ids to the vocabulary and concatenates in order.
 
-Words already encoded are kept in a bounded cache. Texts run through in groups of ``GROUP`` characters, so memory doesn't
-grow with the input. Defined cases: a null or empty text has no tokens and decodes to nothing; repeated rows each get theirs.
+In a word of over ``SHORT`` bytes a step contracts all pairs of least rank within twice the longest possible token on either
+side: nothing nearer can still bring forth a lower rank that touches them, and nothing farther reaches them within one token.
+Of such pairs of one rank near each other all go at once unless one of them could bring forth a lower rank itself; then only
+the leftmost goes. So the tokens are those of contracting one pair at a time, in far fewer steps.
+
+Words met lately are kept in two bounded generations. Texts run through in groups of about ``GROUP`` characters, whatever
+the size of Arrow batches, so memory doesn't grow with the input. Defined cases: a null or empty text has no tokens and
+decodes to nothing; of pairs tied in rank the leftmost goes first; repeated rows each get theirs; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -22,40 +25,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
-#: Characters of a group of texts, cached words, recursive steps of a round for long words, bytes of a short word, words a query.
-GROUP, CACHED, ROUND, SHORT, WORDS = 1_000_000, 200_000, 32, 48, 20_000
+#: Characters of a group of texts, words of a cache generation, recursive steps of a round for long words, bytes of a short word, words a query.
+GROUP, CACHED, ROUND, SHORT, WORDS = 1_000_000, 300_000, 8, 48, 20_000
+#: Bytes of long words a query, or one longer word.
+LONG = 50_000
 #: Fixed value: how texts are cut before merging; public_tokenizers.PATTERN by default.
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 
+#: Long words. A key holds word and position, so that no join can meet on words alone; ``reach`` is a power of two, so no block
+#: of that many bytes has two words. ``hits`` are the pairs of least rank in their block and in both blocks beside it; ``parity``
+#: tells every other one of overlapping hits, null where their first is no hit yet; a hit is loud if its token could at once merge at a lower rank.
 _CONTRACT = """
-WITH RECURSIVE state(w, pos, tok, depth) AS (
-  SELECT w, pos, tok, 0 FROM fresh
+WITH RECURSIVE state(k, tok, nk, nxt, depth) AS (
+  SELECT w::BIGINT * 4294967296 + pos, tok, w::BIGINT * 4294967296 + npos, nxt, 0::INTEGER FROM fresh
   UNION ALL
-  SELECT w, CAST(row_number() OVER (PARTITION BY w ORDER BY pos) - 1 AS INTEGER), tok, depth FROM (
-    SELECT w, pos, CASE WHEN taken THEN best ELSE tok END AS tok, depth + 1 AS depth,
-      coalesce(lag(taken) OVER (PARTITION BY w ORDER BY pos), false) AS gone
-    FROM (
-      SELECT w, pos, tok, depth, best,
-        coalesce(id = best, false) AND (pos - last_miss) % 2 = 1 AND (repeats OR pos = first_hit) AS taken
-      FROM (
-        SELECT w, pos, tok, depth, id, best, repeats, min(CASE WHEN id = best THEN pos END) OVER (PARTITION BY w) AS first_hit,
-          coalesce(max(CASE WHEN id IS DISTINCT FROM best THEN pos END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING), -1) AS last_miss
-        FROM (
-          SELECT n.w, n.pos, n.tok, n.depth, m.id, m.repeats, min(m.id) OVER (PARTITION BY n.w) AS best
-          FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS following FROM state) n
-          LEFT JOIN merges m ON m.l = n.tok AND m.r = n.following
-        ) ranked WHERE best IS NOT NULL
-      ) placed
-    ) chosen
-  ) contracted WHERE NOT gone AND depth <= {depth}
+  (WITH pairs AS MATERIALIZED (
+     SELECT s.k, s.nk, m.id, s.k // {reach} AS block, row_number() OVER o AS i,
+       CASE WHEN lag(s.nk) OVER o = s.k THEN lag(s.tok) OVER o END AS before, CASE WHEN lag(s.nk) OVER o = s.k THEN lag(m.id) OVER o END AS earlier,
+       CASE WHEN lead(s.k) OVER o = s.nk THEN lead(s.nxt) OVER o END AS after
+     FROM state s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt WHERE s.depth < {depth} WINDOW o AS (ORDER BY s.k)),
+   low AS MATERIALIZED (SELECT block, min(id) AS least FROM pairs WHERE id IS NOT NULL GROUP BY block),
+   clear AS MATERIALIZED (
+     SELECT o.*, coalesce(u.least > o.least, true) AS first FROM low o LEFT JOIN low u ON u.block = o.block - 1 LEFT JOIN low v ON v.block = o.block + 1
+     WHERE coalesce(u.least >= o.least, true) AND coalesce(v.least >= o.least, true)),
+   hits AS MATERIALIZED (
+     SELECT p.*, c.first, p.i - row_number() OVER (ORDER BY p.k) AS run,
+       coalesce(x.id < p.id, false) OR coalesce(y.id < p.id, false) OR coalesce(z.id < p.id, false) AS loud
+     FROM pairs p JOIN clear c ON c.block = p.block AND c.least = p.id
+     LEFT JOIN merges x ON x.l = p.before AND x.r = p.id LEFT JOIN merges y ON y.l = p.id AND y.r = p.after LEFT JOIN merges z ON z.l = p.id AND z.r = p.id),
+   chained AS MATERIALIZED (SELECT *, (i - max(CASE WHEN earlier IS DISTINCT FROM id THEN i END) OVER (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING)) % 2 AS parity FROM hits),
+   judged AS MATERIALIZED (SELECT block, bool_or(loud) AS loud, min(k) AS leftmost FROM hits GROUP BY block),
+   spot AS MATERIALIZED (
+     SELECT h.k AS p, h.id AS made, h.nk AS gone
+     FROM chained h JOIN judged j ON j.block = h.block LEFT JOIN judged u ON u.block = h.block - 1 LEFT JOIN judged v ON v.block = h.block + 1
+     WHERE CASE WHEN j.loud OR coalesce(u.loud, false) OR coalesce(v.loud, false) THEN h.first AND h.k = j.leftmost ELSE h.parity = 0 END),
+   change AS MATERIALIZED (SELECT spot.*, r.nk AS nk2, r.nxt AS nxt2 FROM spot JOIN state r ON r.k = spot.gone)
+   SELECT s.k, coalesce(a.made, s.tok), coalesce(a.nk2, s.nk), coalesce(n.made, CASE WHEN a.p IS NULL THEN f.made ELSE a.nxt2 END, s.nxt), s.depth + 1
+   FROM state s LEFT JOIN change a ON a.p = s.k LEFT JOIN change f ON f.p = s.nk LEFT JOIN change n ON n.p = a.nk2 LEFT JOIN change g ON g.gone = s.k
+   WHERE g.gone IS NULL AND s.k // 4294967296 IN (SELECT p // 4294967296 FROM spot))
 )
-SELECT w, list(tok ORDER BY pos) AS ids, max(depth) AS depth FROM state s
-WHERE depth = (SELECT max(depth) FROM state t WHERE t.w = s.w) GROUP BY w
+SELECT (k // 4294967296)::INTEGER AS w, (k % 4294967296)::INTEGER AS pos, tok, (nk % 4294967296)::INTEGER AS npos, nxt, depth
+FROM (SELECT *, max(depth) OVER (PARTITION BY k // 4294967296) AS deepest FROM state) WHERE depth = deepest ORDER BY k
 """
 
-#: The same contraction for short words: each row knows its right neighbour, so a step needs hash joins only, no sort.
+#: Short words, one pair a step: each row knows its right neighbour, so a step needs hash joins only, no sort.
 _SHORT = """
 WITH RECURSIVE state(w, pos, tok, npos, nxt, depth) AS (
   SELECT w, pos, tok, npos, nxt, 0::INTEGER FROM fresh
@@ -102,17 +117,16 @@ class Bpe:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), made.append(i)
         l, r, m = (np.array(x, np.int32) for x in (left, right, made))
-        lowest = np.full(len(self.tokens), len(self.tokens), np.int64)  # of the merges that a token takes part in
-        np.minimum.at(lowest, l, m), np.minimum.at(lowest, r, m)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "temp_directory": tempfile.mkdtemp(prefix="duckdb-")})
-        self.db.register("given", pa.table({"l": l, "r": r, "id": m, "repeats": lowest[m] > m}))
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})  # bounded groups fit, nothing spills
+        self.db.register("given", pa.table({"l": l, "r": r, "id": m}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
-        self.db.register("given", pa.table({"id": np.arange(len(self.tokens), dtype=np.int32), "hex": [t.hex() for t in self.tokens]}))
+        self.db.register("given", pa.table({"id": np.arange(len(self.tokens), dtype=np.int32), "piece": [t.decode("latin-1") for t in self.tokens]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
         self.bytes = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Bpe":
@@ -128,12 +142,19 @@ class Bpe:
             part = short[i : i + WORDS]
             for k, ids in zip(part, self._contract_short([words[k] for k in part]), strict=True):
                 out[k] = ids
-        long = [k for k, w in enumerate(words) if len(w) > SHORT]
-        for k, ids in zip(long, self._contract_long([words[k] for k in long]), strict=True):
-            out[k] = ids
+        part, size = [], 0
+        for k in [*(k for k, w in enumerate(words) if len(w) > SHORT), None]:
+            if part and (k is None or size + len(words[k]) > LONG):
+                for i, ids in zip(part, self._contract_long([words[i] for i in part]), strict=True):
+                    out[i] = ids
+                part, size = [], 0
+            if k is not None:
+                part.append(k)
+                size += len(words[k])
         return out
 
-    def _contract_short(self, words: list[bytes]) -> list[bytes]:
+    def _register(self, words: list[bytes]) -> None:
+        """Token-position rows of ``words``, each with its right neighbour, as ``given``."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         tokens = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
@@ -141,6 +162,9 @@ class Bpe:
         following = np.append(tokens[1:], np.int32(-1)).astype(np.int32)
         following[np.cumsum(lengths) - 1] = -1
         self.db.register("given", pa.table({"w": owner, "pos": place, "tok": tokens, "npos": place + np.int32(1), "nxt": following}))
+
+    def _contract_short(self, words: list[bytes]) -> list[bytes]:
+        self._register(words)
         self.db.execute("CREATE OR REPLACE TEMP TABLE fresh AS SELECT * FROM given")
         self.db.unregister("given")
         found = self.db.execute(_SHORT).fetchnumpy()
@@ -149,57 +173,65 @@ class Bpe:
         return [raw[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
 
     def _contract_long(self, words: list[bytes]) -> list[bytes]:
-        """By rounds of at most ``ROUND`` recursive steps."""
+        """By rounds of at most ``ROUND`` recursive steps; words at their fixpoint leave."""
         out: list[bytes] = [b""] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        tokens = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        while len(owner):
-            place = np.arange(len(owner)) - np.repeat(np.flatnonzero(np.diff(owner, prepend=-1)), np.diff(np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))))
-            self.db.register("given", pa.table({"w": owner, "pos": place.astype(np.int32), "tok": tokens}))
+        if not words:
+            return out
+        letters = set().union(*words)
+        reach = 1 << max(len(t) for t in self.tokens if letters.issuperset(t)).bit_length() + 1  # over twice the longest token
+        self._register(words)
+        while True:
             self.db.execute("CREATE OR REPLACE TEMP TABLE fresh AS SELECT * FROM given")
             self.db.unregister("given")
-            owners, kept = [], []
-            for w, ids, depth in self.db.execute(_CONTRACT.format(depth=ROUND)).fetchall():
-                if depth < ROUND:
-                    out[w] = np.array(ids, "<u4").tobytes()
-                else:  # not at its fixpoint yet
-                    owners.append(np.full(len(ids), w, np.int32))
-                    kept.append(np.array(ids, np.int32))
-            owner, tokens = (np.concatenate(owners), np.concatenate(kept)) if owners else (owner[:0], tokens[:0])
-        return out
+            found = {k: np.asarray(v) for k, v in self.db.execute(_CONTRACT.format(depth=ROUND, reach=reach)).fetchnumpy().items()}
+            ended = found["depth"] < ROUND
+            w = found["w"][ended]
+            for k, ids in zip(*(np.split(x, np.flatnonzero(np.diff(w)) + 1) for x in (w, found["tok"][ended])), strict=True):
+                if len(k):
+                    out[k[0]] = ids.astype("<u4").tobytes()
+            if ended.all():
+                return out
+            self.db.register("given", pa.table({k: found[k][~ended] for k in ("w", "pos", "tok", "npos", "nxt")}))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pattern.findall(t) for t in texts]
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        fresh = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.cache]
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        held: dict[str, bytes] = {}
+        fresh = []
+        for w in set().union(*cut):
+            ids = self.young.get(w) or self.old.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                held[w] = ids
         raw = [w.encode() for w in fresh]
         own = [self.rank.get(w) for w in raw]
-        self.cache.update((w, int(i).to_bytes(4, "little")) for w, i in zip(fresh, own, strict=True) if i is not None)
+        held.update((w, i.to_bytes(4, "little")) for w, i in zip(fresh, own, strict=True) if i is not None)
         rest = [k for k, i in enumerate(own) if i is None]
         if rest:
-            self.cache.update(zip((fresh[k] for k in rest), self.contract([raw[k] for k in rest]), strict=True))
-        get = self.cache.__getitem__
+            held.update(zip((fresh[k] for k in rest), self.contract([raw[k] for k in rest]), strict=True))
+        self.young.update(held)
+        get = held.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence, by an ordered aggregation."""
+        """Bytes of each id sequence, by an ordered aggregation; a byte travels as the code point of its value."""
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
         owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
         out = [b""] * len(ids)
         if not len(flat):
             return out
         self.db.register("given", pa.table({"w": owner, "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-        for w, text in self.db.execute("SELECT w, string_agg(v.hex, '' ORDER BY pos) FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY w").fetchall():
-            out[w] = bytes.fromhex(text)
+        for w, text in self.db.execute("SELECT w, array_to_string(list(v.piece ORDER BY pos), '') FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY w").fetchall():
+            out[w] = text.encode("latin-1")
         self.db.unregister("given")
         return out
 
 
 def _groups(texts: list[str]):
-    """Index ranges of at most ``GROUP`` characters, or of one text."""
+    """Index ranges of about ``GROUP`` characters, or of one longer text."""
     start, held = 0, 0
     for k, t in enumerate(texts):
         if held and held + len(t) > GROUP:
@@ -243,13 +275,28 @@ def decode_column(column: str = "ids", path: str | None = None, pattern: str | N
 def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``: encodes every text, then decodes the ids."""
     at = _settings(path, pattern)
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        bpe, given, out = Bpe.of(*at), [t or "" for t in texts], []
-        for a, b in _groups(given):
-            ids = bpe.encode(given[a:b])
-            out += [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in zip(ids, bpe.decode(ids), strict=True)]
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
-
-    digest = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return bounded_batches(documents).select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def digests(ids: list, texts: list[str]) -> pd.DataFrame:
+        bpe = Bpe.of(*at)
+        codes = bpe.encode(texts)
+        out = pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n_tokens": [len(x) // 4 for x in codes], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in codes]})
+        return out.assign(decoded_sha256=[hashlib.sha256(x).hexdigest() for x in bpe.decode(codes)])
+
+    def run(batches):
+        """Groups of texts over batches: the size of a query doesn't hang on the size of a batch."""
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
+                t = t or ""
+                if texts and held + len(t) > GROUP:
+                    yield digests(ids, texts)
+                    ids, texts, held = [], [], 0
+                ids.append(None if pd.isna(i) else i), texts.append(t)
+                held += len(t)
+        if texts:
+            yield digests(ids, texts)
+
+    rows = documents.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    with bounded_batches(documents.sparkSession):
+        return materialize(rows.withColumn("doc_id", F.col("doc_id").cast(kind)), "tokens")
