@@ -52,3 +52,44 @@ def test_nothing_beside_the_body_is_lost():
         assert html.main_text(page) == f"Before.\n\n{body.strip()}\n\nAfter."
     page = f"<body><article><p>{body}</p><p>{body}</p></article><hr><hr><hr><article><b>S</b><i>h</i><b>o</b><i>r</i>t.</article></body>"
     assert html.main_text(page) == "\n\n".join([body.strip(), body.strip(), "Short."])
+
+
+BODY = "The body of the page goes on for quite a while, as prose does. " * 8
+
+
+def test_marks_alone_empty_no_page():
+    for opening, closing in (('<div class="content no-sidebar">', "</div>"), ('<article class="post has-sidebar">', "</article>"), ('<div class="share-price-report">', "</div>"), ("<form>", "</form>"), ('<div class="widget">', "</div>"), ('<span class="nav-wrapper">', "</span>")):
+        assert html.main_text(f"<body><nav><a>Home</a></nav>{opening}<h1>Title</h1><p>{BODY}</p><p>End.</p>{closing}<footer>bye</footer></body>") == f"Title\n\n{BODY.strip()}\n\nEnd.", opening
+    inside = f'<article><h2 class="section-header">Part</h2><p>{BODY}</p><div class="search-results-analysis">Results of it.</div></article>'
+    assert html.main_text(inside) == f"Part\n\n{BODY.strip()}\n\nResults of it."
+    assert html.main_text(f"<body><p>{BODY}</p><a>Home</a><a>News</a><p>{BODY}</p></body>") == "\n\n".join([BODY.strip()] * 2)
+    assert html.main_text('<div class="ad">A long advert that says more than the page does, by far.</div><article><h1>Short</h1></article>') == "Short"
+
+
+def pages_without_articles():
+    """Bodies, side columns and teasers that nothing but their ratios tells apart."""
+    for k in range(40):
+        links = "".join(f"<li>x{i} <b>y</b></li>" for i in range(6 + k % 9))
+        body = "".join(f"<p>{BODY[: 90 + 37 * ((k + j) % 5)]}</p>" for j in range(3 + k % 4))
+        teaser = "<article><b>See</b> <i>also</i></article>" if k % 2 else ""
+        yield f"<body><div><div><ul>{links}</ul></div><div><h1>Title {k}</h1>{body}</div>{teaser}<div><ul>{links}</ul></div></div></body>", f"Title {k}", 3 + k % 4
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    def right():
+        found = [(html.main_text(page).split("\n\n"), title, n) for page, title, n in pages_without_articles()]
+        return sum(blocks[0] == title and len(blocks) - ("See also" in blocks) == n + 1 for blocks, title, n in found)
+
+    assert right() == 40
+    draw = html.np.random.default_rng(1)
+    monkeypatch.setattr(html, "smooth", lambda ratios: draw.random(len(ratios)))
+    assert right() < 20
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in ("<div>word " * 50_000, "<b>x" * 50_000 + "<p>y" * 5_000, "<div><i>" + "<b>x</i>" * 50_000):
+        began = time.time()
+        assert html.main_text(page)
+        assert time.time() - began < 20
