@@ -2,11 +2,12 @@
 
 Records hash into ``SLOTS`` virtual slots; bytes are summed per slot; a slot-to-shard map, one version a folder, deals the
 slots to shards of near-equal bytes (largest slot first, each to the lightest shard). Rebalancing writes the map's next
-version and moves slots only. All that is gathered is one row a slot, a fixed bound; records are read twice and their
-narrow columns shuffled once.
+version and moves slots only. All that is gathered is one row a slot, a fixed bound. Texts are read once; their narrow columns,
+equal ones counted first, are shuffled once and written.
 
-Defined cases: a null text has no bytes and the checksum of nothing; a null id hashes by its text; rows repeated under one
-id stay together in a slot, each with a place of its own; an empty table gives no rows and an even map.
+Defined cases: a null text has no bytes and the checksum of nothing; a null id hashes by its text's size and checksum; rows equal
+in id, size and checksum go to slots by blocks of ``COPIES``, so however many there are they fill no slot, and each gets a place
+of its own; ties go by id, size, checksum and block; an empty table gives no rows and an even map.
 """
 
 from __future__ import annotations
@@ -14,23 +15,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, work_dir
+from .common import materialize, text_or_empty, work_dir
 
-SLOTS, SHARDS, OVERHEAD = 8192, 24, 8
+SLOTS, SHARDS, OVERHEAD, COPIES = 8192, 24, 8, 16
 
 
 def virtual_slot(slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(slots)).cast("int")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("/", F.lit("none"), "size", "text_crc32"))
+    return F.pmod(F.when(F.col("block") == 0, F.xxhash64(own)).otherwise(F.xxhash64(own, "block")), F.lit(slots)).cast("int")
 
 
 def record_bytes() -> Column:
     return (F.octet_length(text_or_empty()) + OVERHEAD).cast("long")
 
 
-def slot_bytes(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``vslot``, ``bytes``, ``rows`` for every slot, empty ones too."""
-    held = documents.select(virtual_slot(slots).alias("vslot"), record_bytes().alias("size")).groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    every = documents.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+def records(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``doc_id``, ``size``, ``text_crc32``, ``block``, ``copies``, ``vslot``: one row for up to ``COPIES`` equal records, written."""
+    narrow = documents.select("doc_id", record_bytes().alias("size"), F.crc32(F.encode(text_or_empty(), "utf-8")).alias("text_crc32"))
+    counted = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    copies = F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("block") * COPIES)
+    return materialize(blocks.select("doc_id", "size", "text_crc32", "block", copies.alias("copies"), virtual_slot(slots).alias("vslot")), "records")
+
+
+def slot_bytes(held: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``vslot``, ``bytes``, ``rows`` for every slot of ``records``, empty slots too."""
+    held = held.groupBy("vslot").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows"))
+    every = held.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
     return every.join(held, "vslot", "left").select("vslot", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
@@ -82,14 +93,14 @@ class SlotMap:
         return self.write(kept.select("vslot", "shard").unionByName(moved), version + 1)
 
 
-def shard_documents(documents: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot`` (place in the shard, gapless from 0), ``vslot``.
+def shard_documents(held: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot`` (place in the shard, gapless from 0), ``vslot`` of every record.
 
     A place is the rows of the shard's earlier virtual slots plus the rank in the own one, so no shard meets in one task.
     """
-    narrow = documents.select("doc_id", record_bytes().alias("size"), F.crc32(F.encode(text_or_empty(), "utf-8")).alias("text_crc32"), virtual_slot(slots).alias("vslot"))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")
-    held = slot_bytes(documents, slots).select("vslot", "rows").join(slot_map, "vslot").select("vslot", "shard", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32"))
-    ranked = narrow.withColumn("rank", rank)
-    return ranked.join(F.broadcast(held), "vslot").select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), "vslot")
+    starts = slot_bytes(held, slots).select("vslot", "rows").join(slot_map, "vslot").select("vslot", "shard", before.alias("before"))
+    earlier = F.sum("copies").over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "block")) - F.col("copies")
+    placed = held.withColumn("earlier", earlier).join(F.broadcast(starts), "vslot")  # one row a slot
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return copies.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("earlier") + F.col("copy")).cast("long").alias("slot"), "vslot")

@@ -7,8 +7,8 @@ from . import cases
 
 
 def shard(spark, documents, shards=24):
-    maps = sharding.SlotMap(spark)
-    return sharding.shard_documents(documents, maps.create(sharding.slot_bytes(documents), shards)), maps
+    maps, held = sharding.SlotMap(spark), sharding.records(documents)
+    return sharding.shard_documents(held, maps.create(sharding.slot_bytes(held), shards)), maps
 
 
 def test_sizes_places_and_balance(spark):
@@ -28,7 +28,7 @@ def test_sizes_places_and_balance(spark):
 def test_rebalance_moves_little(spark, small):
     documents = table(spark, small, "documents")
     _, maps = shard(spark, documents, 4)
-    weights = sharding.slot_bytes(documents)
+    weights = sharding.slot_bytes(sharding.records(documents))
     first, second = ({r["vslot"]: r["shard"] for r in m.collect()} for m in (maps.read(1), maps.rebalance(1, weights, 5)))
     size = {r["vslot"]: r["bytes"] for r in weights.collect()}
     assert set(second.values()) == set(range(5)) and len(second) == len(first)
@@ -38,6 +38,17 @@ def test_rebalance_moves_little(spark, small):
     assert {r["vslot"]: r["shard"] for r in maps.read(1).collect()} == first
 
 
+def test_one_record_in_a_third_of_all_rows(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'the same', repeat('x', int(id % 50))) as text")
+    found = shard(spark, rows)[0].collect()
+    load, places = [0] * 24, [[] for _ in range(24)]
+    for r in found:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert len(found) == 6000 and all(sorted(p) == list(range(len(p))) for p in places)
+    assert max(load) - min(load) < 0.1 * sum(load) / 24
+
+
 def test_cases(spark):
     found, _ = shard(spark, cases.frame(spark))
     rows = found.collect()
