@@ -19,9 +19,9 @@ def op2_html(spark, sf_dir):
 
 
 def op3_sharding(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    slot_map = sharding.SlotMap(spark).create(sharding.slot_bytes(documents))
-    return sharding.shard_documents(documents, slot_map).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    held = sharding.records(table(spark, sf_dir, "documents"))
+    slot_map = sharding.SlotMap(spark).create(sharding.slot_bytes(held))
+    return sharding.shard_documents(held, slot_map).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op4_bpe(spark, sf_dir):
@@ -62,6 +62,24 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html, op3_sharding, op4_bpe, op5_neighbours, op6_warc, op7_simhash, op8_language, op9_mixing, op10_secrets, pipeline)}
 ORACLES: dict[str, str] = {
+    "op9_mixing": r"""
+WITH m AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  substr(md5(concat_ws('/', coalesce(CAST(doc_id AS VARCHAR), ''), CASE WHEN doc_id IS NULL THEN text END)), 1, 9) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM m GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS place, 2.0::DOUBLE * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS reach FROM w),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER e, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER e, 0)) AS level FROM r
+  WINDOW e AS (ORDER BY reach, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT level FROM l WHERE level <= reach ORDER BY reach, place LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT level FROM c) * weight, cap)) END AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+u AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM (SELECT source, h, sum(size) AS n FROM m GROUP BY source, h)),
+f AS (SELECT p.source, min(u.h) AS h FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source WHERE u.upto > p.target - p.whole * p.source_size GROUP BY p.source),
+b AS (SELECT p.*, f.h AS last, 2 * (p.target - p.whole * p.source_size - (u.upto - u.n)) >= u.n AS with_last FROM p
+  LEFT JOIN f ON f.source IS NOT DISTINCT FROM p.source LEFT JOIN u ON u.source IS NOT DISTINCT FROM p.source AND u.h = f.h)
+SELECT m.doc_id, m.size, b.source_size, b.target, CAST(m.size * (b.whole + CASE WHEN b.last IS NULL OR m.h < b.last OR (m.h = b.last AND b.with_last) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM m JOIN b ON m.source IS NOT DISTINCT FROM b.source
+""",
     "op6_warc": """
 WITH body AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 digest AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM body),
