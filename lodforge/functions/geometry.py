@@ -65,9 +65,9 @@ def to_ecef(lon: Column, lat: Column, height: Column) -> tuple[Column, Column, C
     return (n + height) * F.cos(p) * F.cos(l), (n + height) * F.cos(p) * F.sin(l), (n * (1 - e2) + height) * F.sin(p)
 
 
-def enu_basis(lon: float, lat: float) -> tuple[tuple[Column, ...], ...]:
+def enu_basis(lon: Column, lat: Column) -> tuple[tuple[Column, ...], ...]:
     """East, north and up unit vectors of an origin in degrees."""
-    l, p = F.radians(F.lit(lon)), F.radians(F.lit(lat))
+    l, p = F.radians(lon), F.radians(lat)
     sl, cl, sp, cp = F.sin(l), F.cos(l), F.sin(p), F.cos(p)
     return (-sl, cl, F.lit(0.0)), (-sp * cl, -sp * sl, cp), (cp * cl, cp * sl, sp)
 
@@ -101,3 +101,47 @@ def contains(outer: tuple[Column, ...], inner: tuple[Column, ...], eps: float) -
     n = len(outer) // 2
     checks = [i >= o - eps if k < n else i <= o + eps for k, (o, i) in enumerate(zip(outer, inner, strict=True))]
     return F.forall(F.array(*checks), lambda ok: ok)
+
+
+def enu_transform(origin: tuple[Column, ...], basis) -> Column:
+    """Basis and origin as sixteen numbers, one axis after the other."""
+    return F.array(*[v for axis in basis for v in (*axis, F.lit(0.0))], *origin, F.lit(1.0))
+
+
+def world_to_frame(point: tuple[Column, ...], transform: Column) -> tuple[Column, ...]:
+    """``point`` in the frame of a sixteen-number transform; unchanged if that is null, of another length or not finite."""
+    usable = F.coalesce((F.size(transform) == 16) & F.forall(transform, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    at = lambda k: F.try_element_at(transform, F.lit(k + 1))
+    moved = [p - at(12 + k) for k, p in enumerate(point)]
+    return tuple(F.when(usable, sum((m * at(4 * axis + k) for k, m in enumerate(moved)), F.lit(0.0))).otherwise(point[axis]) for axis in range(3))
+
+
+def bounds_to_enu(low: tuple[Column, ...], high: tuple[Column, ...], place, origin: tuple[Column, ...], basis) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+    """Bounds of a box's eight corners in the local frame; ``place`` takes a corner to earth-centred metres."""
+    corners = [to_enu(place(*[(high if k >> axis & 1 else low)[axis] for axis in range(3)]), origin, basis) for k in range(8)]
+    return tuple(F.least(*[c[axis] for c in corners]) for axis in range(3)), tuple(F.greatest(*[c[axis] for c in corners]) for axis in range(3))
+
+
+def octree_ancestor(level: Column, key: tuple[Column, ...], to: int) -> tuple[Column, ...]:
+    """Level and key of the ancestor at level ``to``; a key at or above that level is its own."""
+    steps = F.pow(F.lit(2.0), F.greatest(level - to, F.lit(0)))
+    return (F.least(level, F.lit(to)), *[F.floor(k / steps).cast("int") for k in key])
+
+
+def level_error(level: Column, is_leaf: Column, diagonal_: Column) -> Column:
+    """Half the error a level, from the root's diagonal; none for a tile without children."""
+    return F.when(is_leaf, F.lit(0.0)).otherwise(diagonal_ / F.pow(F.lit(2.0), level))
+
+
+def detail_volume(ix: Column, iy: Column, low: Column, high: Column, origin: tuple[float, float], cell: float, scale: float = 3.0, least: float = 500.0) -> Column:
+    """Request box that all leaves of a parent cell share: its square ``scale`` times as wide, its half height at least ``least``."""
+    zero, half = F.lit(0.0), F.lit(cell / 2 * scale)
+    return F.array((ix + 0.5) * cell + origin[0], (iy + 0.5) * cell + origin[1], (low + high) / 2, half, zero, zero, zero, half, zero, zero, zero, F.greatest((high - low) / 2, F.lit(least)))
+
+
+def request_box(box_: Column, ratio: float) -> Column:
+    """A box whose vertical half axis is stretched to ``ratio`` times its half diagonal, if that is longer; null for a flat axis."""
+    at = lambda k: F.element_at(box_, k)
+    lengths = [diagonal(at(k), at(k + 1), at(k + 2)) for k in (4, 7, 10)]
+    factor = F.greatest(lengths[2], diagonal(*lengths) * ratio) / F.nullif(lengths[2], F.lit(0.0))
+    return F.when(factor.isNotNull() & (lengths[0] > 0) & (lengths[1] > 0), F.concat(F.slice(box_, 1, 9), F.transform(F.slice(box_, 10, 3), lambda v: v * factor)))

@@ -44,10 +44,12 @@ def is_contained(owner: Column, uri: Column) -> Column:
 
 
 def canonical_uri(uri: Column) -> Column:
-    """Slashes, query and fragment normalised; an absolute reference gives its path; one that climbs out stays marked as relative."""
-    plain = F.regexp_replace(F.regexp_replace(uri, r"\\\\", "/"), r"[?#].*$", "")
+    """Backslashes turned, query and fragment gone; an absolute reference gives its path with its slash, others lose a leading
+    slash and ``./``; one that climbs out stays marked as relative. Null stays null."""
+    plain = F.regexp_replace(F.translate(uri, "\\", "/"), r"[?#].*$", "")
+    absolute = plain.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
     path = F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
-    return F.when(plain.rlike(r"^\.\.?/"), F.concat(F.lit("relative:"), plain)).otherwise(path)
+    return F.when(absolute, path).when(plain.rlike(r"^\.\./"), F.concat(F.lit("relative:"), plain)).otherwise(F.regexp_replace(plain, r"^(\./|/)+", ""))
 
 
 def human_count(n: Column) -> Column:

@@ -6,14 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def source_drift(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """``key``, ``status`` (added, removed, changed, same) for every key of either ledger; nulls compare as equal values."""
-    o, n = old.select(key, F.struct(*values).alias("_o")), new.select(key, F.struct(*values).alias("_n"))
-    both = o.join(n, key, "full_outer")
-    status = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(~F.col("_o").eqNullSafe(F.col("_n")), "changed").otherwise("same")
-    return both.select(key, status.alias("status"))
-
-
 def missing_content(referenced: DataFrame, present: DataFrame, key: str = "uri") -> DataFrame:
     """References without content and how often each is made."""
     return referenced.groupBy(key).agg(F.count("*").alias("refs")).join(present.select(key).distinct(), key, "left_anti")

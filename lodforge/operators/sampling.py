@@ -21,12 +21,3 @@ def quota_allocation(occupancy: DataFrame, quota: int, node=("node",)) -> DataFr
     rows = rows.withColumn("sweep", F.greatest(F.lit(0), F.least(F.col("spare"), F.col("rest2") - before)))
     alloc = F.when(F.col("q") <= 0, 0).when(F.col("q") <= F.col("n"), (F.col("top") <= F.col("q")).cast("int")).otherwise(1 + F.col("f") + F.col("b") + F.col("sweep"))
     return rows.select(*node, "cell", "cnt", alloc.cast("long").alias("alloc"))
-
-
-def phase_asof(requests: DataFrame, phases: DataFrame) -> DataFrame:
-    """Each request with the phase active at its start; those before the first phase go, ``ready`` counts as ``refining``."""
-    marks = phases.select("session", "ts", F.lit(0).alias("o"), "event_id", "phase")
-    asked = requests.select("session", "ts", F.lit(1).alias("o"), "event_id", F.lit(None).cast("string").alias("phase"))
-    last = F.last("phase", ignorenulls=True).over(Window.partitionBy("session").orderBy("ts", "o", "event_id"))
-    active = marks.union(asked).withColumn("active", last).where("o = 1 and active is not null")
-    return active.select("event_id", F.when(F.col("active") == "ready", "refining").otherwise(F.col("active")).alias("phase"))

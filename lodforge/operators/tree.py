@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from lodforge.functions import geometry as g
 
 from .sampling import quota_allocation
-from .work import written
+from .work import discard, written
 
 NODE = ("ix", "iy", "path")
 #: Parts in which a microcell's points are ranked before the survivors are ranked together.
 PARTS = 16
 
 
+#: Most rows of a table of nodes or quotas that is broadcast to the points.
+FEW = 500_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """``table`` written, and marked for broadcast if it has at most ``FEW`` rows: points then stay where they are; else they are shuffled to it."""
+    held = written(table, "few")
+    return F.broadcast(held) if held.count() <= FEW else held
+
+
 @dataclass(frozen=True)
 class Profile:
     """``target``: points an inner node keeps; ``leaf``, ``hard``: most of a leaf, and of one at ``depth``; ``grid``: microcells a side."""
@@ -36,7 +46,7 @@ def representatives(points: DataFrame, quota: DataFrame, node=NODE, parts: int =
     A point among a microcell's smallest is among its part's smallest, so the parts are ranked apart and only their survivors
     together: no task sorts a whole microcell however many points it holds. A cell without quota owns none.
     """
-    rows = points.join(quota.select(*node, "cell", "alloc"), [*node, "cell"], "left").withColumn("alloc", F.coalesce("alloc", F.lit(0)))
+    rows = points.join(few(quota.select(*node, "cell", "alloc")), [*node, "cell"], "left").withColumn("alloc", F.coalesce("alloc", F.lit(0)))
     order = ("hi", "lo", "ordinal")
     rows = rows.withColumn("_part", F.col("lo") % parts)
     rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*node, "cell", "_part").orderBy(*order)) <= F.col("alloc"))
@@ -51,7 +61,7 @@ def _kind(depth: int, profile: Profile):
 
 
 def residual_tree(points: DataFrame, profile: Profile = Profile(), origin: tuple[float, float] = (-4000.0, -2000.0)) -> DataFrame:
-    """Points with their owner: ``ordinal, x, y, z, ix, iy, path, depth, kind, input``; each input point comes once.
+    """Points with their owner: ``ordinal, x, y, z, ix, iy, path, depth, kind, input``, written; each input point comes once.
 
     ``points`` has ordinal, x, y, z, ix, iy, hi, lo. All cells and nodes of a depth are handled at once and written, at most
     ``profile.depth`` + 1 times. A node over ``hard`` at the last depth keeps its points as kind ``overflow``. No points: no rows.
@@ -61,18 +71,20 @@ def residual_tree(points: DataFrame, profile: Profile = Profile(), origin: tuple
     levels = []
     for depth in range(profile.depth + 1):
         kinds = now.groupBy(*NODE).agg(F.count("*").alias("input")).withColumn("kind", _kind(depth, profile))
-        rows = now.join(kinds, list(NODE))
+        rows = now.join(few(kinds), list(NODE))
         inner = rows.where("kind = 'internal'").withColumn("cell", g.microcell(F.col("x"), F.col("y"), F.col("mx"), F.col("my"), F.col("size"), profile.grid))
         quota = quota_allocation(inner.groupBy(*NODE, "cell").agg(F.count("*").alias("cnt")), profile.target, NODE)
         kept = rows.where("kind <> 'internal'").withColumn("own", F.lit(True))
         level = written(kept.unionByName(representatives(inner, quota).drop("cell")).withColumn("depth", F.lit(depth)), f"tree-{depth}")
-        levels.append(level.where("own"))
+        levels.append(level)
         rest, half = level.where("not own"), F.col("size") / 2
         if depth == profile.depth or rest.isEmpty():
             break
         east, north = (F.col("x") >= F.col("mx") + half).cast("int"), (F.col("y") >= F.col("my") + half).cast("int")
         now = rest.withColumns({"path": F.concat("path", (east + 2 * north).cast("string")), "mx": F.col("mx") + east * half, "my": F.col("my") + north * half, "size": half}).drop("own", "depth", "kind", "input")
-    return reduce(DataFrame.unionByName, levels).select("ordinal", "x", "y", "z", *NODE, "depth", "kind", "input")
+    owned = written(reduce(DataFrame.unionByName, [level.where("own") for level in levels]).select("ordinal", "x", "y", "z", *NODE, "depth", "kind", "input"), "owned")
+    discard(*levels)
+    return owned
 
 
 def node_manifest(owned: DataFrame, least: int = 200) -> DataFrame:
@@ -112,3 +124,15 @@ def subtree_rollup(nodes: DataFrame, profile: Profile = Profile()) -> DataFrame:
 def node_accounting(nodes: DataFrame) -> DataFrame:
     """One row a node with ``balanced``: what came in was emitted or handed to its children."""
     return nodes.select(*NODE, "kind", "input", "emitted", "handed", (F.col("input") == F.col("emitted") + F.col("handed")).alias("balanced"))
+
+
+def leaf_diagnostics(nodes: DataFrame, least_area: float = 1e-6) -> DataFrame:
+    """Leaves by ``depth`` and in total (null): median, 95th percentile and maximum of points, extent (longer side) and density, and how many are underfilled or clamped.
+
+    A leaf smaller than ``least_area`` counts with that area and as clamped.
+    """
+    area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
+    figures = {"points": F.col("emitted"), "extent": F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")), "density": F.col("emitted") / F.greatest(area, F.lit(least_area))}
+    rows = nodes.where("kind <> 'internal'").select("depth", "underfilled", (area < least_area).alias("clamped"), *[v.cast("double").alias(k) for k, v in figures.items()])
+    sums = [v for k in figures for v in (F.percentile(k, 0.5).alias(f"{k}_p50"), F.percentile(k, 0.95).alias(f"{k}_p95"), F.max(k).alias(f"{k}_max"))]
+    return rows.rollup("depth").agg(F.count("*").alias("leaves"), *sums, F.count_if("underfilled").alias("underfilled"), F.count_if("clamped").alias("clamped"))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def base(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``, which every executor must see; an error where that is unset.
+
+    A single-process session (master ``local``) without the setting gets its warehouse folder, which is the same disk.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/lodforge-core-{spark.sparkContext.applicationId}"
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lodforge-{uuid.uuid4().hex}"
+    """A new folder under ``base``."""
+    return f"{base(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +30,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` wrote and nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+#: Tables that a session has written once, by application and key.
+_ONCE: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """The table of ``key``, written by the first call of this application; written again if its files are gone."""
+    full = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), *key)
+    held = _ONCE.get(full)
+    if held is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(held[1])
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return spark.read.schema(held[0]).parquet(held[1])
+    df = build()
+    path = f"{folder(spark)}/{key[0]}"
+    df.write.parquet(path)
+    _ONCE[full] = (df.schema, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every working table of this application; results that still read them end with it."""
+    for key in [k for k in _ONCE if k[0] == spark.sparkContext.applicationId]:
+        del _ONCE[key]
+    _delete(spark, base(spark))

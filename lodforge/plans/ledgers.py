@@ -17,14 +17,6 @@ def _census(p):
     return p.groupBy("ix", "iy").agg(F.count("*").alias("n"))
 
 
-def _ledger(p, condition: str):
-    return p.where(condition).groupBy("chunk_id").agg(F.count("*").alias("n"), F.max("z").alias("top"))
-
-
-_OLD, _NEW = "chunk_id <> 'chunk-7'", "chunk_id <> 'chunk-0' and (chunk_id <> 'chunk-3' or ordinal % 2 = 0)"
-_SIDE = "(SELECT chunk_id, count(*) AS n, max(z) AS top FROM cells WHERE {} GROUP BY 1)"
-r.on_points("source_drift", f"SELECT chunk_id, CASE WHEN o.n IS NULL THEN 'added' WHEN w.n IS NULL THEN 'removed' WHEN o.n <> w.n OR o.top <> w.top THEN 'changed' ELSE 'same' END AS status FROM {_SIDE.format(_OLD)} o FULL JOIN {_SIDE.format(_NEW)} w USING (chunk_id)",
-            lambda p: ledgers.source_drift(_ledger(p, _OLD), _ledger(p, _NEW), "chunk_id", ["n", "top"]))
 r.on_timing("missing_content", "SELECT uri, count(*) AS refs FROM timing WHERE uri NOT IN (SELECT uri FROM timing WHERE event_id % 7 IN (0, 2, 3)) GROUP BY 1", lambda e: ledgers.missing_content(e, e.where("event_id % 7 in (0, 2, 3)")))
 
 
@@ -34,11 +26,6 @@ def zero_runs(spark, sf):
     return ledgers.zero_runs(src.frames(spark, sf).withColumn("selected_points", shown))
 
 
-r.on_points("pilot_extension", f"SELECT ix, iy, n FROM {r._CENSUS} WHERE NOT (ix = 1 AND iy = 0)", lambda p: _census(p).join(_census(p.where("ix = 1 and iy = 0")).select("ix", "iy"), ["ix", "iy"], "left_anti"))
-r.on_points("extension_accounting", "SELECT count(*) FILTER (WHERE ix <= 1) AS base, count(*) FILTER (WHERE ix > 1) AS added, count(*) AS visited FROM cells",
-            lambda p: (lambda k: k.agg(F.sum(F.when(c("ix") <= 1, c("n")).otherwise(0)).alias("base"), F.sum(F.when(c("ix") > 1, c("n")).otherwise(0)).alias("added"), F.sum("n").alias("visited")))(_census(p)))
-
-
 def _pilot(p):
     dense = _census(p).orderBy(F.desc("n"), "ix", "iy").limit(1).select("ix", "iy")
     middle = _census(p).agg(F.percentile("n", 0.25).alias("q"))
@@ -78,7 +65,5 @@ def _tiles(p):
 r.on_points("tile_size_metrics", f"SELECT count(*) AS tiles, CAST(sum(b) AS BIGINT) AS total, CAST(sum(b) // count(*) AS BIGINT) AS mean, max(b) AS largest, (SELECT max(n) FROM (SELECT n FROM {_TILES} ORDER BY b DESC LIMIT 64)) AS most_points FROM {_TILES}",
             lambda p: (lambda k: k.agg(F.count("*").alias("tiles"), F.sum("b").alias("total"), F.floor(F.sum("b") / F.count("*")).alias("mean"), F.max("b").alias("largest"))
                        .crossJoin(F.broadcast(k.orderBy(F.desc("b")).limit(64).agg(F.max("n").alias("most_points")))))(_tiles(p)))
-r.on_points("tile_warnings", f"SELECT lvl, count(*) FILTER (WHERE n > 150) AS crowded, count(*) FILTER (WHERE b > 5120) AS heavy, count(*) > 5000 AS many FROM {_TILES} GROUP BY 1",
-            lambda p: _tiles(p).groupBy("lvl").agg(F.count_if(c("n") > 150).alias("crowded"), F.count_if(c("b") > 5120).alias("heavy"), (F.count("*") > 5000).alias("many")))
 r.on_timing("human_meters", "SELECT event_id, concat(CASE WHEN m < 0 THEN '-' ELSE '' END, CASE WHEN abs(m) >= 10000 THEN concat(printf('%.1f', abs(m)/1000.0::DOUBLE), ' km') WHEN abs(m) >= 1000 THEN concat(printf('%.2f', abs(m)/1000.0::DOUBLE), ' km') ELSE concat(abs(m), ' m') END) AS label FROM (SELECT event_id, decoded % 500 * 100 - 25000 AS m FROM timing)",
             lambda e: e.select("event_id", t.human_meters(c("decoded") % 500 * 100 - 25000).alias("label")))

@@ -39,7 +39,9 @@ def query(oracle: str | None, views: str = _POINTS, name: str | None = None):
 
 
 def on_points(name: str, oracle: str, f) -> None:
-    query(oracle, _CELLS, name)(lambda spark, sf: f(_cells(spark, sf)))
+    """Points with their root cell; ordinals only for a query whose twin names them."""
+    cells = _cells if "ordinal" in oracle else _plain_cells
+    query(oracle, _CELLS, name)(lambda spark, sf: f(cells(spark, sf)))
 
 
 def on_timing(name: str, oracle: str, f) -> None:
@@ -47,11 +49,19 @@ def on_timing(name: str, oracle: str, f) -> None:
 
 
 def on_areas(name: str, oracle: str, f) -> None:
-    query(oracle, _AREAS, name)(lambda spark, sf: f(src.areas(src.points(spark, sf))))
+    query(oracle, _AREAS, name)(lambda spark, sf: f(src.areas(src.plain_points(spark, sf))))
+
+
+def with_cells(points: DataFrame, origin: tuple[float, float] = (-4000.0, -2000.0)) -> DataFrame:
+    return points.withColumns({"ix": g.cell_index(c("x"), origin[0]), "iy": g.cell_index(c("y"), origin[1])})
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    return src.points(spark, sf).withColumns({"ix": g.cell_index(c("x"), -4000.0), "iy": g.cell_index(c("y"), -2000.0)})
+    return with_cells(src.points(spark, sf))
+
+
+def _plain_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return with_cells(src.plain_points(spark, sf))
 
 
 def _r(column, digits: int = 6):
@@ -59,24 +69,13 @@ def _r(column, digits: int = 6):
 
 
 # Sources
-on_points("point_scan", "SELECT count(*) AS n, round(min(x),6) AS min_x, round(max(x),6) AS max_x, round(min(y),6) AS min_y, round(max(y),6) AS max_y, bool_and(red IS NOT NULL) AS has_rgb FROM cells",
-          lambda p: p.agg(F.count("*").alias("n"), _r(F.min("x")).alias("min_x"), _r(F.max("x")).alias("max_x"), _r(F.min("y")).alias("min_y"), _r(F.max("y")).alias("max_y"), F.bool_and(c("red").isNotNull()).alias("has_rgb")))
 on_points("source_profile", "SELECT chunk_id, count(*) AS n, round(min(x),6) AS min_x, round(max(z),6) AS max_z FROM cells GROUP BY ROLLUP(chunk_id)",
           lambda p: p.rollup("chunk_id").agg(F.count("*").alias("n"), _r(F.min("x")).alias("min_x"), _r(F.max("z")).alias("max_z")))
-on_points("consolidate_sources", "SELECT ordinal, round(x,6) AS x, CASE WHEN ordinal % 2 = 0 THEN red END AS red FROM cells",
-          lambda p: p.where("ordinal % 2 = 0").select("ordinal", _r(c("x")).alias("x"), "red").unionByName(p.where("ordinal % 2 = 1").select("ordinal", _r(c("x")).alias("x")), allowMissingColumns=True))
-on_points("spatial_chunk", "SELECT CAST(floor((x+4000)/500) AS INT) AS cx, CAST(floor((y+2000)/500) AS INT) AS cy, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS s FROM cells GROUP BY 1,2",
-          lambda p: p.groupBy(g.cell_index(c("x"), -4000.0, 500.0).alias("cx"), g.cell_index(c("y"), -2000.0, 500.0).alias("cy")).agg(F.count("*").alias("n"), F.sum("ordinal").alias("s")))
-on_points("spatial_chunk_buffered", """SELECT cx, cy, count(*) AS n, count(*) FILTER (WHERE cx <> floor((x+4000)/500) OR cy <> floor((y+2000)/500)) AS buffered FROM (SELECT x, y, unnest(range(CAST(floor((x-20+4000)/500) AS BIGINT), CAST(floor((x+20+4000)/500) AS BIGINT)+1)) AS cx, floor((y-20+2000)/500) AS y0, floor((y+20+2000)/500) AS y1 FROM cells) a, (SELECT CAST(range AS BIGINT) AS cy FROM range(-20, 40)) b WHERE cy BETWEEN y0 AND y1 GROUP BY cx, cy""",
-          lambda p: p.withColumn("cx", F.explode(F.sequence(F.floor((c("x") - 20 + 4000) / 500), F.floor((c("x") + 20 + 4000) / 500)))).withColumn("cy", F.explode(F.sequence(F.floor((c("y") - 20 + 2000) / 500), F.floor((c("y") + 20 + 2000) / 500)))).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.count_if((c("cx") != F.floor((c("x") + 4000) / 500)) | (c("cy") != F.floor((c("y") + 2000) / 500))).alias("buffered")))
-on_points("global_ordinal", "SELECT ordinal, round(x,6) AS x, chunk_id FROM cells", lambda p: p.select("ordinal", _r(c("x")).alias("x"), "chunk_id"))
 # Filters and projections
 on_points("valid_points", "SELECT count(*) AS n FROM cells WHERE isfinite(x) AND isfinite(y) AND isfinite(z)",
           lambda p: p.where(" and ".join(f"not isnan({a}) and abs({a}) < double('Infinity')" for a in "xyz")).agg(F.count("*").alias("n")))
 on_points("bounds_filter", "SELECT ordinal, round(x,6) AS x, round(y,6) AS y FROM cells WHERE x BETWEEN -1000 AND 1000 AND y BETWEEN 0 AND 500",
           lambda p: p.where(c("x").between(-1000, 1000) & c("y").between(0, 500)).select("ordinal", _r(c("x")).alias("x"), _r(c("y")).alias("y")))
-on_points("chunk_prune", "SELECT chunk_id, count(*) AS n FROM cells GROUP BY 1 HAVING max(x) >= 5000 AND min(x) <= 5200 AND max(y) >= 0 AND min(y) <= 100",
-          lambda p: p.join(p.groupBy("chunk_id").agg(*[f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xy"]).where("hix >= 5000 and lox <= 5200 and hiy >= 0 and loy <= 100"), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.count("*").alias("n")))
 on_points("selected_cells", "SELECT ix, iy, count(*) AS n FROM cells WHERE (ix,iy) IN ((1,0),(2,1),(3,1)) GROUP BY 1,2",
           lambda p: p.join(F.broadcast(p.sparkSession.createDataFrame([(1, 0), (2, 1), (3, 1)], "ix int, iy int")), ["ix", "iy"], "left_semi").groupBy("ix", "iy").agg(F.count("*").alias("n")))
 on_points("rgb_to_u8", "SELECT ordinal, CAST(floor(least(greatest(red/256,0),255)) AS INT) AS r8 FROM cells", lambda p: p.select("ordinal", g.rgb_to_u8(c("red")).alias("r8")))
@@ -84,8 +83,6 @@ on_points("detect_color_scale", "SELECT CASE WHEN max(greatest(red,green,blue))
           lambda p: p.where("ordinal < 10000").agg(F.when(F.max(F.greatest("red", "green", "blue")).between(1, 255), 256).alias("scale")))
 on_points("nested_sample", "SELECT lvl, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS s FROM cells, (VALUES (0,1000),(1,50),(2,10),(3,2),(4,1)) l(lvl,step) WHERE ordinal % step = 0 GROUP BY 1",
           lambda p: p.select("ordinal", F.explode(g.levels_of(c("ordinal"))).alias("lvl")).groupBy("lvl").agg(F.count("*").alias("n"), F.sum("ordinal").alias("s")))
-on_points("decimate_step", "SELECT chunk_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, ordinal // 4096 ORDER BY ordinal) - 1 AS s FROM cells) WHERE s % 10 = 0",
-          lambda p: p.withColumn("s", F.row_number().over(Window.partitionBy("chunk_id", F.floor(c("ordinal") / 4096)).orderBy("ordinal")) - 1).where("s % 10 = 0").select("chunk_id", "ordinal"))
 on_points("role_split", "SELECT CASE WHEN ordinal % 1000 = 0 THEN 'p001' ELSE 'adaptive' END AS role, count(*) AS n FROM cells GROUP BY 1", lambda p: p.groupBy(g.role(c("ordinal")).alias("role")).agg(F.count("*").alias("n")))
 on_points("tile_id_format", "SELECT DISTINCT printf('z%d_x%06d_y%06d', 0, ix-2, iy-1) AS tile FROM cells", lambda p: p.select(g.tile_id(0, c("ix") - 2, c("iy") - 1).alias("tile")).distinct())
 on_points("tile_id_parse", "SELECT DISTINCT ix-2 AS px, iy-1 AS py, 0 AS lvl FROM cells",
@@ -123,11 +120,8 @@ on_areas("area_numbering", "SELECT area_id, chunk_id FROM areas", lambda a: a.se
 on_points("geodetic_to_ecef", "SELECT ordinal, round((6378137.0/sqrt(1-6.69437999014e-3*sin(radians(y/100))**2)+z)*cos(radians(y/100))*cos(radians(x/1000)),3) AS ex, round((6378137.0/sqrt(1-6.69437999014e-3*sin(radians(y/100))**2)*(1-6.69437999014e-3)+z)*sin(radians(y/100)),3) AS ez FROM cells",
           lambda p: p.select("ordinal", *[_r(v, 3).alias(n) for v, n in zip(g.to_ecef(c("x") / 1000, c("y") / 100, c("z")), ("ex", "ey", "ez"), strict=True) if n != "ey"]))
 # Aggregations
-on_points("z0_census", "SELECT ix, iy, printf('z0_x%06d_y%06d', ix, iy) AS z0_id, count(*) AS n FROM cells GROUP BY 1,2", lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).withColumn("z0_id", g.tile_id(0, c("ix"), c("iy"))))
 on_points("routing_accounting", "SELECT ix, iy, count(*) FILTER (WHERE ordinal % 1000 = 0) AS p001, count(*) FILTER (WHERE ordinal % 1000 <> 0) AS adaptive FROM cells GROUP BY 1,2",
           lambda p: p.groupBy("ix", "iy").agg(F.count_if(c("ordinal") % 1000 == 0).alias("p001"), F.count_if(c("ordinal") % 1000 != 0).alias("adaptive")))
-on_points("accounting_totals", "SELECT count(*) AS visited, count(*) FILTER (WHERE ix < 1) AS outside, count(*) FILTER (WHERE ix >= 1) AS eligible, true AS balanced FROM cells",
-          lambda p: p.agg(F.count("*").alias("visited"), F.count_if(c("ix") < 1).alias("outside"), F.count_if(c("ix") >= 1).alias("eligible")).withColumn("balanced", c("visited") == c("outside") + c("eligible")))
 _LEVELS = "(VALUES (0,1000,2000.0),(1,50,1000.0),(2,10,500.0),(3,2,250.0),(4,1,50.0)) l(lvl,step,size)"
 
 
@@ -137,8 +131,6 @@ def _pyramid(p: DataFrame) -> DataFrame:
 
 
 on_points("pyramid_counts", f"SELECT lvl, CAST(floor((x+4000)/size) AS INT) AS px, CAST(floor((y+2000)/size) AS INT) AS py, count(*) AS n FROM cells, {_LEVELS} WHERE ordinal % step = 0 GROUP BY 1,2,3", lambda p: _pyramid(p).groupBy("lvl", "px", "py").agg(F.count("*").alias("n")))
-on_points("pyramid_level_summary", f"SELECT lvl, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS points FROM (SELECT lvl, floor((x+4000)/size) AS px, floor((y+2000)/size) AS py, count(*) AS n FROM cells, {_LEVELS} WHERE ordinal % step = 0 GROUP BY 1,2,3) GROUP BY 1",
-          lambda p: _pyramid(p).groupBy("lvl", "px", "py").agg(F.count("*").alias("n")).groupBy("lvl").agg(F.count("*").alias("tiles"), F.sum("n").alias("points")))
 on_points("content_bounds", "SELECT ix, iy, round(min(x),6) AS min_x, round(max(x),6) AS max_x, round((min(y)+max(y))/2,6) AS mid_y FROM cells GROUP BY 1,2", lambda p: p.groupBy("ix", "iy").agg(_r(F.min("x")).alias("min_x"), _r(F.max("x")).alias("max_x"), _r((F.min("y") + F.max("y")) / 2).alias("mid_y")))
 on_points("microcell_occupancy", f"SELECT ix, iy, {_MICRO} AS cell, count(*) AS cnt FROM cells GROUP BY 1,2,3", lambda p: _micro(p).groupBy("ix", "iy", "cell").agg(F.count("*").alias("cnt")))
 _OCC = f"(SELECT ix, iy, {_MICRO} AS cell, count(*) AS cnt FROM cells GROUP BY 1,2,3)"
@@ -168,17 +160,6 @@ on_points("distribution_summary", f"SELECT count(*) AS cnt, CAST(sum(n) AS BIGIN
           lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).agg(F.count("*").alias("cnt"), F.sum("n").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"), _r(F.avg("n")).alias("mean"), _r(F.percentile("n", 0.5)).alias("p50"), _r(F.percentile("n", 0.95)).alias("p95")))
 on_points("dense_cell", f"SELECT ix, iy, n FROM {_CENSUS} ORDER BY n DESC, ix, iy LIMIT 1", lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ix", "iy").limit(1))
 on_points("role_disjoint", "SELECT count(*) AS shared FROM (SELECT ordinal FROM cells WHERE ordinal % 1000 = 0 INTERSECT SELECT ordinal FROM cells WHERE ordinal % 1000 <> 0)", lambda p: p.where("ordinal % 1000 = 0").select("ordinal").intersect(p.where("ordinal % 1000 <> 0").select("ordinal")).agg(F.count("*").alias("shared")))
-on_points("role_complete", "SELECT count(*) AS missing FROM (SELECT ordinal FROM cells EXCEPT ALL SELECT ordinal FROM cells WHERE ordinal % 1013 <> 7)", lambda p: p.select("ordinal").exceptAll(p.where("ordinal % 1013 <> 7").select("ordinal")).agg(F.count("*").alias("missing")))
-_OWNED = "owned AS (SELECT ordinal FROM cells WHERE ordinal % 1013 <> 7 UNION ALL SELECT ordinal FROM cells WHERE ordinal % 1021 = 5)"
-
-
-def _audit(p: DataFrame) -> DataFrame:
-    owned = p.where("ordinal % 1013 <> 7").select("ordinal").unionAll(p.where("ordinal % 1021 = 5").select("ordinal")).groupBy("ordinal").agg(F.count("*").alias("m"))
-    both = p.select(c("ordinal").alias("e"), "ix", "iy").join(owned, c("e") == c("ordinal"), "full_outer")
-    return both.groupBy("ix", "iy").agg(F.count_if(c("m").isNull()).alias("omitted"), F.count_if(c("m") > 1).alias("duplicates"), F.count_if(c("e").isNull()).alias("extra"))
-
-
-query("SELECT ix, iy, count(*) FILTER (WHERE m IS NULL) AS omitted, count(*) FILTER (WHERE m > 1) AS duplicates, count(*) FILTER (WHERE e IS NULL) AS extra FROM (SELECT ordinal AS e, ix, iy FROM cells) x FULL JOIN (SELECT ordinal, count(*) AS m FROM owned GROUP BY 1) y ON x.e = y.ordinal GROUP BY 1,2", f"{_CELLS}, {_OWNED}", "ownership_audit")(lambda spark, sf: _audit(_cells(spark, sf)))
 # Telemetry
 _FIRST = "coalesce(nullif(transfer,0),nullif(encoded,0),nullif(decoded,0),0)"
 on_timing("request_summary", f"SELECT count(*) AS requests, count(*) FILTER (WHERE uri LIKE '%.pnts') AS content, CAST(sum({_FIRST}) AS BIGINT) AS bytes FROM timing",
@@ -188,19 +169,10 @@ on_timing("cache_hit_ratio", "SELECT round(count(*) FILTER (WHERE transfer=0 AND
 on_timing("tiles_by_depth", r"SELECT CASE WHEN uri LIKE 'points/z0/%' THEN 'p001' ELSE concat('d', regexp_extract(uri,'/d(\d+)_q',1)) END AS bucket, count(*) AS n FROM timing GROUP BY 1",
           lambda e: e.groupBy(F.when(t.parse_node_uri(c("uri"))[3], "p001").otherwise(F.coalesce(F.concat(F.lit("d"), t.parse_node_uri(c("uri"))[1]), F.lit("other"))).alias("bucket")).agg(F.count("*").alias("n")))
 _ASOF = "SELECT t.event_id, CASE WHEN p.phase = 'ready' THEN 'refining' ELSE p.phase END AS phase FROM timing t ASOF JOIN (SELECT session, ts, arg_max(phase, event_id) AS phase FROM phases GROUP BY 1,2) p ON t.session = p.session AND t.ts >= p.ts"
-query(_ASOF, _TIMING, "phase_asof")(lambda spark, sf: sampling.phase_asof(src.timing(spark, sf), src.phases(spark, sf)))
-query(f"SELECT phase, count(*) AS requests, CAST(sum({_FIRST}) AS BIGINT) AS bytes FROM ({_ASOF}) JOIN timing USING (event_id) GROUP BY 1", _TIMING, "phase_metrics")(
-    lambda spark, sf: sampling.phase_asof(src.timing(spark, sf), src.phases(spark, sf)).join(src.timing(spark, sf), "event_id").groupBy("phase").agg(F.count("*").alias("requests"), F.sum(F.expr(_FIRST)).alias("bytes")))
-on_timing("human_bytes", "SELECT event_id, CASE WHEN decoded < 1024 THEN concat(decoded, ' B') WHEN decoded < 1048576 THEN concat(printf('%.1f', round(decoded/1024.0::DOUBLE,1)), ' KiB') ELSE concat(printf('%.1f', round(decoded/1048576.0::DOUBLE,1)), ' MiB') END AS label FROM timing", lambda e: e.select("event_id", t.human_bytes(c("decoded")).alias("label")))
 on_timing("human_duration", "SELECT event_id, CASE WHEN decoded >= 3600 THEN concat(lpad(CAST(decoded//3600 AS VARCHAR),2,'0'), ':', lpad(CAST(decoded//60%60 AS VARCHAR),2,'0'), ':', lpad(CAST(decoded%60 AS VARCHAR),2,'0')) ELSE concat(lpad(CAST(decoded//60 AS VARCHAR),2,'0'), ':', lpad(CAST(decoded%60 AS VARCHAR),2,'0')) END AS label FROM (SELECT event_id, decoded % 90000 AS decoded FROM timing)", lambda e: e.select("event_id", t.human_duration(c("decoded") % 90000).alias("label")))
 
 
 # More expressions and small reports
-on_timing("uri_canonical", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('/x/', uri) ELSE concat('relative:../', uri) END AS canonical FROM timing",
-          lambda e: e.select("event_id", t.canonical_uri(F.when(c("event_id") % 2 == 0, F.concat(F.lit("https://t/x/"), c("uri"), F.lit("?c=1"))).otherwise(F.concat(F.lit("../"), c("uri"), F.lit("#a")))).alias("canonical")))
-on_timing("human_count", "SELECT event_id, CASE WHEN decoded >= 1000000 THEN concat(printf('%.1f', round(decoded/1000000.0::DOUBLE,1)), 'M') WHEN decoded >= 1000 THEN concat(printf('%.1f', round(decoded/1000.0::DOUBLE,1)), 'K') ELSE CAST(decoded AS VARCHAR) END AS label FROM timing", lambda e: e.select("event_id", t.human_count(c("decoded")).alias("label")))
-on_timing("requests_by_level", r"SELECT count(*) FILTER (WHERE uri LIKE 'points/z0/%') AS z0, count(*) FILTER (WHERE uri NOT LIKE 'points/z0/%') AS other FROM timing",
-          lambda e: e.agg(F.count_if(F.regexp_extract("uri", r"^points/z(\d+)/", 1) == "0").alias("z0"), F.count_if(~c("uri").rlike(r"^points/z\d+/")).alias("other")))
 on_points("leaf_stats", f"SELECT round(quantile_cont(n,0.5),6) AS p50, round(quantile_cont(n,0.95),6) AS p95, max(n) AS largest, round(avg(CAST(n BETWEEN 1000 AND 5000 AS INT)),9) AS accepted, count(*) AS leaves FROM {_CENSUS}",
           lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).agg(_r(F.percentile("n", 0.5)).alias("p50"), _r(F.percentile("n", 0.95)).alias("p95"), F.max("n").alias("largest"), _r(F.avg(c("n").between(1000, 5000).cast("int")), 9).alias("accepted"), F.count("*").alias("leaves")))
 on_points("structural_gate", f"SELECT quantile_cont(n,0.95) <= 10000 AS p95_ok, max(n) <= 6000 AS hard_ok FROM {_CENSUS}",
@@ -210,9 +182,6 @@ on_points("sparse_cell", f"SELECT ix, iy, n FROM {_CENSUS} ORDER BY abs(n - (SEL
 on_points("pyramid_zrange", "SELECT l AS lvl, CAST(floor((x+4000)/s) AS INT) AS px, CAST(floor((y+2000)/s) AS INT) AS py, round(min(z),6) AS lo, round(max(z),6) AS hi FROM cells, (VALUES (0,2000.0),(1,1000.0),(2,500.0),(3,250.0),(4,50.0)) v(l,s) GROUP BY 1,2,3",
           lambda p: _zrange(p))
 on_points("occupied_ancestors", "SELECT l AS lvl, count(DISTINCT (floor((x+4000)/s), floor((y+2000)/s))) AS cells FROM cells, (VALUES (0,2000.0),(1,1000.0),(2,500.0),(3,250.0),(4,50.0)) v(l,s) GROUP BY 1", lambda p: _zrange(p).groupBy("lvl").agg(F.count("*").alias("cells")))
-on_points("enu_basis", "SELECT round(-sin(radians(7.5)),12) AS ex, round(cos(radians(7.5)),12) AS ey, round(cos(radians(46.5))*cos(radians(7.5)),12) AS ux, round(sin(radians(46.5)),12) AS uz FROM (SELECT min(ordinal) FROM cells)",
-          lambda p: p.agg(F.min("ordinal").alias("_o")).select(*[_r(g.enu_basis(7.5, 46.5)[i][j], 12).alias(n) for i, j, n in ((0, 0, "ex"), (0, 1, "ey"), (2, 0, "ux"), (2, 2, "uz"))]))
-on_areas("density_ratio", "SELECT area_id, round(point_count / nullif(point_count - point_count % 7, 0), 9) AS ratio FROM areas", lambda a: a.select("area_id", _r(F.try_divide(c("point_count"), c("point_count") - c("point_count") % 7), 9).alias("ratio")))
 on_areas("chunk_limit_filter", "SELECT area_id, chunk_id FROM areas WHERE chunk_id NOT IN ('chunk-1','chunk-2') ORDER BY chunk_id LIMIT 3", lambda a: a.join(a.where(c("chunk_id").isin("chunk-1", "chunk-2")).select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id").limit(3).select("area_id", "chunk_id"))
 
 
@@ -233,4 +202,4 @@ def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["z0_census"](spark, "/root/testdata/sf0.001")
 
 
-from lodforge.plans import ledgers, streams, tree  # noqa: E402,F401  register further queries
+from lodforge.plans import areas, basics, frames, ledgers, pyramids, streams, telemetry, tree, walks  # noqa: E402,F401  register further queries

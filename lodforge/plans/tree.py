@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodforge.functions import geometry as g
 from lodforge.functions.hashing import INCREMENT, LAST, ROUNDS, SALT, with_stable_hash
 from lodforge.operators import tree
+from lodforge.operators.work import once
 from lodforge.plans import registry as r
 
 PROFILE = tree.Profile()
@@ -49,10 +50,14 @@ _HASH, _TREE = _hash_views(), _tree_views(PROFILE)
 
 def _rollup_views(p: tree.Profile) -> str:
     raw = f"CASE WHEN kind = 'internal' THEN sqrt(greatest((max_x-min_x)*(max_y-min_y),1e-6)/greatest(1,emitted))*{p.scale} ELSE 0 END"
+    sides = [f"{n}_{k}" for n in ("min", "max") for k in "xyz"]
     views = []
     for d in range(p.depth, -1, -1):
-        child = f"(SELECT ix, iy, parent AS path, max(error) AS ce, min(sub_min_x) AS lx, max(sub_max_z) AS hz FROM u{d + 1} GROUP BY ALL)" if d < p.depth else "(SELECT 0 AS ix, 0 AS iy, '' AS path, 0.0 AS ce, 0.0 AS lx, 0.0 AS hz WHERE false)"
-        views.append(f"u{d} AS MATERIALIZED (SELECT n.ix, n.iy, n.path, n.depth, n.parent, n.kind, CASE WHEN kind = 'internal' THEN greatest({raw}, ce*1.05, ce+0.01) ELSE 0 END AS error, least(min_x, lx) AS sub_min_x, greatest(max_z, hz) AS sub_max_z FROM nodes n LEFT JOIN {child} b ON (n.ix, n.iy, n.path) = (b.ix, b.iy, b.path) WHERE n.depth = {d})")
+        folds = ", ".join(f"{s[:3]}(sub_{s}) AS c_{s}" for s in sides)
+        none = ", ".join(f"0.0 AS c_{s}" for s in sides)
+        child = f"(SELECT ix, iy, parent AS path, max(error) AS ce, {folds} FROM u{d + 1} GROUP BY ALL)" if d < p.depth else f"(SELECT 0 AS ix, 0 AS iy, '' AS path, 0.0 AS ce, {none} WHERE false)"
+        own = ", ".join(f"{'least' if s.startswith('min') else 'greatest'}(n.{s}, b.c_{s}) AS sub_{s}" for s in sides)
+        views.append(f"u{d} AS MATERIALIZED (SELECT n.ix, n.iy, n.path, n.depth, n.parent, n.kind, CASE WHEN kind = 'internal' THEN greatest({raw}, ce*1.05, ce+0.01) ELSE 0 END AS error, {own} FROM nodes n LEFT JOIN {child} b ON (n.ix, n.iy, n.path) = (b.ix, b.iy, b.path) WHERE n.depth = {d})")
     return f"{_TREE}, " + ", ".join(views)
 
 
@@ -61,7 +66,8 @@ def _hashed(spark, sf):
 
 
 def _owned(spark, sf):
-    return tree.residual_tree(_hashed(spark, sf).where("ordinal % 1000 <> 0"), PROFILE)
+    """The tree of the data, written once a session."""
+    return once(spark, ("owned", sf), lambda: tree.residual_tree(_hashed(spark, sf).where("ordinal % 1000 <> 0"), PROFILE))
 
 
 def _nodes(spark, sf):
@@ -102,8 +108,17 @@ def depth_summary(spark, sf):
     return tiles.groupBy("bucket").agg(F.count("*").alias("tiles"), F.sum("emitted").alias("points"), F.sum(g.estimated_bytes(c("emitted"))).alias("bytes"))
 
 
-on_nodes("leaf_diagnostics", "SELECT depth, count(*) AS leaves, round(quantile_cont(emitted,0.5),6) AS p50, round(quantile_cont(emitted,0.95),6) AS p95, max(emitted) AS largest, count(*) FILTER (WHERE underfilled) AS underfilled FROM nodes WHERE kind <> 'internal' GROUP BY ROLLUP(depth)",
-         lambda n: n.where("kind <> 'internal'").rollup("depth").agg(F.count("*").alias("leaves"), r._r(F.percentile("emitted", 0.5)).alias("p50"), r._r(F.percentile("emitted", 0.95)).alias("p95"), F.max("emitted").alias("largest"), F.count_if("underfilled").alias("underfilled")))
+_AREA = "(max_x-min_x)*(max_y-min_y)"
+_FIGURES = {"points": "emitted", "extent": "greatest(max_x-min_x, max_y-min_y)", "density": f"emitted/greatest({_AREA}, 1.0)"}
+
+
+@r.query("SELECT depth, count(*) AS leaves, " + ", ".join(f"round(quantile_cont({v},0.5),6) AS {k}_p50, round(quantile_cont({v},0.95),6) AS {k}_p95, round(max({v}),6) AS {k}_max" for k, v in _FIGURES.items())
+         + f", count(*) FILTER (WHERE underfilled) AS underfilled, count(*) FILTER (WHERE {_AREA} < 1.0) AS clamped FROM nodes WHERE kind <> 'internal' GROUP BY ROLLUP(depth)", _TREE)
+def leaf_diagnostics(spark, sf):
+    rows = tree.leaf_diagnostics(_nodes(spark, sf), 1.0)
+    return rows.withColumns({f"{k}_{q}": r._r(c(f"{k}_{q}")) for k in _FIGURES for q in ("p50", "p95", "max")})
+
+
 _ROLLUP = _rollup_views(PROFILE)
 _ALL = " UNION ALL ".join(f"SELECT * FROM u{d}" for d in range(PROFILE.depth + 1))
 
@@ -112,21 +127,9 @@ def _rolled(spark, sf):
     return tree.subtree_rollup(_nodes(spark, sf), PROFILE)
 
 
-@r.query(f"SELECT ix, iy, path, kind, round(error,6) AS error, round(sub_min_x,6) AS sub_min_x, round(sub_max_z,6) AS sub_max_z FROM ({_ALL})", _ROLLUP)
+@r.query(f"SELECT ix, iy, path, kind, round(error,6) AS error, {', '.join(f'round(sub_{n}_{k},6) AS sub_{n}_{k}' for n in ('min', 'max') for k in 'xyz')} FROM ({_ALL})", _ROLLUP)
 def subtree_rollup(spark, sf):
-    return _rolled(spark, sf).select("ix", "iy", "path", "kind", *[r._r(c(k)).alias(k) for k in ("error", "sub_min_x", "sub_max_z")])
-
-
-@r.query(f"SELECT ix, iy, count(*) AS nodes, max(depth) AS deepest, round(max(error) FILTER (WHERE depth = 0),6) AS error FROM ({_ALL}) GROUP BY 1,2", _ROLLUP)
-def cell_document_rows(spark, sf):
-    return _rolled(spark, sf).groupBy("ix", "iy").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"), r._r(F.max(F.when(c("depth") == 0, c("error")))).alias("error"))
-
-
-@r.query(f"SELECT p.ix, p.iy, k.path, k.error < p.error AS falls, k.sub_min_x >= p.sub_min_x - 1e-6 AND k.sub_max_z <= p.sub_max_z + 1e-6 AS contained FROM ({_ALL}) k JOIN ({_ALL}) p ON k.ix = p.ix AND k.iy = p.iy AND k.parent = p.path", _ROLLUP)
-def tree_validate(spark, sf):
-    nodes = _rolled(spark, sf)
-    above = nodes.select("ix", "iy", c("path").alias("parent"), c("error").alias("p_error"), c("sub_min_x").alias("p_x"), c("sub_max_z").alias("p_z"))
-    return nodes.join(above, ["ix", "iy", "parent"]).select("ix", "iy", "path", (c("error") < c("p_error")).alias("falls"), ((c("sub_min_x") >= c("p_x") - 1e-6) & (c("sub_max_z") <= c("p_z") + 1e-6)).alias("contained"))
+    return _rolled(spark, sf).select("ix", "iy", "path", "kind", *[r._r(c(k)).alias(k) for k in ("error", *[f"sub_{n}_{a}" for n in ("min", "max") for a in "xyz"])])
 
 
 on_nodes("top_leaves", "SELECT ix, iy, path, emitted FROM nodes WHERE kind <> 'internal' ORDER BY emitted DESC, ix, iy, path LIMIT 10",

@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodforge.operators.work import once, written
+
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-#: Source rows of one ordering bucket, by the leading key.
-SPAN = 4096
+#: Bits of a row's place inside its partition in ``monotonically_increasing_id``.
+_PLACE = 33
 
 
-def with_ordinal(rows: DataFrame, keys=KEY, span: int = SPAN) -> DataFrame:
-    """Gapless ordinals in key order without a global sort: bucket counts give offsets, rows are ranked inside their bucket."""
-    bucket = F.floor(F.col(keys[0]) / span)
-    counts = rows.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    offsets = counts.withColumn("_o", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*keys))
-    ranked = rows.withColumn("_b", bucket).withColumn("_r", rank)
-    return ranked.join(offsets, "_b").withColumn("ordinal", (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_r", "_o")
+def with_ordinal(rows: DataFrame, keys=KEY) -> DataFrame:
+    """``rows`` with ``ordinal``: gapless from 0 in key order, nulls first; rows equal in all keys get their places in any order.
 
+    Rows are dealt to key ranges, sorted there and written with their place, so ordinals never change afterwards. What one task
+    sums up is one count a partition. No rows: no ordinals. A column of that name is replaced.
+    """
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    placed = written(ranged, "ranged")
+    part, place = F.shiftright("_m", _PLACE), F.col("_m").bitwiseAND(F.lit((1 << _PLACE) - 1))
+    counts = placed.groupBy(part.alias("_b")).agg(F.count("*").alias("_n"))
+    offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))  # one row a partition
+    return placed.withColumn("_b", part).join(F.broadcast(offsets), "_b").withColumn("ordinal", (F.col("_o") + place).cast("long")).drop("_b", "_m", "_o")
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ordinal, x, y, z, red, green, blue, chunk_id."""
-    rows = with_ordinal(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+def _shaped(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
-        "ordinal", (F.col("l_extendedprice") * 8 / 100 - 2600).alias("x"), ((F.col("l_suppkey") % 100) * 37.5 + F.col("l_quantity") * 20 - 1500).cast("double").alias("y"),
+        *more, (F.col("l_extendedprice") * 8 / 100 - 2600).alias("x"), ((F.col("l_suppkey") % 100) * 37.5 + F.col("l_quantity") * 20 - 1500).cast("double").alias("y"),
         (F.col("l_discount") * 500 + 0.0).cast("double").alias("z"), (F.col("l_partkey") * 32 % 65536).alias("red"), (F.col("l_orderkey") * 8 % 65536).alias("green"), (F.col("l_linenumber") * 9000 % 65536).alias("blue"),
         F.concat(F.lit("chunk-"), (F.col("l_partkey") % 8).cast("string")).alias("chunk_id"),
     )
 
 
+def plain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y, z, red, green, blue, chunk_id: for all that needs no ordinals, one scan and no shuffle."""
+    return _shaped(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def points(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
+    """ordinal and the columns of ``plain_points``; written once a session unless ``fresh``."""
+    build = lambda: _shaped(with_ordinal(spark.read.parquet(f"{sf_dir}/lineitem.parquet")), "ordinal")
+    return build() if fresh else once(spark, ("points", sf_dir), build)
+
+
+def read_points(parts: list[DataFrame], names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Points of all chunk sources in the order of their names, with ``chunk_id``, and one row of what holds for the whole dataset.
+
+    A source has x, y, z, maybe red, green and blue, and maybe ``crs``. Colours stay only if every source has all three. The
+    row: ``n``, the bounds, ``has_rgb``, ``crs`` (the one they share; null if none is known) and ``one_crs``, false if sources
+    differ, known and unknown counting as different. Sources without rows count for colours, not for the rest.
+    """
+    colours = {"red", "green", "blue"}
+    has_rgb = bool(parts) and all(colours <= set(p.columns) for p in parts)
+    kept = ["x", "y", "z", *(sorted(colours, key=("red", "green", "blue").index) if has_rgb else [])]
+    ordered = sorted(zip(names, parts, strict=True), key=lambda pair: pair[0])
+    whole = reduce(DataFrame.unionByName, [p.select(*kept, (F.col("crs") if "crs" in p.columns else F.lit(None)).cast("string").alias("crs"), F.lit(n).alias("chunk_id")) for n, p in ordered])
+    bounds = [f(k).alias(f"{n}_{k}") for n, f in (("min", F.min), ("max", F.max)) for k in "xyz"]
+    meta = whole.agg(F.count("*").alias("n"), *bounds, F.lit(has_rgb).alias("has_rgb"), F.max("crs").alias("crs"), ((F.count_distinct("crs") + F.max(F.col("crs").isNull().cast("int"))) <= 1).alias("one_crs"))
+    return whole, meta
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -50,6 +84,17 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where(F.col("event_type").isin("click", "signup", "error")).select("event_id", F.col("user_id").alias("session"), "ts", kind.alias("phase"))
 
 
+def camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "moveEnd").when(F.col("event_type") == "signup", "moveStart").otherwise("settingChange")
+    return _events(spark, sf_dir).where(F.col("event_type").isin("click", "signup", "error")).select("event_id", F.col("user_id").alias("session"), "ts", kind.alias("kind"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted view samples: sample_id, view_id, x, y, z, weight."""
+    k = F.col("event_id")
+    return _events(spark, sf_dir).select(k.alias("sample_id"), F.col("user_id").alias("view_id"), (F.col("value") * 20 - 2000).alias("x"), ((k % 97) * 45 - 1200).cast("double").alias("y"), ((k % 11) * 5).cast("double").alias("z"), F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 0.75).otherwise(0.55).alias("weight"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     memory = F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("value") * 8000000)
     return _events(spark, sf_dir).select("event_id", F.col("user_id").alias("session"), "ts", F.col("value").alias("frame_ms"), F.round(F.col("value") * 100000).cast("long").alias("selected_points"), memory.alias("memory_bytes"), (F.col("value") / 50).alias("ratio"))
