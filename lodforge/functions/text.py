@@ -63,3 +63,18 @@ def human_meters(m: Column) -> Column:
     kilo = lambda digits: F.concat(F.format_string(f"%.{digits}f", F.round(size / 1000.0, digits)), F.lit(" km"))
     label = F.when(size >= 10000, kilo(1)).when(size >= 1000, kilo(2)).otherwise(F.concat(F.round(size).cast("long").cast("string"), F.lit(" m")))
     return F.concat(F.when(m < 0, "-").otherwise(""), label)
+
+
+def rebase_uri(uri: Column, old: Column, new: Column) -> Column:
+    """A relative reference of a document in directory ``old`` as one of a document in directory ``new``; absolute references stay.
+
+    Directories are paths from one root, "" being it. ``.`` and ``..`` are folded; a reference that climbs over the root stays null.
+    """
+    split = lambda p: F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
+    none = F.array().cast("array<string>")
+    step = lambda a, s: F.when(s != "..", F.concat(a, F.array(s))).when(F.size(a) > 0, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
+    fold = lambda parts: F.aggregate(parts, none, step)
+    target, base = fold(F.concat(split(old), split(uri))), fold(split(new))
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.size(target), F.size(base)), F.lit(1))), lambda k: (k <= F.size(target)) & (k <= F.size(base)) & (F.slice(target, F.lit(1), k) == F.slice(base, F.lit(1), k))))
+    moved = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(base) - shared), F.slice(target, shared + 1, F.greatest(F.size(target) - shared, F.lit(0)))), "/")
+    return F.when(uri.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|/)"), uri).otherwise(moved)

@@ -12,8 +12,9 @@ PAST = (Window.unboundedPreceding, 0)
 
 
 def seconds(ts: Column | str) -> Column:
-    """Seconds of a timestamp as a double, to the microsecond."""
-    return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / 1e6
+    """Seconds of a timestamp's wall clock since 1970 as a double, to the microsecond; of one without a zone the same in any session."""
+    at = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_date(F.to_date(at)) * 86400.0 + F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("second"), at).cast("double")
 
 
 def request_bytes() -> Column:

@@ -202,4 +202,4 @@ def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["z0_census"](spark, "/root/testdata/sf0.001")
 
 
-from lodforge.plans import areas, basics, frames, ledgers, pyramids, streams, telemetry, tree, walks  # noqa: E402,F401  register further queries
+from lodforge.plans import areas, basics, frames, ledgers, payloads, pyramids, streams, telemetry, tree, walks  # noqa: E402,F401  register further queries

@@ -80,7 +80,7 @@ def reconciliation_delta(spark, sf):
     return tel.reconcile(selected(spark, sf))
 
 
-@r.query("""SELECT event_id AS tile_id, CASE WHEN event_id % 4 = 0 THEN concat('own-', kind) WHEN uri IS NOT NULL THEN known END AS diagnostics, CASE WHEN event_id % 4 = 0 AND kind IS NOT NULL THEN 'runtime-extras' WHEN known IS NOT NULL THEN 'metadata-map' ELSE 'unavailable' END AS source,
+@r.query("""SELECT event_id AS tile_id, CASE WHEN event_id % 4 = 0 AND kind IS NOT NULL THEN concat('own-', kind) WHEN uri IS NOT NULL THEN known END AS diagnostics, CASE WHEN event_id % 4 = 0 AND kind IS NOT NULL THEN 'runtime-extras' WHEN known IS NOT NULL THEN 'metadata-map' ELSE 'unavailable' END AS source,
   CASE WHEN (event_id % 4 = 0 AND kind IS NOT NULL) OR known IS NOT NULL THEN NULL WHEN uri IS NULL THEN 'missing-uri' ELSE 'missing-metadata' END AS reason
   FROM (SELECT event_id, kind, CASE WHEN event_id % 13 <> 1 THEN s.uri END AS uri, CASE WHEN event_id % 13 <> 1 AND NOT (event_id % 4 = 0 AND kind IS NOT NULL) THEN m.known END AS known FROM selected s LEFT JOIN (SELECT DISTINCT uri, concat('of ', uri) AS known FROM selected WHERE level IN ('d1', 'd2', 'd3')) m ON m.uri = s.uri)""", f"{_BASE}, {_SELECTED}")
 def diagnostics_lookup(spark, sf):
