@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize
 
 UNKNOWN = "und"
-_PARTS = 64
+#: Leading bits of the hash by which ids are counted; most languages whose table is broadcast.
+_BITS, _FEW = 10, 100_000
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are neither letters of ASCII nor part of a longer character become spaces.
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -168,15 +169,19 @@ def train_language(documents: DataFrame, fit: Fit = Fit()) -> Network | None:
     """The network learned from rows that are not held out; None if none is labelled.
 
     Each language's ids are taken in the order of their hash until ``fit.rows`` are full, in turn, so rare languages aren't lost.
-    A language's ids are ranked in ``_PARTS`` parts first, and of each part only as many go on as can be chosen.
+    Ids are counted by language and leading bits of the hash first; only those that can be chosen are ranked.
     """
     rows = (
         documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
         .withColumn("_h", F.xxhash64("doc_id"))
     )
-    first = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_r") <= fit.rows)
-    ids = rows.select("lang", "_h", "doc_id").distinct()
-    ranked = first(first(ids.withColumn("_p", F.pmod("_h", F.lit(_PARTS))), "lang", "_p").drop("_r"), "lang")
+    ids = materialize(rows.select("lang", "_h", "doc_id", F.shiftright("_h", 64 - _BITS).cast("int").alias("_b")).distinct(), "ids")
+    counts = ids.groupBy("lang", "_b").count()  # at most two to the power of _BITS rows a language
+    before = F.sum("count").over(Window.partitionBy("lang").orderBy("_b")) - F.col("count")
+    last = counts.withColumn("_before", before).where(F.col("_before") < fit.rows).groupBy("lang").agg(F.max("_b").alias("_last"))
+    last = materialize(last, "last")  # one row a language
+    near = ids.join(F.broadcast(last) if last.count() <= _FEW else last, "lang").where("_b <= _last")
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= fit.rows)
     chosen = ranked.orderBy("_r", "_h", "doc_id", "lang").limit(fit.rows).select("_h", "doc_id", "lang")
 
     def pick(texts: pd.Series) -> pd.Series:
