@@ -43,7 +43,7 @@ def plain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
     """ordinal and the columns of ``plain_points``; written once a session unless ``fresh``."""
-    build = lambda: _shaped(with_ordinal(spark.read.parquet(f"{sf_dir}/lineitem.parquet")), "ordinal")
+    build = lambda: _shaped(with_ordinal(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*KEY, "l_quantity", "l_discount")), "ordinal")
     return build() if fresh else once(spark, ("points", sf_dir), build)
 
 
