@@ -4,7 +4,8 @@ Equal vectors form one node. Random-projection blocks of bounded size give each
 ``DEGREE`` are compared with all nodes. Rounds follow until fewer than ``CHANGED`` of the edges are new: a round brings
 every node's neighbours, and nodes that have it as a neighbour, together at that node, compares them with each other and
 keeps each node's nearest ``DEGREE``: neighbours of neighbours. A query starts at its own node and expands the nearest nodes
-not yet expanded until the nearest ``POOL`` all are; the pool doubles until that leaves the query's nearest unchanged. Those nearest and all that tie with them give the result.
+not yet expanded, all of its pool in a turn; the pool doubles from turn to turn until a turn leaves the query's nearest
+unchanged. Those nearest and all that tie with them give the result.
 
 Vectors travel as they are stored and every comparison is in double precision, so the order holds within groups of near copies
 too; edges keep the cosine less one, which single precision holds to seven digits however small. A node's list in a round is bounded by ``DEGREE`` and ``REVERSE``, a block by ``BLOCK``, a bucket by ``BUCKET`` nodes on average. The README states measured recall.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 DEGREE, REVERSE, TABLES, BLOCK, CHANGED, BEST = 20, 12, 6, 512, 0.01, 6
-POOL, TOP, BUCKET, SAMPLE, SEED = 256, 5, 1024, 2048, 11
+POOL, FILL, TOP, BUCKET, SAMPLE, SEED = 256, 3, 5, 1024, 2048, 11
 #: Scores nearer to each other than this may be equal but for rounding.
 TIE = 1e-12
 _EDGE = "src long, dst long, score float"
@@ -192,7 +193,8 @@ def neighbour_graph(nodes: DataFrame, count: int, changed: float = CHANGED, degr
 def search(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, count: int, pool: int = POOL, top: int = TOP) -> DataFrame:
     """``q``, ``node``, ``score``: for each node ``q`` of ``seeds`` the nearest nodes that greedy search reaches, ``pool`` or more.
 
-    Queries whose ``top`` nearest change with a pool twice as large go on with the next larger one, others end there.
+    A turn expands all of a query's pool at once. Its first ``FILL`` turns fill the pool; each later one keeps twice as many
+    nodes as the one before, and a query ends with the turn that changes none of its ``top`` nearest or leaves nothing to expand.
     """
     kind = _kind(nodes)
     around = materialize(_around(edges, DEGREE).groupBy("at").agg(F.collect_list("member").alias("near")), "around")
@@ -219,34 +221,27 @@ def search(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, count: int, poo
         lists = pairs.groupBy("q", bucket("node").alias("b")).agg(F.collect_list("node").alias("want")).join(asked, "q")
         return lists.groupBy("b").cogroup(held.groupBy("b")).applyInPandas(measure, "q long, node long, score double")
 
-    def best(rows: DataFrame, size: int) -> DataFrame:
-        one = rows.groupBy("q", "node").agg(F.max("score").alias("score"), F.max("done").alias("done"))
-        return materialize(_nearest(one, "q", size, "node"), "pool")
-
-    def finished(now: DataFrame, size: int) -> DataFrame:
-        """Expands until all of the pool are done."""
-        while not now.where("not done").isEmpty():
-            reached = now.where("not done").join(around, F.col("node") == F.col("at")).select("q", F.explode("near").alias("node")).distinct()
-            fresh = reached.join(now.select("q", "node"), ["q", "node"], "left_anti")
-            after = best(now.withColumn("done", F.lit(True)).union(scored(fresh).withColumn("done", F.lit(False))), size)
-            discard(now)
-            now = after
-        return now
-
-    told = lambda rows: _nearest(rows, "q", top + 1, "node").groupBy("q").agg(F.array_sort(F.collect_list("node")).alias("told"))
-    now = finished(best(asked.select("q", F.col("q").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("done")), pool), pool)
-    ended = []
-    while pool < count and not now.isEmpty():
-        pool *= 2
-        before = materialize(told(now), "told")
-        # nodes that the smaller pool dropped are found again beside all it holds
-        again = materialize(now.withColumn("done", F.lit(False)), "pool")
-        discard(now)
-        wide = finished(again, pool)
-        same = materialize(before.join(told(wide).withColumnRenamed("told", "after"), "q").where(F.col("told") == F.col("after")).select("q"), "same")
-        ended.append(wide.join(same, "q", "left_semi"))
-        now = materialize(wide.join(same, "q", "left_anti").select("q", "node", "score", "done"), "pool")
-    return reduce(DataFrame.union, [d.select("q", "node", "score") for d in [*ended, now]])
+    def best(rows: DataFrame, size: int, turn: int) -> DataFrame:
+        """The nearest ``size`` of each query; ``ended`` if none is left to expand, or if none of its ``top`` came with a late turn."""
+        one = rows.groupBy("q", "node").agg(F.max("score").alias("score"), F.max("done").alias("done"), F.min("turn").alias("turn"))
+        place, whole = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "node")), Window.partitionBy("q")
+        kept = one.withColumn("_r", place).where(F.col("_r") <= size)
+        newest, all_done = F.max(F.when(F.col("_r") <= top + 1, F.col("turn"))).over(whole), F.min("done").over(whole)
+        return materialize(kept.withColumn("ended", all_done | ((newest < turn) & F.lit(turn > FILL))).drop("_r"), "pool")
+
+    now = asked.select("q", F.col("q").alias("node"), F.lit(2.0).alias("score"), F.lit(False).alias("done"), F.lit(0).alias("turn"))
+    turn, size, ended = 0, pool, []
+    while not now.isEmpty():
+        turn += 1
+        if turn >= FILL:
+            size *= 2
+        reached = now.where("not done").join(around, F.col("node") == F.col("at")).select("q", F.explode("near").alias("node")).distinct()
+        fresh = scored(reached.join(now.select("q", "node"), ["q", "node"], "left_anti"))
+        after = best(now.withColumn("done", F.lit(True)).union(fresh.withColumns({"done": F.lit(False), "turn": F.lit(turn)})), size, turn)
+        ended.append(after.where("ended"))
+        now = after.where("not ended").drop("ended")
+    found = [d.select("q", "node", "score") for d in ended]
+    return reduce(DataFrame.union, found) if found else now.select("q", "node", "score")
 
 
 def nearest(vectors: DataFrame, is_query, top: int = TOP, pool: int = POOL) -> DataFrame:
