@@ -5,6 +5,7 @@ Rows of a session are ordered by (ts, event_id). Times are timestamps; limits ar
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,3 +243,61 @@ def pressure(frames: DataFrame) -> DataFrame:
         held[name] = F.col(name) & (F.col("_s") - F.min(F.when(F.col(name), F.col("_s"))).over(run) >= {"_high": 0.3, "_moderate": 0.5, "_calm": 1.0}[name])
     rows = rows.withColumn("_set", F.when(held["_high"], "HIGH").when(held["_moderate"], "MODERATE").when(held["_calm"], "NONE"))
     return rows.withColumn("level", F.coalesce(F.last("_set", ignorenulls=True).over(order), F.lit("NONE"))).drop("_high", "_moderate", "_calm", "_s", "_set", "_high_g", "_moderate_g", "_calm_g")
+
+
+def phase_timeline(events: DataFrame, patience: float = 2.5, settle: float = 0.75, quiet: float = 1.0, far: float = 10_000.0) -> DataFrame:
+    """``session``, ``at`` (seconds), ``phase``: every change of a session's viewing phase, those of timers after its last event too.
+
+    ``events`` (session, ts, event_id, kind, flag, distance): ``start`` begins bootstrap, or refining where ``flag`` (a checked
+    overview) isn't true; ``visible`` or ``patience`` seconds end bootstrap; ``depart`` over ``far`` or more begins travel, which ends
+    ``settle`` seconds after its ``arrive``; a ``frame`` whose ``flag`` (all loaded) has held for ``quiet`` seconds of refining makes it
+    ready; a ``request`` reopens refining. Events before a start, other kinds and rows without session or time change nothing.
+
+    Rows are sorted by Spark and streamed, so a task holds one batch and one state however long a session is.
+    """
+    ordered = events.where(F.col("session").isNotNull() & F.col("ts").isNotNull()).select("session", seconds("ts").alias("at"), "event_id", "kind", F.coalesce("flag", F.lit(False)).alias("flag"), F.coalesce(F.col("distance").cast("double"), F.lit(0.0)).alias("distance"))
+    ordered = ordered.repartition("session").sortWithinPartitions("session", "at", "event_id")
+
+    def fold(batches):
+        session = phase = since = due = None
+        leaving = False
+        changes: list[tuple] = []
+
+        def enter(at, name, timer=None):
+            nonlocal phase, since, due
+            phase, since, due = name, None, timer
+            changes.append((session, at, name))
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if due is not None and (row.session != session or due <= row.at):
+                    enter(due, "refining")
+                if row.session != session:
+                    session, phase, since, due, leaving = row.session, None, None, None, False
+                if row.kind == "start":
+                    leaving = False
+                    enter(row.at, "bootstrap" if row.flag else "refining", row.at + patience if row.flag else None)
+                elif row.kind == "visible" and phase == "bootstrap":
+                    enter(row.at, "refining")
+                elif row.kind == "depart" and phase:
+                    leaving = row.distance >= far
+                    if leaving:
+                        enter(row.at, "travel")
+                elif row.kind == "arrive" and phase == "travel" and leaving:
+                    due, leaving = row.at + settle, False
+                elif row.kind == "frame" and phase == "refining":
+                    if not row.flag:
+                        since = None
+                    elif since is None:
+                        since = row.at
+                    elif row.at - since >= quiet:
+                        enter(row.at, "ready")
+                elif row.kind == "request" and phase == "ready":
+                    enter(row.at, "refining")
+            if changes:
+                yield pd.DataFrame(changes, columns=["session", "at", "phase"])
+                changes.clear()
+        if due is not None:
+            yield pd.DataFrame([(session, due, "refining")], columns=["session", "at", "phase"])
+
+    return ordered.mapInPandas(fold, f"session {events.schema['session'].dataType.simpleString()}, at double, phase string")

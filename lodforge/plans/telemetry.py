@@ -210,3 +210,11 @@ def band_hysteresis(spark, sf):
 @r.query(None)
 def pressure_state(spark, sf):
     return tel.pressure(src.frames(spark, sf)).select("event_id", "level")
+
+
+@r.query(None)
+def phase_timeline(spark, sf):
+    """Each user's events read as one session: sign-ups start it, purchases depart, errors arrive, clicks are frames, views requests or first sight."""
+    e = src._events(spark, sf)
+    kind = F.when(c("event_type") == "signup", "start").when(c("event_type") == "purchase", "depart").when(c("event_type") == "error", "arrive").when(c("event_type") == "click", "frame").otherwise(F.when(c("event_id") % 3 == 0, "visible").otherwise("request"))
+    return tel.phase_timeline(e.select(c("user_id").alias("session"), "ts", "event_id", kind.alias("kind"), (c("event_id") % 4 > 0).alias("flag"), (c("value") * 400).alias("distance")))

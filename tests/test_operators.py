@@ -312,3 +312,18 @@ def test_written_once(spark):
     calls = []
     build = lambda: calls.append(1) or spark.range(4)
     assert once(spark, ("few", "x"), build).count() == once(spark, ("few", "x"), build).count() == 4 and len(calls) == 1
+
+
+def test_phase_timeline(spark):
+    steps = [
+        (1, -1, "frame", True, None), (1, 0, "start", True, None), (1, 1, "visible", None, None), (1, 2, "frame", True, None), (1, 2.5, "frame", False, None), (1, 3, "frame", True, None), (1, 4, "frame", True, None),
+        (1, 5, "request", None, None), (1, 6, "depart", None, 9999.0), (1, 7, "depart", None, 10000.0), (1, 8, "arrive", None, None), (1, 8.5, "depart", None, 1.0), (1, 8.6, "arrive", None, None), (1, 9, "frame", True, None), (1, 10, "frame", True, None),
+        (2, 0, "start", None, None), (2, 1, "frame", True, None), (2, 1.9, "frame", True, None), (2, 1.9, "frame", True, None), (3, 0, "start", True, None), (4, 3, "frame", True, None), (None, 0, "start", True, None), (5, None, "start", True, None), (5, 1, None, None, None),
+    ]
+    events = spark.createDataFrame([(s, None if t is None else at(t), k, *rest) for k, (s, t, *rest) in enumerate(steps)], "session long, ts timestamp_ntz, event_id long, kind string, flag boolean, distance double").withColumn("phase", F.lit("other"))
+    zero = telemetry.seconds("ts")
+    base = events.where("event_id = 1").select(zero.alias("z")).first()["z"]
+    found = [(r["session"], round(r["at"] - base, 3), r["phase"]) for r in telemetry.phase_timeline(events).orderBy("session", "at").collect()]
+    one = [(0.0, "bootstrap"), (1.0, "refining"), (4.0, "ready"), (5.0, "refining"), (7.0, "travel"), (8.75, "refining"), (10.0, "ready")]
+    assert found == [(1, *x) for x in one] + [(2, 0.0, "refining"), (3, 0.0, "bootstrap"), (3, 2.5, "refining")]
+    assert telemetry.phase_timeline(events.limit(0)).count() == 0
