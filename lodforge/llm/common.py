@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +75,24 @@ def bounded_batches(spark: SparkSession):
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: A key with more than one in so many of the rows is frequent; there are fewer than so many of those.
+FREQUENT = 1000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` with the other columns of ``facts`` (one row a key; ``count``: its number of rows), whatever keys are frequent. Null keys are equal.
+
+    Facts of frequent keys are broadcast, at most ``FREQUENT`` of them, so their rows stay where they are; only the rest are shuffled.
+    """
+    facts = materialize(facts, "facts")
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    named = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in facts.columns if c not in (*keys, count)], F.col(count).alias("__n"))
+    frequent = F.col("__n") * FREQUENT > total
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    helpers = [*[f"__{k}" for k in keys], "__n"]
+    hot = F.broadcast(named.where(frequent))
+    near = rows.join(hot, match).drop(*helpers)
+    far = rows.join(F.broadcast(named.where(frequent).select(*helpers)), match, "left_anti").join(named.where(~frequent), match).drop(*helpers)
+    return near.unionByName(far)
