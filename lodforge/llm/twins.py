@@ -25,3 +25,13 @@ coded AS (SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
   (SELECT sha256(string_agg(CAST(ints[pos] AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c2, range(1, 1 + len(ints)) r(pos)) AS codebooks_sha256 FROM coded
 """
+
+
+VECTORS = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS d FROM embeddings),
+fit AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND d > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = d AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM fit a JOIN fit b ON a.label = b.label AND a.d = b.d AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.r) AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN (SELECT reach.a, min(w.vec_id) AS component_id FROM reach JOIN v w ON w.r = reach.b GROUP BY 1) c ON c.a = v.r
+"""
