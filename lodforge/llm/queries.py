@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, codes, html, language, mixing, neighbours, quality, secrets, sharding, simhash, twins, vectors, warc
+from . import bpe, codes, dialogues, html, language, mixing, neighbours, quality, secrets, sharding, simhash, twins, vectors, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_codes(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.codebooks_sha256(codebooks)).alias("codebooks_sha256"))
 
 
+def op12_dialogues(spark, sf_dir):
+    return dialogues.digests(dialogues.repair(dialogues.damage(table(spark, sf_dir, "conversations"))))
+
+
 def op13_vectors(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -69,9 +73,10 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html, op3_sharding, op4_bpe, op5_neighbours, op6_warc, op7_simhash, op8_language, op9_mixing, op10_secrets, op11_codes, op13_vectors, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html, op3_sharding, op4_bpe, op5_neighbours, op6_warc, op7_simhash, op8_language, op9_mixing, op10_secrets, op11_codes, op12_dialogues, op13_vectors, pipeline)}
 ORACLES: dict[str, str] = {
     "op11_codes": twins.CODES,
+    "op12_dialogues": twins.DIALOGUES,
     "op13_vectors": twins.VECTORS,
     "op9_mixing": r"""
 WITH m AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
