@@ -48,9 +48,22 @@ def discard(*tables: DataFrame) -> None:
 _ONCE: dict[tuple, DataFrame] = {}
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files under a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while files.hasNext():
+        file = files.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def once(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """The table of ``key``, written by the first call of this application; written again if its files are gone."""
-    full = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), *key)
+    """The table of ``key`` (a name and the folder it is made of), written by the first call of this application.
+
+    It is written again if its files are gone or those of the folder have changed.
+    """
+    full = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), *key, *(_state(spark, k) for k in key[1:] if isinstance(k, str) and "/" in k))
     held = _ONCE.get(full)
     if held is not None:
         place = spark._jvm.org.apache.hadoop.fs.Path(held[1])
