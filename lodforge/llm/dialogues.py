@@ -5,9 +5,10 @@ assistant can be inserted anywhere (5); a truncated row that isn't deleted adds
 the cheapest audits (K, R, D, I in order) the ASCII-least wins. ``search`` keeps an explicit stack, bounds what is left from below by
 forced deletions, truncated rows and disjoint pairs of rows that can't stand next to each other, and drops a prefix whose (cost, audit)
 isn't better than the best one known at the same row and role, or can't beat the incumbent. When the stack is empty the incumbent is optimal.
+The incumbent's cost is proved first, its audit second.
 
 Rows are dealt by ranges of their order, so a conversation lies in one task or in neighbouring ones. One that lies within a task is
-repaired there. One that may go on in the next task, or has over ``BLOCK`` distinct rows or ``BYTES`` of text, is cut into blocks: each is
+repaired there. One that may go on in the next task, or has over ``RUN`` distinct rows or ``BYTES`` of text, is cut into blocks: each is
 searched from every role it can begin after to every role it can end with, and the blocks' results are chained. Two audits of one cost
 between the same roles never begin with one another, so the least of all is made of the blocks' least, and the result is the same.
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, bounded_batches, materialize
 
-BLOCK, BYTES = 256, 4 << 20
+#: Most distinct rows of a conversation searched as one, most of a block searched between all roles, most characters held.
+RUN, BLOCK, BYTES = 128, 32, 4 << 20
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 LEGAL = ("su", "ua", "au")
 #: Roles so far: none, the system's, the last is the user's, the last is the assistant's. A repaired conversation ends with the first or last.
@@ -55,53 +57,75 @@ def after_turn(state: int) -> int:
 
 
 def suffix_bounds(steps: list[tuple[str | None, int, int]]) -> list[int]:
-    """Least cost of the steps from each on, whatever came before."""
-    bounds, forced, following = [0] * (len(steps) + 1), 0, None
+    """Least cost of the steps from each on, whatever came before.
+
+    Rows that must go and truncated rows cost a deletion at least. Two rows that can't stand next to each other, with only such rows between
+    them, cost one more, as keeping both needs an insertion or a truncated row kept; pairs counted have no row in common.
+    """
+    bounds, between, following = [0] * (len(steps) + 1), 0, None
     for i in range(len(steps) - 1, -1, -1):
         initial, extra, count = steps[i]
-        if initial is None:
-            forced += DELETE * count
+        if initial is None or extra:
+            between += DELETE * count
             bounds[i] = DELETE * count + bounds[i + 1]
             continue
-        bounds[i] = (DELETE if extra else 0) + bounds[i + 1]
-        if not extra and following is not None and not steps[following][1] and initial + steps[following][0] not in LEGAL:
-            bounds[i] = max(bounds[i], REROLE + forced + bounds[following + 1])
-        forced, following = 0, i
+        bounds[i] = bounds[i + 1]
+        if following is not None and initial + steps[following][0] not in LEGAL:
+            bounds[i] = max(bounds[i], REROLE + between + bounds[following + 1])
+        between, following = 0, i
     return bounds
 
 
+def branches(steps: list[tuple[str | None, int, int]], i: int, state: int) -> list[tuple[str, int, int, int]]:
+    """(edits, cost, next step, state after) of what can be done before or with step ``i``, in ASCII order."""
+    turned = after_turn(state)
+    if i == len(steps):
+        return [("I", INSERT, i, turned)]
+    initial, extra, count = steps[i]
+    out = [("D" * count, DELETE * count, i + 1, state), ("I", INSERT, i, turned)]
+    if initial is not None:
+        kept = after_keep(state, initial)
+        out += [("K", extra, i + 1, kept)] * (kept is not None) + [("R", REROLE + extra, i + 1, turned)] * (kept != turned)
+    return out
+
+
+def least_cost(steps: list[tuple[str | None, int, int]], bounds: list[int], entry: int, ends: tuple[int, ...]) -> int | None:
+    """Cost of the cheapest edits: the cheapest branch first, so that an incumbent comes early."""
+    best, seen, stack = None, {}, [(0, entry, 0)]
+    while stack:
+        i, state, cost = stack.pop()
+        if (best is not None and cost + bounds[i] >= best) or seen.get((i, state), cost + 1) <= cost:
+            continue
+        seen[i, state] = cost
+        if i == len(steps) and state in ends:
+            best = cost
+            continue
+        stack += sorted(((j, after, cost + more) for _, more, j, after in branches(steps, i, state)), key=lambda b: b[2] + bounds[b[0]], reverse=True)
+    return best
+
+
 def search(steps: list[tuple[str | None, int, int]], entry: int = NONE, ends: tuple[int, ...] = ENDS) -> tuple[int, str] | None:
     """(cost, audit) of the cheapest edits from ``entry`` to one of ``ends``, ties to the ASCII-least; None if there are none.
 
-    A step is (initial, cost of not deleting, 1), or (None, 0, n) for n rows in a row that must go.
+    A step is (initial, cost of not deleting, 1), or (None, 0, n) for n rows in a row that must go. The first descent proves the least
+    cost. The second takes branches in ASCII order under that cost as its bound, so the first end it comes to is the ASCII-least; a row and
+    role left without success is entered again only at a lower cost.
     """
-    bounds, best, seen = suffix_bounds(steps), None, {}
-    stack = [(0, entry, 0, "")]
+    bounds = suffix_bounds(steps)
+    cost = least_cost(steps, bounds, entry, ends)
+    if cost is None:
+        return None
+    seen, stack, path = {}, [(0, entry, 0, 0, "")], []
     while stack:
-        i, state, cost, audit = stack.pop()
-        if best is not None:
-            least = cost + bounds[i]
-            if least > best[0] or (least == best[0] and audit > best[1][: len(audit)]):
-                continue
-        known = seen.get((i, state))
-        if known is not None and known <= (cost, audit):
+        i, state, spent, depth, edits = stack.pop()
+        if spent + bounds[i] > cost or seen.get((i, state), spent + 1) <= spent:
             continue
-        seen[i, state] = (cost, audit)
-        if i == len(steps) and state in ends and (best is None or (cost, audit) < best):
-            best = (cost, audit)
-        branches = [(i, after_turn(state), cost + INSERT, audit + "I")]
-        if i < len(steps):
-            initial, extra, count = steps[i]
-            branches.append((i + 1, state, cost + DELETE * count, audit + "D" * count))
-            if initial is not None:
-                kept, turned = after_keep(state, initial), after_turn(state)
-                if turned != kept:
-                    branches.append((i + 1, turned, cost + REROLE + extra, audit + "R"))
-                if kept is not None:
-                    branches.append((i + 1, kept, cost + extra, audit + "K"))
-        branches.sort(key=lambda b: (b[2] + bounds[b[0]], b[3]), reverse=True)
-        stack += branches
-    return best
+        seen[i, state] = spent
+        path[depth:] = [edits]
+        if i == len(steps) and state in ends and spent == cost:
+            return cost, "".join(path)
+        stack += [(j, after, spent + more, depth + 1, letters) for letters, more, j, after in reversed(branches(steps, i, state))]
+    raise AssertionError("the proved cost has no audit")
 
 
 def judge(rows: list[tuple]) -> tuple[list[tuple[str | None, int, int]], dict[str, int], str | None, str | None]:
@@ -211,13 +235,12 @@ def _local(types: dict[str, str]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         def hand_on(key, rows: list[tuple]) -> None:
-            """Rows of a conversation go out as one block."""
+            """Rows of a conversation go out in blocks."""
             nonlocal place, block
-            for turn, role, text, n in rows:
-                mark = _mark(text)
+            for k, (turn, role, text, n) in enumerate(rows):
+                mark, block = _mark(text), block + (k % BLOCK == 0)
                 out.append({"conv_id": key, "part": task << 32 | block, "place": task << 40 | place, "turn": turn, "role": role, "text": "" if mark == BLANK else text, "mark": mark, "n": n})
                 place += 1
-            block += 1
 
         def close(key, rows: list[tuple]) -> None:
             seen, judged = set(), []
@@ -241,7 +264,7 @@ def _local(types: dict[str, str]):
                     if not first:
                         (hand_on if begun else close)(now, rows)
                     rows, size, now, begun, first = [], 0, key, first, False
-                elif len(rows) == BLOCK or size > BYTES:
+                elif len(rows) == RUN or size > BYTES:
                     hand_on(now, rows)
                     rows, size, begun = [], 0, True
                 rows.append(tuple(row))

@@ -121,6 +121,8 @@ def test_search_equals_dynamic_programming_on_long_conversations():
     for n in (20, 60, 200, 256):
         rows = some_rows(random, n)
         assert dialogues.search(steps_of(rows)) == program(rows)[:2]
+    alternate = [(("user", "assistant")[k % 2 if random.random() < 0.8 else random.integers(2)], str(k), bool(random.random() < 0.1), bool(random.random() < 0.1)) for k in range(400)]
+    assert dialogues.search(steps_of(alternate)) == program(alternate)[:2]  # few faults far apart leave most room between bound and cost
     assert dialogues.search(steps_of([("user", str(k), False, True) for k in range(256)])) == program([("user", str(k), False, True) for k in range(256)])[:2]
 
 
@@ -142,6 +144,7 @@ def test_matches_plain_loops(spark):
 @pytest.mark.parametrize("block", [1, 3, 7])
 def test_blocks_give_the_same(spark, block, monkeypatch):
     monkeypatch.setattr(dialogues, "BLOCK", block)
+    monkeypatch.setattr(dialogues, "RUN", 2 * block)
     assert got(spark, made()) == expected(made())
 
 
