@@ -1,4 +1,5 @@
-"""Viewing telemetry: selections, requests by cycle, and states over ordered frames as windows, never as folds over collected groups.
+"""Viewing telemetry: selections, requests by cycle, and states over ordered frames as running values over slices
+of the order (``ordered``), never as folds over collected groups, so a session may hold any share of the rows.
 
 Rows of a session are ordered by (ts, event_id). Times are timestamps; limits are seconds.
 """
@@ -9,13 +10,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAST = (Window.unboundedPreceding, 0)
+from .ordered import SLICE, running, sliced
 
 
-def seconds(ts: Column | str) -> Column:
-    """Seconds of a timestamp's wall clock since 1970 as a double, to the microsecond; of one without a zone the same in any session."""
+def micros(ts: Column | str) -> Column:
+    """Microseconds of a timestamp's wall clock since 1970; of one without a zone the same in any session."""
     at = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_date(F.to_date(at)) * 86400.0 + F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("second"), at).cast("double")
+    whole = F.unix_date(F.to_date(at)).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60
+    return whole * 1000000 + (F.date_part(F.lit("second"), at) * 1000000).cast("long")
+
+
+def seconds(ts: Column | str) -> Column:
+    """``micros`` in seconds, as a double."""
+    return micros(ts) / 1e6
+
+
+def span(limit: float) -> int:
+    """Seconds as whole microseconds, so that a limit met exactly counts."""
+    return round(limit * 1e6)
 
 
 def request_bytes() -> Column:
@@ -36,8 +48,8 @@ def phase_asof(requests: DataFrame, phases: DataFrame) -> DataFrame:
     """
     marks = phases.select("session", "ts", F.lit(0).alias("o"), "event_id", "phase", F.lit(None).cast(requests.select(F.struct("*").alias("r")).schema["r"].dataType).alias("r"))
     asked = requests.select("session", "ts", F.lit(1).alias("o"), "event_id", F.lit(None).cast("string").alias("phase"), F.struct("*").alias("r"))
-    last = F.last("phase", ignorenulls=True).over(Window.partitionBy("session").orderBy("ts", "o", "event_id").rowsBetween(*PAST))
-    active = marks.unionByName(asked).withColumn("active", last).where("o = 1 and active is not null")
+    order = ["ts", "o", "event_id"]
+    active = running(sliced(marks.unionByName(asked), ["session"], order), ["session"], order, active=("last", F.col("phase"))).where("o = 1 and active is not null")
     return active.select("r.*", F.when(F.col("active") == "ready", "refining").otherwise(F.col("active")).alias("phase"))
 
 
@@ -100,8 +112,8 @@ def in_cycles(events: DataFrame, camera: DataFrame) -> DataFrame:
     kind = events.select(F.struct("*").alias("r")).schema["r"].dataType
     stops = camera.where("kind = 'moveEnd'").select("session", "ts", F.lit(0).alias("o"), "event_id", F.lit(None).cast(kind).alias("r"))
     every = stops.unionByName(events.select("session", "ts", F.lit(1).alias("o"), "event_id", F.struct("*").alias("r")))
-    w = Window.partitionBy("session").orderBy("ts", "o", "event_id").rowsBetween(*PAST)
-    marked = every.withColumn("cycle", F.count_if(F.col("o") == 0).over(w)).withColumn("stopped", F.last(F.when(F.col("o") == 0, F.col("ts")), ignorenulls=True).over(w))
+    order, stop = ["ts", "o", "event_id"], F.col("o") == 0
+    marked = running(sliced(every, ["session"], order), ["session"], order, cycle=("sum", stop.cast("long")), stopped=("last", F.when(stop, F.col("ts"))))
     return marked.where("o = 1 and cycle > 0").select("r.*", "cycle", "stopped")
 
 
@@ -141,26 +153,26 @@ def cycles(camera: DataFrame, frames: DataFrame, quiet: float = 0.25, timeout: f
     """
     marks = camera.select("session", "ts", F.lit(0).alias("o"), "event_id", "kind", F.lit(None).cast("boolean").alias("settled"), F.lit(None).cast("boolean").alias("deep"))
     shown = frames.select("session", "ts", F.lit(1).alias("o"), "event_id", F.lit("frame").alias("kind"), "settled", "deep")
-    w = Window.partitionBy("session").orderBy("ts", "o", "event_id").rowsBetween(*PAST)
-    rows = marks.unionByName(shown).withColumn("cycle", F.count_if(F.col("kind") == "moveEnd").over(w)).where("cycle > 0").withColumn("s", seconds("ts"))
-    own = Window.partitionBy("session", "cycle").orderBy("ts", "o", "event_id").rowsBetween(*PAST)
-    is_frame = F.col("kind") == "frame"
-    rows = rows.withColumn("moved", F.count_if(F.col("kind").isin("moveStart", "settingChange")).over(own)).withColumn("run", F.count_if(is_frame & ~F.coalesce("settled", F.lit(False))).over(own))
-    calm = Window.partitionBy("session", "cycle", "run").orderBy("ts", "o", "event_id").rowsBetween(*PAST)
-    since = F.min(F.when(is_frame & F.col("settled"), F.col("s"))).over(calm)
-    rows = rows.withColumn("done", is_frame & F.coalesce("settled", F.lit(False)) & (F.col("moved") == 0) & (F.col("s") - since >= quiet))
-    rows = rows.withColumn("over", F.coalesce(F.count_if("done").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("moved"))
-    rows = rows.withColumn("stopped", F.first("s").over(own))
+    order, is_frame, own = ["ts", "o", "event_id"], F.col("kind") == "frame", ["session", "cycle"]
+    calm = F.coalesce("settled", F.lit(False))
+    rows = sliced(marks.unionByName(shown).withColumn("s", micros("ts")), ["session"], order)
+    rows = running(rows, ["session"], order, cycle=("sum", (F.col("kind") == "moveEnd").cast("long"))).where("cycle > 0")
+    moves = F.col("kind").isin("moveStart", "settingChange")
+    rows = running(rows, own, order, moved=("sum", moves.cast("long")), run=("sum", (is_frame & ~calm).cast("long")), stopped=("min", F.col("s")))
+    rows = running(rows, [*own, "run"], order, since=("min", F.when(is_frame & calm, F.col("s"))))
+    rows = rows.withColumn("done", F.coalesce(is_frame & calm & (F.col("moved") == 0) & (F.col("s") - F.col("since") >= span(quiet)), F.lit(False)))
+    rows = running(rows, own, order, before=True, ended=("sum", F.col("done").cast("long"))).withColumn("over", F.col("ended") + F.col("moved"))
     live = is_frame & (F.col("over") == 0)
     least = lambda condition: F.min(F.when(condition, F.col("s")))
     out = rows.groupBy("session", "cycle", "stopped").agg(
-        least(F.col("done")).alias("completed"), least(F.col("kind").isin("moveStart", "settingChange")).alias("moved_at"), least(live & F.col("deep")).alias("deep_at"), least(live & (F.col("s") - F.col("stopped") >= timeout)).alias("late_at"),
+        least(F.col("done")).alias("completed"), least(F.col("kind").isin("moveStart", "settingChange")).alias("moved_at"), least(live & F.col("deep")).alias("deep_at"), least(live & (F.col("s") - F.col("stopped") >= span(timeout))).alias("late_at"),
     )
-    following = F.lead("stopped").over(Window.partitionBy("session").orderBy("cycle"))
-    out = out.withColumn("closed", F.coalesce(F.least("completed", "moved_at"), following))
+    following = out.select(F.col("session").alias("_of"), (F.col("cycle") - 1).alias("_before"), F.col("stopped").alias("following"))
+    out = out.join(following, F.col("session").eqNullSafe(F.col("_of")) & (F.col("cycle") == F.col("_before")), "left")
+    out = out.withColumn("closed", F.coalesce(F.least("completed", "moved_at"), "following"))
     status = F.when(F.col("completed").isNotNull(), "complete").when(F.col("closed").isNotNull(), "aborted").otherwise("active")
     target = F.when(F.col("deep_at") <= F.coalesce("late_at", "deep_at"), "reached").when(F.col("late_at").isNotNull(), "timed-out").otherwise("pending")
-    return out.select("session", "cycle", "stopped", status.alias("status"), "closed", target.alias("target"))
+    return out.select("session", "cycle", (F.col("stopped") / 1e6).alias("stopped"), status.alias("status"), (F.col("closed") / 1e6).alias("closed"), target.alias("target"))
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
@@ -183,23 +195,25 @@ def ready_never_selected(rows: DataFrame, closed: DataFrame) -> DataFrame:
     return sums.join(closed.where("status <> 'active'").select("session", "cycle"), ["session", "cycle"])
 
 
-#: Frames back from which a smoothed value no longer moves in double precision.
-_ENOUGH = 200
-
-
 def frame_ema(frames: DataFrame, keep: float = 0.8, longest: float = 0.25) -> DataFrame:
     """``session``, ``intervals``, ``ema`` (seconds): the smoothed time between frames after the last one.
 
     Intervals of zero or over ``longest`` seconds don't count, but the frame after one starts from it. The first interval enters
-    whole. Only the last ``_ENOUGH`` intervals can still weigh on the result, so no session is collected; sessions without an
-    interval don't appear.
+    whole. An interval maps the mean e to keep * e + (1 - keep) * gap; a slice composes its maps to one, and the slices' maps compose to the
+    session's, whatever ``keep`` and however long the session. Sessions without an interval don't appear.
     """
-    w = Window.partitionBy("session").orderBy("ts", "event_id")
-    gaps = frames.select("session", "ts", "event_id", (seconds("ts") - F.lag(seconds("ts")).over(w)).alias("gap")).where((F.col("gap") > 0) & (F.col("gap") <= longest))
-    counts = gaps.groupBy("session").agg(F.count("*").alias("intervals"))
-    late = gaps.withColumn("back", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("event_id"))) - 1).where(F.col("back") < _ENOUGH)
-    weight = F.pow(F.lit(keep), F.col("back")) * F.when(F.col("back") == F.col("intervals") - 1, F.lit(1.0)).otherwise(1 - keep)
-    return late.join(counts, "session").groupBy("session", "intervals").agg(F.sum(F.col("gap") * weight).alias("ema"))
+    order = ["ts", "event_id"]
+    rows = sliced(frames.select("session", "ts", "event_id", micros("ts").alias("s")), ["session"], order)
+    gap = (F.col("s") - F.col("earlier")) / 1e6
+    gaps = running(rows, ["session"], order, before=True, earlier=("last", F.col("s"))).withColumn("gap", gap).where((F.col("gap") > 0) & (F.col("gap") <= longest))
+    back = F.row_number().over(Window.partitionBy(SLICE, "session").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    maps = gaps.withColumn("back", back).groupBy(SLICE, "session").agg(
+        F.count("*").alias("n"), F.sum(F.pow(F.lit(keep), F.col("back")) * (1 - keep) * F.col("gap")).alias("shift"), F.max_by("gap", "back").alias("first"))
+    by = Window.partitionBy("session").orderBy(SLICE)
+    later = F.coalesce(F.sum("n").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    whole = F.when(F.row_number().over(by) == 1, F.pow(F.lit(keep), F.col("n")) * F.col("first")).otherwise(0.0)
+    parts = maps.select("session", "n", (F.pow(F.lit(keep), later) * (F.col("shift") + whole)).alias("part"))
+    return parts.groupBy("session").agg(F.sum("n").alias("intervals"), F.sum("part").alias("ema"))
 
 
 def bands(ratios: DataFrame, near: float = 0.75, far: float = 2.5, slack: float = 0.1) -> DataFrame:
@@ -209,17 +223,17 @@ def bands(ratios: DataFrame, near: float = 0.75, far: float = 2.5, slack: float
     the upper one far stays and near rises to medium; so what counts since the last clear ratio is which zones came up. Null
     ratios go.
     """
-    r = F.col("ratio")
-    w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(*PAST)
+    r, order = F.col("ratio"), ["ts", "event_id"]
     clear = F.when(r < near * (1 - slack), "near").when(r > far * (1 + slack), "far").when((r > near * (1 + slack)) & (r < far * (1 - slack)), "medium")
     first = F.when(r <= near, "near").when(r <= far, "medium").otherwise("far")
-    rows = ratios.where(r.isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_set", F.when(F.col("_n") == 1, first).otherwise(clear)).withColumn("_g", F.count("_set").over(w))
-    own = Window.partitionBy("session", "_g").orderBy("ts", "event_id").rowsBetween(*PAST)
-    later = F.col("_set").isNull()
-    low, high = later & r.between(near * (1 - slack), near * (1 + slack)), later & r.between(far * (1 - slack), far * (1 + slack))
-    base = F.first("_set").over(own)
-    band = F.when((base == "near") & ~F.coalesce(F.max(high).over(own), F.lit(False)), "near").when((base == "far") & ~F.coalesce(F.max(low).over(own), F.lit(False)), "far").otherwise("medium")
-    return rows.withColumn("band", band).drop("_n", "_set", "_g")
+    rows = running(sliced(ratios.where(r.isNotNull()), ["session"], order), ["session"], order, before=True, _n=("sum", F.lit(1)))
+    rows = rows.withColumn("_set", F.when(F.col("_n") == 0, first).otherwise(clear))
+    rows = running(rows, ["session"], order, _g=("sum", F.col("_set").isNotNull().cast("int")), _base=("last", F.col("_set")))
+    inside = lambda edge: (F.col("_set").isNull() & r.between(edge * (1 - slack), edge * (1 + slack))).cast("int")
+    rows = running(rows, ["session", "_g"], order, _low=("max", inside(near)), _high=("max", inside(far)))
+    base = F.col("_base")
+    band = F.when((base == "near") & (F.col("_high") == 0), "near").when((base == "far") & (F.col("_low") == 0), "far").otherwise("medium")
+    return rows.select(*ratios.columns, band.alias("band"))
 
 
 MIB = 1024 * 1024
@@ -234,15 +248,15 @@ def pressure(frames: DataFrame) -> DataFrame:
     names = ("selected_points", "memory_bytes", "frame_ms")
     over = lambda limits: F.greatest(*[F.coalesce(F.col(n) > v, F.lit(False)) for n, v in zip(names, limits, strict=True)])
     calm = F.least(*[F.coalesce(F.col(n) < v, F.lit(True)) for n, v in zip(names, (12e6, 850.0 * MIB, 40.0), strict=True)])
-    order = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(*PAST)
-    rows = frames.withColumns({"_high": over((20e6, 1.3 * 1024 * MIB, 80.0)), "_moderate": over((15e6, 1024.0 * MIB, 50.0)), "_calm": calm, "_s": seconds("ts")})
-    held = {}
-    for name in ("_high", "_moderate", "_calm"):
-        rows = rows.withColumn(f"{name}_g", F.count_if(~F.col(name)).over(order))
-        run = Window.partitionBy("session", f"{name}_g").orderBy("ts", "event_id").rowsBetween(*PAST)
-        held[name] = F.col(name) & (F.col("_s") - F.min(F.when(F.col(name), F.col("_s"))).over(run) >= {"_high": 0.3, "_moderate": 0.5, "_calm": 1.0}[name])
-    rows = rows.withColumn("_set", F.when(held["_high"], "HIGH").when(held["_moderate"], "MODERATE").when(held["_calm"], "NONE"))
-    return rows.withColumn("level", F.coalesce(F.last("_set", ignorenulls=True).over(order), F.lit("NONE"))).drop("_high", "_moderate", "_calm", "_s", "_set", "_high_g", "_moderate_g", "_calm_g")
+    order, signals = ["ts", "event_id"], {"_high": 0.3, "_moderate": 0.5, "_calm": 1.0}
+    rows = frames.withColumns({"_high": over((20e6, 1.3 * 1024 * MIB, 80.0)), "_moderate": over((15e6, 1024.0 * MIB, 50.0)), "_calm": calm, "_s": micros("ts")})
+    rows = running(sliced(rows, ["session"], order), ["session"], order, before=True, **{f"{k}_was": ("last", F.col(k)) for k in signals})
+    begins = lambda k: F.when(F.col(k) & ~F.coalesce(F.col(f"{k}_was"), F.lit(False)), F.col("_s"))
+    rows = running(rows, ["session"], order, **{f"{k}_since": ("last", begins(k)) for k in signals})
+    held = {k: F.col(k) & (F.col("_s") - F.col(f"{k}_since") >= span(limit)) for k, limit in signals.items()}
+    told = F.when(held["_high"], "HIGH").when(held["_moderate"], "MODERATE").when(held["_calm"], "NONE")
+    rows = running(rows, ["session"], order, _level=("last", told))
+    return rows.select(*frames.columns, F.coalesce("_level", F.lit("NONE")).alias("level"))
 
 
 def phase_timeline(events: DataFrame, patience: float = 2.5, settle: float = 0.75, quiet: float = 1.0, far: float = 10_000.0) -> DataFrame:
@@ -253,51 +267,68 @@ def phase_timeline(events: DataFrame, patience: float = 2.5, settle: float = 0.7
     ``settle`` seconds after its ``arrive``; a ``frame`` whose ``flag`` (all loaded) has held for ``quiet`` seconds of refining makes it
     ready; a ``request`` reopens refining. Events before a start, other kinds and rows without session or time change nothing.
 
-    Rows are sorted by Spark and streamed, so a task holds one batch and one state however long a session is.
+    A start, and a departure over ``far`` after one, leave the same state whatever came before. They cut a session into segments that
+    are independent of each other but for the time of the next one, so a session is spread over tasks; a segment's rows are sorted
+    by Spark and streamed through one small state.
     """
-    ordered = events.where(F.col("session").isNotNull() & F.col("ts").isNotNull()).select("session", seconds("ts").alias("at"), "event_id", "kind", F.coalesce("flag", F.lit(False)).alias("flag"), F.coalesce(F.col("distance").cast("double"), F.lit(0.0)).alias("distance"))
-    ordered = ordered.repartition("session").sortWithinPartitions("session", "at", "event_id")
+    ordered = events.where(F.col("session").isNotNull() & F.col("ts").isNotNull()).select("session", micros("ts").alias("at"), "event_id", "kind", F.coalesce("flag", F.lit(False)).alias("flag"), F.coalesce(F.col("distance").cast("double"), F.lit(0.0)).alias("distance"))
+    order = ["at", "event_id"]
+    begins, departs = F.col("kind") == "start", (F.col("kind") == "depart") & (F.col("distance") >= far)
+    rows = running(sliced(ordered, ["session"], order), ["session"], order, started=("max", begins.cast("int")))
+    cuts = F.coalesce(begins | (departs & (F.col("started") == 1)), F.lit(False))
+    rows = running(rows.withColumn("cut", cuts), ["session"], order, segment=("sum", F.col("cut").cast("long"))).where("segment > 0")
+    following = rows.where("cut").select("session", (F.col("segment") - 1).alias("segment"), F.col("at").alias("until"))
+    heads = rows.where("cut").join(following, ["session", "segment"], "left")
+    dealt = heads.unionByName(rows.where("not cut"), True).select("session", "segment", "at", "event_id", F.expr("not cut").alias("later"), "kind", "flag", "distance", "until")
+    dealt = dealt.repartition("session", "segment").sortWithinPartitions("session", "segment", "later", "at", "event_id")
 
     def fold(batches):
-        session = phase = since = due = None
+        session = segment = phase = since = due = until = None
         leaving = False
         changes: list[tuple] = []
 
         def enter(at, name, timer=None):
             nonlocal phase, since, due
             phase, since, due = name, None, timer
-            changes.append((session, at, name))
+            changes.append((session, at / 1e6, name))
+
+        def end():
+            if due is not None and not due > (float("inf") if until is None or until != until else until):
+                enter(due, "refining")
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if due is not None and (row.session != session or due <= row.at):
+                if row.session != session or row.segment != segment:
+                    end()
+                    session, segment, until, phase, since, due, leaving = row.session, row.segment, row.until, None, None, None, False
+                    if row.kind == "start":
+                        enter(row.at, "bootstrap" if row.flag else "refining", row.at + span(patience) if row.flag else None)
+                    else:
+                        leaving = True
+                        enter(row.at, "travel")
+                    continue
+                if due is not None and due <= row.at:
                     enter(due, "refining")
-                if row.session != session:
-                    session, phase, since, due, leaving = row.session, None, None, None, False
-                if row.kind == "start":
-                    leaving = False
-                    enter(row.at, "bootstrap" if row.flag else "refining", row.at + patience if row.flag else None)
-                elif row.kind == "visible" and phase == "bootstrap":
+                if row.kind == "visible" and phase == "bootstrap":
                     enter(row.at, "refining")
-                elif row.kind == "depart" and phase:
-                    leaving = row.distance >= far
-                    if leaving:
-                        enter(row.at, "travel")
+                elif row.kind == "depart":
+                    leaving = False
                 elif row.kind == "arrive" and phase == "travel" and leaving:
-                    due, leaving = row.at + settle, False
+                    due, leaving = row.at + span(settle), False
                 elif row.kind == "frame" and phase == "refining":
                     if not row.flag:
                         since = None
                     elif since is None:
                         since = row.at
-                    elif row.at - since >= quiet:
+                    elif row.at - since >= span(quiet):
                         enter(row.at, "ready")
                 elif row.kind == "request" and phase == "ready":
                     enter(row.at, "refining")
             if changes:
                 yield pd.DataFrame(changes, columns=["session", "at", "phase"])
                 changes.clear()
-        if due is not None:
-            yield pd.DataFrame([(session, due, "refining")], columns=["session", "at", "phase"])
+        end()
+        if changes:
+            yield pd.DataFrame(changes, columns=["session", "at", "phase"])
 
-    return ordered.mapInPandas(fold, f"session {events.schema['session'].dataType.simpleString()}, at double, phase string")
+    return dealt.mapInPandas(fold, f"session {events.schema['session'].dataType.simpleString()}, at double, phase string")

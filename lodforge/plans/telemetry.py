@@ -207,14 +207,53 @@ def band_hysteresis(spark, sf):
     return tel.bands(src.frames(spark, sf)).select("event_id", "band")
 
 
+_MIB = 1024 * 1024
+_OVER = lambda points, memory, ms: f"(coalesce(selected_points > {points}, false) OR coalesce(memory_bytes > {memory}, false) OR coalesce(frame_ms > {ms}, false))"
+_PRESSURE = f"""WITH RECURSIVE {_BASE}, placed AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS i, {_OVER("20e6", 1.3 * 1024 * _MIB, 80)} AS high, {_OVER("15e6", 1024.0 * _MIB, 50)} AS moderate,
+  coalesce(selected_points < 12e6, true) AND coalesce(memory_bytes < {850.0 * _MIB}, true) AND coalesce(frame_ms < 40, true) AS calm FROM frames),
+timed AS (SELECT session, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS us, CAST(NULL AS BIGINT) AS high, CAST(NULL AS BIGINT) AS moderate, CAST(NULL AS BIGINT) AS calm, 'NONE' AS level FROM placed WHERE i = 1
+  UNION ALL SELECT session, i, event_id, us, h, m, q, CASE WHEN us - h >= 300000 THEN 'HIGH' WHEN us - m >= 500000 THEN 'MODERATE' WHEN us - q >= 1000000 THEN 'NONE' ELSE level END FROM (
+    SELECT p.session, p.i, p.event_id, p.us, CASE WHEN p.high THEN coalesce(t.high, p.us) END AS h, CASE WHEN p.moderate THEN coalesce(t.moderate, p.us) END AS m, CASE WHEN p.calm THEN coalesce(t.calm, p.us) END AS q, t.level
+    FROM timed t JOIN placed p ON p.session = t.session AND p.i = t.i + 1))
+SELECT event_id, level FROM timed WHERE i > 0"""
+
+
 @r.query(None)
 def pressure_state(spark, sf):
+    """The twin steps through each session's frames, one state after the other."""
     return tel.pressure(src.frames(spark, sf)).select("event_id", "level")
 
 
+r.ORACLES["pressure_state"] = _PRESSURE
+
+#: State: phase, since, due, whether a departure is open, and the changes told so far; times in microseconds.
+_TIMELINE = """WITH RECURSIVE viewed AS (SELECT user_id AS session, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id % 4 > 0 AS flag, value * 400 AS distance,
+  CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'depart' WHEN 'error' THEN 'arrive' WHEN 'click' THEN 'frame' ELSE CASE WHEN event_id % 3 = 0 THEN 'visible' ELSE 'request' END END AS kind FROM events),
+walk AS (SELECT session, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS phase, CAST(NULL AS BIGINT) AS since, CAST(NULL AS BIGINT) AS due, false AS leaving, CAST([] AS STRUCT(moment BIGINT, phase VARCHAR)[]) AS told FROM viewed WHERE i = 1
+  UNION ALL SELECT session, i, coalesce(entered, phase),
+      CASE WHEN entered IS NOT NULL THEN NULL WHEN kind = 'frame' AND phase = 'refining' THEN CASE WHEN flag THEN coalesce(since, us) END ELSE since END,
+      CASE WHEN kind = 'start' AND flag THEN us + 2500000 WHEN entered IS NOT NULL THEN NULL WHEN kind = 'arrive' AND phase = 'travel' AND leaving THEN us + 750000 ELSE due END,
+      CASE WHEN kind IN ('start', 'arrive') THEN CASE WHEN kind = 'start' OR (phase = 'travel' AND leaving) THEN false ELSE leaving END WHEN kind = 'depart' AND phase IS NOT NULL THEN distance >= 10000 ELSE leaving END,
+      list_concat(told, CASE WHEN entered IS NULL THEN CAST([] AS STRUCT(moment BIGINT, phase VARCHAR)[]) ELSE [struct_pack(moment := us, phase := entered)] END)
+    FROM (SELECT *, CASE WHEN kind = 'start' THEN CASE WHEN flag THEN 'bootstrap' ELSE 'refining' END WHEN kind = 'visible' AND phase = 'bootstrap' THEN 'refining' WHEN kind = 'depart' AND phase IS NOT NULL AND distance >= 10000 THEN 'travel'
+        WHEN kind = 'frame' AND phase = 'refining' AND flag AND us - since >= 1000000 THEN 'ready' WHEN kind = 'request' AND phase = 'ready' THEN 'refining' END AS entered
+      FROM (SELECT v.session, v.i, v.us, v.kind, v.flag, v.distance, CASE WHEN w.due <= v.us THEN 'refining' ELSE w.phase END AS phase, CASE WHEN w.due <= v.us THEN NULL ELSE w.since END AS since,
+          CASE WHEN w.due <= v.us THEN NULL ELSE w.due END AS due, w.leaving, CASE WHEN w.due <= v.us THEN list_append(w.told, struct_pack(moment := w.due, phase := 'refining')) ELSE w.told END AS told
+        FROM walk w JOIN viewed v ON v.session = w.session AND v.i = w.i + 1) fired) stepped),
+ends AS (SELECT session, CASE WHEN due IS NULL THEN told ELSE list_append(told, struct_pack(moment := due, phase := 'refining')) END AS told FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY i DESC) AS k FROM walk) WHERE k = 1)
+SELECT session, round(change.moment / 1000000.0::DOUBLE, 3) AS "at", change.phase AS phase FROM (SELECT session, unnest(told) AS change FROM ends)"""
+
+
 @r.query(None)
 def phase_timeline(spark, sf):
-    """Each user's events read as one session: sign-ups start it, purchases depart, errors arrive, clicks are frames, views requests or first sight."""
+    """Each user's events read as one session: sign-ups start it, purchases depart, errors arrive, clicks are frames, views requests or first sight.
+
+    The twin steps through each session's events, one state after the other.
+    """
     e = src._events(spark, sf)
     kind = F.when(c("event_type") == "signup", "start").when(c("event_type") == "purchase", "depart").when(c("event_type") == "error", "arrive").when(c("event_type") == "click", "frame").otherwise(F.when(c("event_id") % 3 == 0, "visible").otherwise("request"))
-    return tel.phase_timeline(e.select(c("user_id").alias("session"), "ts", "event_id", kind.alias("kind"), (c("event_id") % 4 > 0).alias("flag"), (c("value") * 400).alias("distance")))
+    told = tel.phase_timeline(e.select(c("user_id").alias("session"), "ts", "event_id", kind.alias("kind"), (c("event_id") % 4 > 0).alias("flag"), (c("value") * 400).alias("distance")))
+    return told.withColumn("at", r._r(c("at"), 3))
+
+
+r.ORACLES["phase_timeline"] = _TIMELINE
