@@ -39,27 +39,77 @@ def coarse_frontier(tiles: DataFrame, files: DataFrame, most: int = 64) -> tuple
     return branches, totals.withColumn("ready", (F.col("tiles") > 0) & (F.col("missing") == 0))
 
 
+def spread(first: DataFrame, links: DataFrame, name: str = "spread") -> DataFrame:
+    """``doc``, ``steps`` of ``first`` (doc) and all that it leads to by ``links`` (src, dst): each round asks only from the round before."""
+    rounds = [written(first.select("doc", F.lit(0).alias("steps")), name)]
+    reached = rounds[0]
+    while not rounds[-1].isEmpty():
+        further = links.join(rounds[-1].select(F.col("doc").alias("src")), "src").select(F.col("dst").alias("doc")).distinct().join(reached, "doc", "left_anti")
+        rounds.append(written(further.withColumn("steps", F.lit(len(rounds))), name))
+        reached = reached.unionByName(rounds[-1])
+    return reached
+
+
+def trimmed(links: DataFrame) -> DataFrame:
+    """``links`` without those that no circle can hold: round by round those from documents nothing leads to, and to documents that lead nowhere, go."""
+    now, before = links, links.count()
+    while before:
+        after = written(now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "trimmed")
+        count = after.count()
+        if now is not links:
+            discard(now)
+        now = after
+        if count == before:
+            break
+        before = count
+    return now
+
+
+def colours(links: DataFrame) -> DataFrame:
+    """``doc``, ``colour``: the smallest document that leads to it, itself included; a round hands on what changed in the one before."""
+    held = moved = written(links.select(F.col("src").alias("doc")).union(links.select("dst")).distinct().withColumn("colour", F.col("doc")), "colours")
+    while not moved.isEmpty():
+        told = links.join(moved.withColumnRenamed("doc", "src"), "src").groupBy(F.col("dst").alias("doc")).agg(F.min("colour").alias("told"))
+        after = written(held.join(told, "doc", "left").select("doc", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("new")), "colours")
+        discard(held)
+        held, moved = after.select("doc", "colour"), after.where("new").select("doc", "colour")
+    return held
+
+
+def strong_components(links: DataFrame) -> DataFrame:
+    """``doc``, ``component`` of every document that lies on a circle of ``links`` (src, dst); the component is its smallest document.
+
+    A round trims the links, gives each document the smallest one leading to it as colour, and takes as components what leads back to
+    that document within its colour. At least one component of each colour goes, with all its links. A link to itself is a circle.
+    """
+    own = links.where("src = dst").select(F.col("src").alias("doc"), F.col("src").alias("component"))
+    left = written(links.where("src <> dst").select("src", "dst").distinct(), "left")
+    found = None
+    while True:
+        left = trimmed(left)
+        if left.isEmpty():
+            break
+        colour = colours(left)
+        end = lambda side: colour.select(F.col("doc").alias(side), F.col("colour").alias(f"{side}_colour"))  # noqa: B023, E731
+        back = left.join(end("src"), "src").join(end("dst"), "dst").where("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        part = spread(colour.where("doc = colour"), written(back, "back")).select("doc").join(colour, "doc").withColumnRenamed("colour", "component")
+        sizes = part.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        now = written(part.join(sizes, "component", "left_semi").select("doc", "component"), "components")
+        found = now if found is None else found.unionByName(now)
+        gone = part.select("doc")
+        left = written(left.join(gone.withColumnRenamed("doc", "src"), "src", "left_anti").join(gone.withColumnRenamed("doc", "dst"), "dst", "left_anti").select("src", "dst"), "left")
+    return own if found is None else found.unionByName(own.join(found, "doc", "left_anti"))
+
+
 def reachable(docs: DataFrame, refs: DataFrame, entry: str) -> DataFrame:
     """``doc``, ``steps`` (fewest from ``entry``, null if never reached), ``cycle`` (lies on a circle of references) for every document.
 
-    ``refs``: src, dst. A document that refers to an unknown one is no problem here. Each round asks only from documents reached
-    in the round before. Circles are what is left after documents without references into the rest, and then those without
-    references from it, are taken off round by round.
+    ``refs``: src, dst. A document that refers to an unknown one is no problem here. What only lies between circles is on none.
     """
     known = docs.select("doc").distinct()
-    links = written(refs.select("src", "dst").distinct().join(known.withColumnRenamed("doc", "dst"), "dst", "left_semi"), "links")
-    reached = now = written(known.where(F.col("doc") == entry).withColumn("steps", F.lit(0)), "reached")
-    step = 0
-    while not now.isEmpty():
-        step += 1
-        further = links.join(now.select(F.col("doc").alias("src")), "src").select(F.col("dst").alias("doc")).distinct().join(reached, "doc", "left_anti")
-        now = written(further.withColumn("steps", F.lit(step)), "reached")
-        reached = reached.unionByName(now)
-    left, before = links, -1
-    while (count := left.count()) != before and count:
-        before = count
-        left = written(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "left")
-    circle = left.select(F.col("src").alias("doc")).intersect(left.select(F.col("dst").alias("doc"))).withColumn("cycle", F.lit(True))
+    links = written(refs.select("src", "dst").distinct().join(known.withColumnRenamed("doc", "dst"), "dst", "left_semi").join(known.withColumnRenamed("doc", "src"), "src", "left_semi").select("src", "dst"), "links")
+    reached = spread(known.where(F.col("doc") == entry), links, "reached")
+    circle = strong_components(links).select("doc", F.lit(True).alias("cycle"))
     return known.join(reached, "doc", "left").join(circle, "doc", "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
 
 

@@ -81,18 +81,18 @@ def coarse_frontier(spark, sf):
     return _frontier(spark, sf)[0].select("tile", "depth", "bytes", "problem")
 
 
-_WALK = "docs AS (SELECT DISTINCT user_id AS doc FROM events), refs AS (SELECT DISTINCT e.user_id AS src, (e.user_id * 3 + e.event_id % 4) % (SELECT count(*) FROM docs) AS dst FROM events e WHERE e.event_id % 3 = 0)"
+_WALK = "docs AS (SELECT DISTINCT user_id AS doc FROM events), refs AS (SELECT DISTINCT e.user_id AS src, (e.user_id * 3 + e.event_id % 4) % (SELECT count(*) FROM docs) AS dst FROM events e WHERE e.event_id % 9 = 0)"
 
 
-@r.query("""SELECT doc, min(steps) AS steps FROM (SELECT doc, NULL AS steps FROM docs UNION ALL SELECT doc, steps FROM reached) GROUP BY 1""",
-         f"RECURSIVE {_WALK}, links AS (SELECT DISTINCT src, dst FROM refs WHERE dst IN (SELECT doc FROM docs)), reached(doc, steps) AS (SELECT min(doc), 0 FROM docs UNION SELECT dst, steps + 1 FROM reached JOIN links ON src = doc WHERE steps < 40)")
+@r.query("""SELECT doc, min(steps) AS steps, doc IN (SELECT src FROM path WHERE src = dst) AS cycle FROM (SELECT doc, NULL AS steps FROM docs UNION ALL SELECT doc, steps FROM reached) GROUP BY 1""",
+         f"RECURSIVE {_WALK}, links AS (SELECT DISTINCT src, dst FROM refs WHERE dst IN (SELECT doc FROM docs)), reached(doc, steps) AS (SELECT min(doc), 0 FROM docs UNION SELECT dst, steps + 1 FROM reached JOIN links ON src = doc WHERE steps < 40), path(src, dst) AS (SELECT src, dst FROM links UNION SELECT p.src, l.dst FROM path p JOIN links l ON l.src = p.dst)")
 def reachability(spark, sf):
     """Users as documents that refer to others by arithmetic on the events' ids."""
     events = spark.read.parquet(f"{sf}/events.parquet")
     docs = events.select(c("user_id").alias("doc")).distinct()
     few = docs.agg(F.count("*").alias("n"), F.min("doc").alias("first")).first()
-    refs = events.where("event_id % 3 = 0").select(c("user_id").alias("src"), ((c("user_id") * 3 + c("event_id") % 4) % few["n"]).alias("dst"))
-    return walks.reachable(docs, refs, few["first"]).select("doc", "steps")
+    refs = events.where("event_id % 9 = 0").select(c("user_id").alias("src"), ((c("user_id") * 3 + c("event_id") % 4) % few["n"]).alias("dst"))
+    return walks.reachable(docs, refs, few["first"]).select("doc", "steps", "cycle")
 
 
 _ROOTS = ", ".join(f"{n}({k}) AS {n}_{k}" for n in ("min", "max") for k in "xyz")

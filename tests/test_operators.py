@@ -166,6 +166,34 @@ def test_reachability_and_circles(spark):
     assert rows(walks.reachable(docs, refs, "e")) == [("a", 1, True), ("b", 1, True), ("c", None, False), ("e", 0, False), ("x", None, False)]
 
 
+def test_documents_between_circles_are_on_none(spark):
+    """Random graphs against reach by hand, with links to itself, repeats and nulls."""
+    import random
+
+    def circles(links):
+        after = {}
+        for a, b in links:
+            after.setdefault(a, set()).add(b)
+        out = set()
+        for start in after:
+            seen, todo = set(), [start]
+            while todo:
+                for b in after.get(todo.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+            out |= {start} & seen
+        return out
+
+    dice = random.Random(1)
+    for links in ([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "d")], [("a", "a"), ("a", "b"), ("b", "c")], [(str(dice.randrange(40)), str(dice.randrange(40))) for _ in range(50)]):
+        names = sorted({x for pair in links for x in pair} | {"z"})
+        docs = spark.createDataFrame([(n,) for n in names], "doc string")
+        refs = spark.createDataFrame([*links, *links[:2], (None, "a"), ("a", None)], "src string, dst string")
+        found = {r["doc"]: r["cycle"] for r in walks.reachable(docs, refs, "a").collect()}
+        assert {d for d, c in found.items() if c} == circles(links) and len(found) == len(names)
+
+
 def test_octree_groups(spark):
     nodes = spark.createDataFrame([(0, 0, 0, 0, 10), (1, 0, 0, 0, 10), (2, 0, 0, 0, 100), (2, 1, 1, 0, 100), (3, 7, 7, 7, 10)], "lvl int, kx int, ky int, kz int, points long")
     found = {tuple(r[:4]): tuple(r[5:]) for r in walks.octree_pack(nodes, 1, 2000).collect()}
