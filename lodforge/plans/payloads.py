@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from lodforge.functions import geometry as g
 from lodforge.functions import text as t
+from lodforge.operators import documents
 from lodforge.operators.work import folder, once
 from lodforge.plans import registry as r
 from lodforge.plans import tree as tp
 from lodforge.plans.pyramids import _REPORTS, reports
-from lodforge.sources import files
+from lodforge.sources import files, filetree, ranges
 from lodforge.sources import payloads as pay
 from lodforge.sources import points as src
 from lodforge.streaming import chunks as ch
@@ -39,14 +40,25 @@ def pnts_encode(spark, sf):
     return pay.read_pnts_headers(_payloads(spark, sf)).where("magic = 'pnts' and byte_length = stored").select("uri", "points")
 
 
-@r.query(f"SELECT {_URI} AS uri FROM nodes", tp._TREE)
+def _files(spark, rows, **more):
+    """Rows written as files, and those files as Spark lists them, with ``uri`` under the root."""
+    root = f"{folder(spark)}/files"
+    filetree.write_files(rows, root, **more)
+    return ranges.listing(spark, root, recursive=True).withColumn("uri", F.regexp_extract("path", r"/files/(.*)$", 1))
+
+
+@r.query(f"SELECT {_URI} AS uri, emitted AS points, true AS whole FROM nodes", tp._TREE)
 def pnts_sink(spark, sf):
-    return pay.write_payloads(_payloads(spark, sf), f"{folder(spark)}/payloads").select("uri")
+    """Payloads written as files; each file's header is read back and held against the file's size."""
+    heads = ranges.file_headers(_files(spark, _payloads(spark, sf)))
+    return heads.select("uri", "points", (c("byte_length") == c("size")).alias("whole"))
 
 
-@r.query(f"SELECT {_URI} AS uri, emitted AS points, round((min_x+max_x)/2, 6) AS cx, true AS has_rgb FROM nodes", tp._TREE)
+@r.query(f"SELECT {_URI} AS uri, emitted AS points, round((min_x+max_x)/2, 6) AS cx, true AS has_rgb, true AS bounded FROM nodes", tp._TREE)
 def pnts_headers(spark, sf):
-    return pay.read_pnts_headers(_payloads(spark, sf)).select("uri", "points", r._r(F.element_at("center", 1)).alias("cx"), "has_rgb")
+    """Headers of files of which only header and feature table are read."""
+    heads = ranges.file_headers(_files(spark, _payloads(spark, sf)))
+    return heads.select("uri", "points", r._r(F.element_at("center", 1)).alias("cx"), "has_rgb", (c("bytes_read") <= 400).alias("bounded"))
 
 
 @r.query("SELECT uri, place, red, green, blue FROM (SELECT " + _URI + " AS uri, row_number() OVER (PARTITION BY ix, iy, path ORDER BY ordinal) - 1 AS place, " + ", ".join(f"CAST(floor(least(greatest({k}/256,0),255)) AS INT) AS {k}" for k in ("red", "green", "blue")) + " FROM owned JOIN (SELECT ordinal, red, green, blue FROM cells) USING (ordinal))", tp._TREE)
@@ -71,20 +83,45 @@ def _documents(spark, sf, diagnostics: bool = True):
     return pay.tile_documents(rows, "doc", diagnostics)
 
 
-@r.query("SELECT DISTINCT printf('z0_x%06d_y%06d', ix, iy) AS doc FROM nodes UNION ALL SELECT 'entry'", tp._TREE)
+ENTRY = "tileset.json"
+_DOC = "concat('z0/', printf('z0_x%06d_y%06d', ix, iy), '/tileset.json')"
+_GONE, _CUT = "ix % 5 = 1", "ix % 5 <> 1 AND iy % 7 = 2"
+
+
+def _linked(spark, sf):
+    """Cell documents by uri, with contents as seen from there, and the entry that refers to all of them."""
+    n = tp._rolled(spark, sf)
+    box = g.box(*[tuple(c(f"sub_{s}_{k}") for k in "xyz") for s in ("min", "max")])
+    doc = F.concat(F.lit("z0/"), g.tile_id(0, c("ix"), c("iy")), F.lit("/tileset.json"))
+    rows = n.select(doc.alias("doc"), "path", "parent", "error", box.alias("box"), t.rebase_uri(_uri(), F.lit(""), F.regexp_replace(doc, "/[^/]*$", "")).alias("uri"))
+    cells = pay.tile_documents(rows, "doc").select(c("doc").alias("uri"), "json")
+    volume = F.struct(F.array([F.lit(float(v)) for v in (0, 0, 0, 1e5, 0, 0, 0, 1e5, 0, 0, 0, 1e5)]).alias("box")).alias("boundingVolume")
+    child = lambda uri: F.struct(volume, F.lit(1e9).alias("geometricError"), F.struct(uri.alias("uri")).alias("content"))
+    uris = n.select(doc.alias("uri")).distinct().agg(F.array_sort(F.collect_list("uri")).alias("uris"))  # one reference a root cell
+    root = F.struct(volume, F.lit(1e9).alias("geometricError"), F.lit("ADD").alias("refine"), F.transform("uris", child).alias("children"))
+    entry = uris.select(F.lit(ENTRY).alias("uri"), F.to_json(F.struct(F.struct(F.lit("1.1").alias("version")).alias("asset"), F.lit(1e9).alias("geometricError"), root.alias("root"))).alias("json"))
+    return cells.unionByName(entry)
+
+
+@r.query(f"SELECT {_DOC} AS uri, count(*) AS tiles, CAST(0 AS BIGINT) AS problems FROM ({tp._ALL}) GROUP BY ix, iy UNION ALL SELECT '{ENTRY}', 1 + count(DISTINCT (ix, iy)), 0 FROM nodes", tp._ROLLUP)
 def tile_docs_sink(spark, sf):
-    """Cell documents first, then the entry that refers to them."""
-    place = f"{folder(spark)}/documents"
-    _documents(spark, sf).write.parquet(f"{place}/cells")
-    cells = spark.read.parquet(f"{place}/cells")
-    entry = cells.agg(F.to_json(F.array_sort(F.collect_list(F.concat(F.lit("z0/"), "doc", F.lit("/tileset.json"))))).alias("json")).withColumn("doc", F.lit("entry"))  # one reference a root cell
-    entry.select("doc", "json").write.parquet(f"{place}/entry")
-    return cells.select("doc").unionByName(spark.read.parquet(f"{place}/entry").select("doc"))
+    """Documents written as files, the entry moved last, and read back as a viewer would."""
+    listed = _files(spark, _linked(spark, sf).select("uri", c("json").cast("binary").alias("payload")), last=ENTRY)
+    texts = spark.read.format("binaryFile").load(listed.select(F.regexp_extract("path", "^(.*/files)/", 1)).first()[0], recursiveFileLookup=True)
+    docs = texts.select(F.regexp_extract("path", r"/files/(.*)$", 1).alias("uri"), c("content").cast("string").alias("json"))
+    tiles = pay.read_tile_documents(docs.withColumnRenamed("uri", "doc"))
+    return tiles.groupBy(c("doc").alias("uri")).agg(F.count("*").alias("tiles"), F.count("problem").alias("problems"))
 
 
-@r.query(f"SELECT printf('z0_x%06d_y%06d', ix, iy) AS doc, {_URI} AS uri, depth, round(error, 6) AS error, 'ADD' AS refine, false AS external FROM ({tp._ALL})", tp._ROLLUP)
+@r.query(f"""SELECT {_DOC} AS doc, 1 AS steps, CAST(depth AS INT) AS depth, {_URI} AS target, round(error, 6) AS error, NULL AS problem FROM ({tp._ALL}) WHERE NOT ({_GONE}) AND NOT ({_CUT})
+  UNION ALL SELECT DISTINCT {_DOC}, 1, NULL, NULL, NULL, 'broken' FROM nodes WHERE {_CUT}
+  UNION ALL SELECT '{ENTRY}', 0, 0, NULL, 1e9, NULL UNION ALL SELECT DISTINCT '{ENTRY}', 0, 1, {_DOC}, 1e9, CASE WHEN {_GONE} THEN 'missing' END FROM nodes""", tp._ROLLUP)
 def tile_docs_source(spark, sf):
-    return pay.read_tile_documents(_documents(spark, sf)).select("doc", "uri", "depth", r._r(c("error")).alias("error"), "refine", "external")
+    """From the entry through all documents; some are missing, some texts are cut off."""
+    cell = [F.regexp_extract("uri", pattern, 1).try_cast("int") for pattern in (r"_x(\d+)", r"_y(\d+)")]
+    docs = _linked(spark, sf).withColumns({"ix": cell[0], "iy": cell[1]})
+    docs = docs.where(f"uri = '{ENTRY}' OR NOT ({_GONE})").withColumn("json", F.when(F.coalesce(F.expr(_CUT), F.lit(False)), F.substring("json", 1, 40)).otherwise(c("json")))
+    return documents.resolve_documents(docs, ENTRY).select("doc", "steps", "depth", "target", r._r(c("error")).alias("error"), "problem")
 
 
 @r.query("SELECT printf('z0_x%06d_y%06d', ix, iy) AS doc, count(*) AS entries FROM nodes GROUP BY ix, iy", tp._TREE)
@@ -102,10 +139,12 @@ def metadata_byte_delta(spark, sf):
     return size(True).join(size(False), "doc").select("doc", (c("b1") - c("b0")).cast("long").alias("delta"))
 
 
-@r.query("SELECT 0 AS differing FROM (SELECT count(*) FROM nodes)", tp._TREE)
+@r.query(f"SELECT {_URI} AS uri, 'first' AS side FROM nodes WHERE right(path, 1) = '3' UNION ALL SELECT concat('new/', {_URI}), 'second' FROM nodes WHERE right(path, 1) = '1'", tp._TREE)
 def variant_parity(spark, sf):
-    tiles = lambda with_: pay.read_tile_documents(_documents(spark, sf, with_))
-    return pay.variant_parity(tiles(True), tiles(False)).agg(F.count("*").cast("int").alias("differing"))
+    """Documents with and without diagnostics refer to the same contents; the second variant then loses some and gains others."""
+    first, second = (pay.read_tile_documents(_documents(spark, sf, with_)) for with_ in (True, False))
+    changed = second.where(~c("uri").rlike(r"3\.pnts$")).unionByName(second.where(c("uri").rlike(r"1\.pnts$")).withColumn("uri", F.concat(F.lit("new/"), "uri")))
+    return pay.variant_parity(first, changed)
 
 
 @r.query("SELECT chunk_id, source_points, emitted_points, crs FROM reports", _REPORTS)
@@ -121,9 +160,16 @@ def report_source(spark, sf):
 _TABLES = "/{lineitem,events}*.parquet"
 
 
-@r.query(None)
+@r.query("""SELECT name, size, sha256, bytes_read, sha256(concat('[', string_agg(concat('{"name":"', name, '","size":', size, ',"sha256":"', sha256, '"}'), ',' ORDER BY name) OVER (), ']')) AS dataset, substr(sha256(concat('[', string_agg(concat('{"name":"', name, '","size":', size, ',"sha256":"', sha256, '"}'), ',' ORDER BY name) OVER (), ']')), 1, 16) AS salt
+  FROM (SELECT concat(doc_id, '.txt') AS name, CAST(strlen(body) AS BIGINT) AS size, sha256(substr(body, 1, 1048576)) AS sha256, least(CAST(strlen(body) AS BIGINT), 1048576) AS bytes_read FROM (SELECT doc_id, repeat(coalesce(text, ''), CASE WHEN doc_id = 0 THEN 4000 ELSE 1 END) AS body FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM documents)))""", "none AS (SELECT 1)")
 def source_fingerprint(spark, sf):
-    return files.fingerprints(spark, sf + _TABLES).drop("modified")
+    """Texts written as files, one of them far over a MiB, of which only the first MiB is read."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")
+    body = F.when(c("doc_id") == 0, F.repeat(text, F.lit(4000))).otherwise(text)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat("doc_id", F.lit(".txt")).alias("uri"), body.cast("binary").alias("payload"))
+    root = f"{folder(spark)}/files"
+    filetree.write_files(rows, root)
+    return files.fingerprints(spark, root).drop("modified")
 
 
 @r.query(None)

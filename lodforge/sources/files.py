@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodforge.operators.work import written
+
+from . import ranges
+
 MIB = 1 << 20
 
 
 def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``name``, ``size``, ``modified``, ``sha256`` (of the first MiB) of every file, with ``dataset`` (hash over the files in name order) and ``salt`` (its first 16 digits).
+    """``name``, ``size``, ``modified``, ``sha256`` (of the first MiB), ``bytes_read`` of every file, with ``dataset`` (hash over the files in name order) and ``salt`` (its first 16 digits).
 
-    A file is read by one task, so sources are expected as files of ordinary size; what meets in one task is one hash a file.
+    A task reads a file's first MiB only, so files may have any size. In a store that only Spark's readers reach, files are read whole.
+    What meets in one task is one hash a file.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    ledger = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2(F.substring("content", 1, MIB), 256).alias("sha256"))
-    whole = ledger.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "size", "sha256")))), 256).alias("dataset"))  # one row
-    return ledger.crossJoin(F.broadcast(whole)).withColumn("salt", F.substring("dataset", 1, 16))
+    found = ranges.listing(spark, paths)
+    if ranges.readable(found):
+        hashed = ranges.read_ranges(found, lambda read, size: (hashlib.sha256(read(0, MIB)).hexdigest(),), "sha256 string")
+    else:
+        whole = spark.read.format("binaryFile").load(paths)
+        hashed = whole.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2(F.substring("content", 1, MIB), 256).alias("sha256"), F.col("length").alias("bytes_read"))
+    ledger = written(hashed.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "modified", "sha256", "bytes_read"), "fingerprints")
+    dataset = ledger.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "size", "sha256")))), 256).alias("dataset"))  # one row
+    return ledger.crossJoin(F.broadcast(dataset)).withColumn("salt", F.substring("dataset", 1, 16))
 
 
 def crs_name(metadata: Column) -> Column:

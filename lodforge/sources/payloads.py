@@ -1,8 +1,8 @@
 """Point payloads and tile documents as rows: encoded, read back, checked.
 
 A payload is the public point-cloud tile format: a 28-byte header, a JSON feature table, float positions from a centre, maybe
-colours, both tables padded to 8 bytes. Payloads and documents are kept as Parquet rows keyed by uri, which any number of
-executors can write and retry; the bytes in a row are those of the file.
+colours, both tables padded to 8 bytes. Payloads and documents are rows keyed by uri until ``filetree`` writes them as files; the bytes in a row are those of the file. Readers
+take any bytes and any text: what isn't sound becomes a row with nulls or a ``problem``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 HEADER = struct.Struct("<4s6I")
 MAGIC, VERSION = b"pnts", 1
+#: Bytes that no sound feature table of these payloads comes near; one said to be larger isn't read.
+TABLE = 1 << 24
 _HEADERS = "uri string, magic string, version int, byte_length long, stored long, points long, center array<double>, has_rgb boolean"
 
 
@@ -52,10 +54,22 @@ def encode_pnts(points: DataFrame) -> DataFrame:
     return points.groupBy("uri").applyInPandas(one, "uri string, payload binary, bytes long")
 
 
-def write_payloads(payloads: DataFrame, path: str) -> DataFrame:
-    """Writes payloads under ``path``, replacing it whole once all are there, and reads them back."""
-    payloads.write.mode("overwrite").parquet(path)
-    return payloads.sparkSession.read.schema(payloads.schema).parquet(path)
+def _number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool) and np.isfinite(value)
+
+
+def feature_table(raw: bytes) -> dict:
+    """A feature table's known entries, without those of a wrong type."""
+    try:
+        table = json.loads(raw)
+    except ValueError:
+        return {}
+    if not isinstance(table, dict):
+        return {}
+    count = lambda v: isinstance(v, int) and not isinstance(v, bool) and 0 <= v < 1 << 32
+    offset = lambda v: isinstance(v, dict) and count(v.get("byteOffset"))
+    sound = {"POINTS_LENGTH": count, "RTC_CENTER": lambda v: isinstance(v, list) and len(v) == 3 and all(map(_number, v)), "POSITION": offset, "RGB": offset}
+    return {k: v for k, v in table.items() if k in sound and sound[k](v)}
 
 
 def _parse(raw: bytes | None) -> tuple:
@@ -63,11 +77,8 @@ def _parse(raw: bytes | None) -> tuple:
     if raw is None or len(raw) < HEADER.size:
         return None, None, None, {}, 0
     magic, version, length, head, *_ = HEADER.unpack_from(raw)
-    try:
-        table = json.loads(raw[HEADER.size : HEADER.size + head])
-    except ValueError:
-        table = {}
-    return magic.decode("latin-1"), version, length, table if isinstance(table, dict) else {}, HEADER.size + head
+    table = feature_table(raw[HEADER.size : HEADER.size + head]) if magic == MAGIC and head <= TABLE else {}
+    return magic.decode("latin-1"), version, length, table, HEADER.size + head
 
 
 def read_pnts_headers(payloads: DataFrame) -> DataFrame:
@@ -85,18 +96,23 @@ def read_pnts_headers(payloads: DataFrame) -> DataFrame:
 
 
 def read_pnts_points(payloads: DataFrame) -> DataFrame:
-    """``uri``, ``place``, ``x``, ``y``, ``z`` (and red, green, blue, null without colours) of every point of every sound payload."""
+    """``uri``, ``place``, ``x``, ``y``, ``z`` (and red, green, blue, null without colours) of every point of every sound payload.
+
+    A payload without positions, with another magic or too short for its points gives none; colours that don't fit are null.
+    """
 
     def run(batches):
         for batch in batches:
             for uri, raw in zip(batch["uri"], batch["payload"], strict=True):
                 magic, _, _, table, at = _parse(raw)
                 n = table.get("POINTS_LENGTH", 0)
-                if magic != "pnts" or not n:
+                start = at + table.get("POSITION", {}).get("byteOffset", 0)
+                if magic != "pnts" or not n or "POSITION" not in table or start + 12 * n > len(raw):
                     continue
-                xyz = np.frombuffer(raw, "<f4", 3 * n, at + table["POSITION"]["byteOffset"]).reshape(n, 3).astype(np.float64) + table.get("RTC_CENTER", [0, 0, 0])
+                xyz = np.frombuffer(raw, "<f4", 3 * n, start).reshape(n, 3).astype(np.float64) + table.get("RTC_CENTER", [0, 0, 0])
                 rows = {"uri": uri, "place": np.arange(n), **{k: xyz[:, i] for i, k in enumerate("xyz")}}
-                rgb = np.frombuffer(raw, np.uint8, 3 * n, at + table["RGB"]["byteOffset"]).reshape(n, 3) if "RGB" in table else None
+                colours = at + table["RGB"]["byteOffset"] if "RGB" in table else len(raw)
+                rgb = np.frombuffer(raw, np.uint8, 3 * n, colours).reshape(n, 3) if colours + 3 * n <= len(raw) else None
                 rows |= {k: rgb[:, i].astype("int32") if rgb is not None else pd.array([None] * n, "Int32") for i, k in enumerate(("red", "green", "blue"))}
                 yield pd.DataFrame(rows)
 
@@ -117,7 +133,8 @@ def validate_pnts(headers: DataFrame, expected: DataFrame) -> DataFrame:
 def tile_documents(tiles: DataFrame, key: str = "doc", diagnostics: bool = True) -> DataFrame:
     """``key``, ``json``: one nested document for each root cell of tiles (key, path, parent, error, box, uri and maybe ``extras``, a JSON text).
 
-    ``parent`` is null at the document's root. A group is one cell's tree. ``diagnostics`` tells whether extras go in.
+    ``parent`` is null at the document's root. A group is one cell's tree. ``diagnostics`` tells whether extras go in. A tile whose parent
+    isn't there, or lies on a circle, isn't part of the document; a document without a root has null json.
     """
     names = [key, "path", "parent", "error", "box", "uri", *(["extras"] if "extras" in tiles.columns else [])]
 
@@ -131,29 +148,64 @@ def tile_documents(tiles: DataFrame, key: str = "doc", diagnostics: bool = True)
                 tile["extras"] = json.loads(r.extras)
             made[r.path] = tile
         roots = [p for p, q in zip(rows["path"], rows["parent"], strict=True) if not isinstance(q, str)]
-        for path, parent in sorted((p, q) for p, q in zip(rows["path"], rows["parent"], strict=True) if isinstance(q, str)):
-            made[parent].setdefault("children", []).append(made[path])
+        below = {}
+        for path, parent in sorted({(p, q) for p, q in zip(rows["path"], rows["parent"], strict=True) if isinstance(q, str)}):
+            below.setdefault(parent, []).append(path)
+        if not roots:
+            return pd.DataFrame({key: [rows[key].iloc[0]], "json": [None]})
+        todo, seen = [roots[0]], {roots[0]}
+        while todo:
+            path = todo.pop()
+            children = [p for p in below.get(path, []) if p not in seen]
+            if children:
+                made[path]["children"] = [made[p] for p in children]
+                seen.update(children)
+                todo += children
         root = made[roots[0]]
         return pd.DataFrame({key: [rows[key].iloc[0]], "json": [json.dumps({"asset": {"version": "1.0"}, "geometricError": root["geometricError"], "root": root}, separators=(",", ":"))]})
 
     return tiles.select(*names).groupBy(key).applyInPandas(one, f"{key} string, json string")
 
 
+def _tiles(name: str, text: str | None) -> list[tuple]:
+    """Rows of a document's tiles; one with a problem if there is no document."""
+    try:
+        document = json.loads(text) if text is not None else None
+    except (ValueError, RecursionError):
+        document = None
+    root = document.get("root") if isinstance(document, dict) else None
+    if not isinstance(root, dict):
+        return [(name, None, None, None, None, None, None, None, False, "null" if text is None else "broken" if document is None else "no root")]
+    rows, todo = [], [(root, "r", None, 0)]
+    while todo:
+        tile, at, parent, depth = todo.pop()
+        content, volume, error, children = (tile.get(k) for k in ("content", "boundingVolume", "geometricError", "children"))
+        uri = content.get("uri") if isinstance(content, dict) else None
+        uri = uri if isinstance(uri, str) else None
+        box = volume.get("box") if isinstance(volume, dict) else None
+        sound = isinstance(box, list) and len(box) == 12 and all(map(_number, box))
+        external = uri is not None and uri.split("?")[0].split("#")[0].lower().endswith(".json")
+        problem = "no error" if not _number(error) else "no box" if not sound else "children beside reference" if external and children else None
+        refine = tile.get("refine")
+        rows.append((name, at, depth, parent, float(error) if _number(error) else None, uri, refine if isinstance(refine, str) else None, [float(v) for v in box] if sound else None, external, problem))
+        todo += [(child, f"{at}/{i}", at, depth + 1) for i, child in enumerate(children if isinstance(children, list) else []) if isinstance(child, dict)]
+    return rows
+
+
 def read_tile_documents(docs: DataFrame, key: str = "doc") -> DataFrame:
-    """One row a tile of each document (key, json): ``place`` (child numbers from the root), ``depth``, ``parent``, ``error``, ``uri``, ``refine``, ``box``, whether it is ``external``."""
+    """One row a tile of each document (key, json): ``place`` (child numbers from the root), ``depth``, ``parent``, ``error``, ``uri``, ``refine``, ``box``, whether it is ``external``, ``problem``.
+
+    A document that is null, broken or has no root is one row without place. A tile's problem is an error or a box that isn't there
+    or not of numbers, or children beside a reference to a document; what isn't sound is null.
+    """
+    names = [key, "place", "depth", "parent", "error", "uri", "refine", "box", "external", "problem"]
 
     def run(batches):
         for batch in batches:
             for name, text in zip(batch[key], batch["json"], strict=True):
-                rows, todo = [], [(json.loads(text)["root"], "r", None, 0)]
-                while todo:
-                    tile, place, parent, depth = todo.pop()
-                    uri = (tile.get("content") or {}).get("uri")
-                    rows.append((name, place, depth, parent, tile.get("geometricError"), uri, tile.get("refine"), tile["boundingVolume"]["box"], bool(uri) and uri.endswith(".json")))
-                    todo += [(child, f"{place}/{i}", place, depth + 1) for i, child in enumerate(tile.get("children", []))]
-                yield pd.DataFrame(rows, columns=[key, "place", "depth", "parent", "error", "uri", "refine", "box", "external"])
-
-    return docs.select(key, "json").mapInPandas(run, f"{key} string, place string, depth int, parent string, error double, uri string, refine string, box array<double>, external boolean")
+                yield pd.DataFrame(_tiles(name, text if isinstance(text, str) else None), columns=names, dtype=object)
+
+    return docs.select(key, "json").mapInPandas(run, f"{key} string, place string, depth int, parent string, error double, uri string, refine string, box array<double>, external boolean, problem string")
 
 
 def metadata_maps(nodes: DataFrame, key: str = "doc") -> DataFrame:
