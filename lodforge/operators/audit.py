@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def valid(*names: str) -> Column:
     """All of the columns are finite numbers."""
-    return F.forall(F.array(*names), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return reduce(and_, [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")) for n in names])
 
 
 def z0_census(points: DataFrame) -> DataFrame:

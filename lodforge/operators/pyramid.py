@@ -102,3 +102,16 @@ def check_ids(ids: DataFrame, column: str = "id") -> DataFrame:
     counted = ids.groupBy(F.col(column).alias("id")).agg(F.count("*").alias("rows"))
     malformed = ~F.coalesce(F.col("id").rlike(r"^z0_x-?\d{5,6}_y-?\d{5,6}$"), F.lit(False))
     return counted.select("id", "rows", (F.col("rows") > 1).alias("repeated"), malformed.alias("malformed")).where("repeated or malformed")
+
+
+def check_profiles(profiles: DataFrame) -> DataFrame:
+    """``id``, ``problem`` of every profile (id, least, target, leaf, hard, depth, grid, scale) whose scalars contradict each other or are missing.
+
+    The limits must rise from a positive ``least`` to ``hard``; depth and grid are at least 1, the scale is finite and positive.
+    """
+    c, unless = F.col, lambda sound, text: F.when(~F.coalesce(sound, F.lit(False)), text)
+    order = ("least", "target", "leaf", "hard")
+    rules = [unless(c("least") > 0, "least must be positive"), *[unless(c(a) < c(b), f"{a} must be below {b}") for a, b in zip(order, order[1:], strict=False)]]
+    rules += [unless(c(n) >= 1, f"{n} must be at least 1") for n in ("depth", "grid")]
+    rules.append(unless((c("scale") > 0) & (c("scale") < float("inf")) & ~F.isnan("scale"), "scale must be finite and positive"))
+    return profiles.select("id", F.concat_ws("; ", *rules).alias("problem")).where("problem <> ''")

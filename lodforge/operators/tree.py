@@ -14,9 +14,6 @@ from .sampling import quota_allocation
 from .work import discard, written
 
 NODE = ("ix", "iy", "path")
-#: Parts in which a microcell's points are ranked before the survivors are ranked together.
-PARTS = 16
-
 
 #: Most rows of a table of nodes or quotas that is broadcast to the points.
 FEW = 500_000
@@ -30,7 +27,8 @@ def few(table: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Profile:
-    """``target``: points an inner node keeps; ``leaf``, ``hard``: most of a leaf, and of one at ``depth``; ``grid``: microcells a side."""
+    """``target``: points an inner node keeps; ``leaf``, ``hard``: most of a leaf, and of one at ``depth``; ``grid``: microcells a side;
+    ``least``: points below which a leaf is underfilled; ``scale``: of the error. Values that contradict each other are an error."""
 
     target: int = 400
     leaf: int = 1000
@@ -38,21 +36,55 @@ class Profile:
     depth: int = 5
     grid: int = 8
     scale: float = 2.0
+    least: int | None = None
+
+    def __post_init__(self) -> None:
+        problems = profile_problems(self.target, self.leaf, self.hard, self.depth, self.grid, self.scale, self.least)
+        if problems:
+            raise ValueError("; ".join(problems))
+
+
+def profile_problems(target, leaf, hard, depth, grid, scale, least=None) -> list[str]:
+    """What is wrong with a profile's scalars; nothing for a sound one."""
+    named = {"target": target, "leaf": leaf, "hard": hard, "depth": depth, "grid": grid} | ({} if least is None else {"least": least})
+    odd = [f"{n} is no whole number" for n, v in named.items() if isinstance(v, bool) or not isinstance(v, int)]
+    if odd:
+        return odd
+    order = [*([("least", least)] if least is not None else []), ("target", target), ("leaf", leaf), ("hard", hard)]
+    found = [f"{order[0][0]} must be positive"] * (order[0][1] <= 0)
+    found += [f"{a} must be below {b}" for (a, u), (b, v) in zip(order, order[1:], strict=False) if not u < v]
+    found += ["depth must be at least 1"] * (depth < 1) + ["grid must be at least 1"] * (grid < 1)
+    return found + ["scale must be finite and positive"] * (isinstance(scale, bool) or not isinstance(scale, (int, float)) or not 0 < scale < float("inf"))
 
 
-def representatives(points: DataFrame, quota: DataFrame, node=NODE, parts: int = PARTS) -> DataFrame:
+def hash_cuts(points: DataFrame, quota: DataFrame, node=NODE, spare: float = 6.0) -> DataFrame:
+    """``node``, ``cell``, ``last``: the greatest (hi, lo, ordinal) among the ``alloc`` smallest of each microcell that has a quota; written.
+
+    Of ``cnt`` evenly spread hashes the ``alloc`` smallest lie below about alloc / cnt of their range. Only points below that share and
+    some to spare are ranked, a number that depends on the quota and not on the cell's points. Where that finds too few, all cells are
+    taken again with more to spare, at last with all points, so the result doesn't rest on how hashes are spread.
+    """
+    held = few(quota.where("alloc > 0").select(*node, "cell", "alloc", "cnt"))
+    rank = F.row_number().over(Window.partitionBy(*node, "cell").orderBy("hi", "lo", "ordinal"))
+    while True:
+        share = F.least(F.lit(1.0), (F.col("alloc") + spare * F.sqrt("alloc") + 2 * spare) / F.col("cnt"))
+        near = points.select(*node, "cell", "hi", "lo", "ordinal").join(held, [*node, "cell"]).where(F.col("hi") < F.ceil(share * (1 << 32)))
+        kept = near.withColumn("_rank", rank).where(F.col("_rank") <= F.col("alloc"))
+        cuts = written(kept.groupBy(*node, "cell").agg(F.max("_rank").alias("found"), F.max(F.struct("hi", "lo", "ordinal")).alias("last")), "cuts")
+        short = held.join(cuts, [*node, "cell"], "left").where(F.coalesce("found", F.lit(0)) < F.least("alloc", "cnt"))
+        if short.isEmpty():
+            return cuts.drop("found")
+        spare *= 16
+
+
+def representatives(points: DataFrame, quota: DataFrame, node=NODE) -> DataFrame:
     """``points`` (node, cell, hi, lo, ordinal) with ``own``: true for the ``alloc`` smallest hashes of each microcell.
 
-    A point among a microcell's smallest is among its part's smallest, so the parts are ranked apart and only their survivors
-    together: no task sorts a whole microcell however many points it holds. A cell without quota owns none.
+    ``quota`` comes from ``quota_allocation`` over all of the points. A cell without quota owns none. Points aren't sorted: they are
+    compared with their cell's cut.
     """
-    rows = points.join(few(quota.select(*node, "cell", "alloc")), [*node, "cell"], "left").withColumn("alloc", F.coalesce("alloc", F.lit(0)))
-    order = ("hi", "lo", "ordinal")
-    rows = rows.withColumn("_part", F.col("lo") % parts)
-    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*node, "cell", "_part").orderBy(*order)) <= F.col("alloc"))
-    rows = rows.withColumn("_group", F.when(F.col("_first"), -1).otherwise(F.col("_part")))
-    rank = F.row_number().over(Window.partitionBy(*node, "cell", "_group").orderBy(*order))
-    return rows.withColumn("own", F.col("_first") & (rank <= F.col("alloc"))).drop("_part", "_first", "_group", "alloc")
+    rows = points.join(few(hash_cuts(points, quota, node)), [*node, "cell"], "left")
+    return rows.withColumn("own", F.coalesce(F.struct("hi", "lo", "ordinal") <= F.col("last"), F.lit(False))).drop("last")
 
 
 def _kind(depth: int, profile: Profile):
@@ -67,23 +99,28 @@ def residual_tree(points: DataFrame, profile: Profile = Profile(), origin: tuple
     ``profile.depth`` + 1 times. A node over ``hard`` at the last depth keeps its points as kind ``overflow``. No points: no rows.
     """
     size = F.lit(g.CELL)
-    now = points.select("ordinal", "x", "y", "z", "ix", "iy", "hi", "lo").withColumns({"path": F.lit(""), "mx": F.col("ix") * size + origin[0], "my": F.col("iy") * size + origin[1], "size": size})
+    first = written(points.select("ordinal", "x", "y", "z", "ix", "iy", "hi", "lo"), "hashed")  # each level reads its points three times
+    now = first.withColumns({"path": F.lit(""), "mx": F.col("ix") * size + origin[0], "my": F.col("iy") * size + origin[1], "size": size})
     levels = []
     for depth in range(profile.depth + 1):
-        kinds = now.groupBy(*NODE).agg(F.count("*").alias("input")).withColumn("kind", _kind(depth, profile))
-        rows = now.join(few(kinds), list(NODE))
-        inner = rows.where("kind = 'internal'").withColumn("cell", g.microcell(F.col("x"), F.col("y"), F.col("mx"), F.col("my"), F.col("size"), profile.grid))
-        quota = quota_allocation(inner.groupBy(*NODE, "cell").agg(F.count("*").alias("cnt")), profile.target, NODE)
-        kept = rows.where("kind <> 'internal'").withColumn("own", F.lit(True))
-        level = written(kept.unionByName(representatives(inner, quota).drop("cell")).withColumn("depth", F.lit(depth)), f"tree-{depth}")
+        now = now.withColumn("cell", g.microcell(F.col("x"), F.col("y"), F.col("mx"), F.col("my"), F.col("size"), profile.grid))
+        cells = written(now.groupBy(*NODE, "cell").agg(F.count("*").alias("cnt")), "cells")
+        kinds = few(cells.groupBy(*NODE).agg(F.sum("cnt").alias("input")).withColumn("kind", _kind(depth, profile)))
+        inner = cells.join(kinds.where("kind = 'internal'").select(*NODE), list(NODE))
+        quota = written(quota_allocation(inner, profile.target, NODE), "quota")
+        left = quota.agg(F.coalesce(F.sum(F.col("cnt") - F.col("alloc")), F.lit(0))).first()[0]
+        own = representatives(now, quota) if left else now.withColumn("own", F.lit(True))
+        rows = own.join(kinds, list(NODE)).withColumn("own", F.col("own") | (F.col("kind") != "internal")).drop("cell")
+        level = written(rows.withColumn("depth", F.lit(depth)), f"tree-{depth}")
+        discard(cells, quota)
         levels.append(level)
-        rest, half = level.where("not own"), F.col("size") / 2
-        if depth == profile.depth or rest.isEmpty():
+        if depth == profile.depth or not left:
             break
+        rest, half = level.where("not own"), F.col("size") / 2
         east, north = (F.col("x") >= F.col("mx") + half).cast("int"), (F.col("y") >= F.col("my") + half).cast("int")
         now = rest.withColumns({"path": F.concat("path", (east + 2 * north).cast("string")), "mx": F.col("mx") + east * half, "my": F.col("my") + north * half, "size": half}).drop("own", "depth", "kind", "input")
     owned = written(reduce(DataFrame.unionByName, [level.where("own") for level in levels]).select("ordinal", "x", "y", "z", *NODE, "depth", "kind", "input"), "owned")
-    discard(*levels)
+    discard(first, *levels)
     return owned
 
 
@@ -116,8 +153,8 @@ def subtree_rollup(nodes: DataFrame, profile: Profile = Profile()) -> DataFrame:
             error = F.greatest("raw", F.col("c_error") * 1.05, F.col("c_error") + 0.01)
             done = joined.withColumn("error", F.when(F.col("kind") == "internal", error).otherwise(0.0))
             done = done.withColumns({f"sub_{s}": (F.least if s.startswith("min") else F.greatest)(s, f"c_{s}") for s in sides}).drop("c_error", *[f"c_{s}" for s in sides])
-        below = done
-        levels.append(done)
+        below = written(done, "rolled")  # else each level's lineage would hold all deeper joins
+        levels.append(below)
     return reduce(DataFrame.unionByName, levels)
 
 

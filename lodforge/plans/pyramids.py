@@ -78,14 +78,27 @@ def profile_match(spark, sf):
     return pyr.profile_match(measured(pyr.OLD_LEVELS, 4), measured(pyr.LEVELS, 4))
 
 
-@r.query("""SELECT id, count(*) AS rows, count(*) > 1 AS repeated, NOT regexp_full_match(id, 'z0_x-?\\d{5,6}_y-?\\d{5,6}') AS malformed FROM (
+_IDS = r"z0_x-?\d{5,6}_y-?\d{5,6}"
+_PROFILES = "profiles AS (SELECT chunk_id AS id, n % 97 - 3 AS least, n % 101 * 3 AS target, n % 89 * 9 AS leaf, n % 83 * 20 AS hard, n % 7 AS depth, n % 5 AS grid, CASE n % 6 WHEN 0 THEN 'inf'::DOUBLE ELSE (n % 6) - 1.0::DOUBLE END AS scale FROM (SELECT chunk_id, count(*) AS n FROM cells GROUP BY 1))"
+
+
+@r.query(f"""SELECT id, count(*) AS rows, count(*) > 1 AS repeated, NOT regexp_full_match(id, '{_IDS}') AS malformed, NULL AS problem FROM (
   SELECT DISTINCT printf('z0_x%06d_y%06d', ix, iy) AS id FROM cells UNION ALL SELECT DISTINCT CASE WHEN iy = 0 THEN printf('z0_x%06d_y%06d', ix, iy) ELSE printf('z0-%d-%d', ix, iy) END FROM cells WHERE ix >= 2)
-  GROUP BY 1 HAVING count(*) > 1 OR NOT regexp_full_match(id, 'z0_x-?\\d{5,6}_y-?\\d{5,6}')""", r._CELLS)
+  GROUP BY 1 HAVING count(*) > 1 OR NOT regexp_full_match(id, '{_IDS}')
+  UNION ALL SELECT id, 1, false, false, problem FROM (SELECT id, concat_ws('; ', CASE WHEN least <= 0 THEN 'least must be positive' END, CASE WHEN least >= target THEN 'least must be below target' END, CASE WHEN target >= leaf THEN 'target must be below leaf' END,
+    CASE WHEN leaf >= hard THEN 'leaf must be below hard' END, CASE WHEN depth < 1 THEN 'depth must be at least 1' END, CASE WHEN grid < 1 THEN 'grid must be at least 1' END, CASE WHEN NOT (scale > 0 AND isfinite(scale)) THEN 'scale must be finite and positive' END) AS problem FROM profiles) WHERE problem <> ''""", f"{r._CELLS}, {_PROFILES}")
 def profile_check(spark, sf):
-    cells = r._plain_cells(spark, sf).select("ix", "iy").distinct()
+    """Ids that are repeated or malformed, and scalars of profiles (one a chunk, made from its count) that contradict each other."""
+    points = r._plain_cells(spark, sf)
+    cells = points.select("ix", "iy").distinct()
     own = g.tile_id(0, c("ix"), c("iy"))
     asked = cells.where("ix >= 2").select(F.when(c("iy") == 0, own).otherwise(F.format_string("z0-%d-%d", "ix", "iy")).alias("id"))
-    return pyr.check_ids(cells.select(own.alias("id")).unionAll(asked))
+    n = c("n")
+    profiles = points.groupBy(c("chunk_id").alias("id")).agg(F.count("*").alias("n")).select(
+        "id", (n % 97 - 3).alias("least"), (n % 101 * 3).alias("target"), (n % 89 * 9).alias("leaf"), (n % 83 * 20).alias("hard"), (n % 7).alias("depth"), (n % 5).alias("grid"), F.when(n % 6 == 0, float("inf")).otherwise(n % 6 - 1.0).alias("scale"))
+    ids = pyr.check_ids(cells.select(own.alias("id")).unionAll(asked)).withColumn("problem", F.lit(None).cast("string"))
+    odd = pyr.check_profiles(profiles).select("id", F.lit(1).cast("long").alias("rows"), F.lit(False).alias("repeated"), F.lit(False).alias("malformed"), "problem")
+    return ids.unionByName(odd)
 
 
 _BOUNDS = ", ".join(f"{n}({k}) AS {n}_{k}" for n in ("min", "max") for k in "xyz")

@@ -1,9 +1,10 @@
 """Hand cases of the tree, of hashing and of incremental counts."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodforge.functions.hashing import with_stable_hash
-from lodforge.operators import tree
+from lodforge.operators import pyramid, tree
 from lodforge.operators.work import folder
 from lodforge.streaming.census import incremental_counts
 
@@ -39,6 +40,32 @@ def test_same_place_overflows_at_the_last_depth(spark):
     assert {tuple(r) for r in owned} == {("", "internal", 10), ("0", "internal", 10), ("00", "overflow", 280)}
 
 
+def test_hashes_that_are_not_spread_evenly_are_still_ranked(spark):
+    rows = spark.range(5000).select(F.col("id").alias("ordinal"), (F.col("id") % 3).cast("int").alias("node"), (F.col("id") % 2).cast("int").alias("cell"), ((1 << 32) - 1 - F.col("id") % 40).alias("hi"), (F.col("id") % 7).alias("lo"))
+    quota = rows.groupBy("node", "cell").agg(F.count("*").alias("cnt")).withColumn("alloc", F.when(F.col("node") == 0, 0).when(F.col("cell") == 0, 25).otherwise(F.col("cnt")))
+    got = {r["ordinal"] for r in tree.representatives(rows, quota, ("node",)).where("own").collect()}
+    by = {}
+    for r in rows.collect():
+        by.setdefault((r.node, r.cell), []).append((r.hi, r.lo, r.ordinal))
+    assert got == {o for (node, cell), held in by.items() if node for _, _, o in sorted(held)[: 25 if cell == 0 else None]}
+
+
+def test_profiles_that_contradict_themselves(spark):
+    sound = dict(target=400, leaf=1000, hard=1500, depth=5, grid=8, scale=2.0, least=100)
+    odd = [dict(least=0), dict(least=400), dict(target=1000), dict(hard=900), dict(depth=0), dict(grid=0), dict(scale=0.0), dict(scale=float("nan")), dict(scale=float("inf")), dict(least=-1, scale=-2.0)]
+    profiles = [sound, *[sound | o for o in odd]]
+    assert tree.Profile(**sound).leaf == 1000
+    table = spark.createDataFrame([(str(k), *[p[n] for n in ("least", "target", "leaf", "hard", "depth", "grid", "scale")]) for k, p in enumerate(profiles)], "id string, least int, target int, leaf int, hard int, depth int, grid int, scale double")
+    told = {r["id"]: r["problem"] for r in pyramid.check_profiles(table).collect()}
+    assert told == {str(k): "; ".join(tree.profile_problems(**p)) for k, p in enumerate(profiles) if k}
+    for p in profiles[1:]:
+        with pytest.raises(ValueError, match="must be"):
+            tree.Profile(**p)
+    with pytest.raises(ValueError, match="target is no whole number"):
+        tree.Profile(target=True)
+    assert pyramid.check_profiles(table.limit(0)).count() == 0
+
+
 def test_no_points(spark):
     assert tree.residual_tree(points(spark, 0)).count() == 0
 
