@@ -9,6 +9,8 @@ side: nothing nearer can still bring forth a lower rank that touches them, and n
 Of such pairs of one rank near each other all go at once unless one of them could bring forth a lower rank itself; then only
 the leftmost goes. So the tokens are those of contracting one pair at a time, in far fewer steps.
 
+A word of over ``PIECE`` bytes is contracted in pieces, whose seams are held against what the tokens on both sides are by themselves.
+
 Words met lately are kept in two bounded generations. Texts run through in groups of about ``GROUP`` characters, whatever
 the size of Arrow batches, so memory doesn't grow with the input. Defined cases: a null or empty text has no tokens and
 decodes to nothing; of pairs tied in rank the leftmost goes first; repeated rows each get theirs; an empty table gives no rows.
@@ -29,8 +31,8 @@ from .common import bounded_batches, materialize
 
 #: Characters of a group of texts, words of a cache generation, recursive steps of a round for long words, bytes of a short word, words a query.
 GROUP, CACHED, ROUND, SHORT, WORDS = 1_000_000, 300_000, 8, 48, 20_000
-#: Bytes of long words a query, or one longer word.
-LONG = 50_000
+#: Bytes of long words a query, or one longer word; bytes of a word cut into pieces and tokens it gives back at a cut; words of a long text and ids taken at once.
+LONG, PIECE, BACK, SLICE = 50_000, 200_000, 64, 200_000
 #: Fixed value: how texts are cut before merging; public_tokenizers.PATTERN by default.
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 
@@ -145,7 +147,8 @@ class Bpe:
         part, size = [], 0
         for k in [*(k for k, w in enumerate(words) if len(w) > SHORT), None]:
             if part and (k is None or size + len(words[k]) > LONG):
-                for i, ids in zip(part, self._contract_long([words[i] for i in part]), strict=True):
+                found = [self._contract_pieces(words[part[0]])] if size > PIECE else self._contract_long([words[i] for i in part])
+                for i, ids in zip(part, found, strict=True):
                     out[i] = ids
                 part, size = [], 0
             if k is not None:
@@ -193,9 +196,49 @@ class Bpe:
                 return out
             self.db.register("given", pa.table({k: found[k][~ended] for k in ("w", "pos", "tok", "npos", "nxt")}))
 
+    def _stand(self, left: int, right: int) -> bool:
+        """Whether the two tokens side by side stay as they are."""
+        return self.contract([self.tokens[left] + self.tokens[right]])[0] == np.array([left, right], "<u4").tobytes()
+
+    def _contract_pieces(self, word: bytes) -> bytes:
+        """A very long word, piece by piece, so that no query holds more than about ``PIECE`` of its bytes.
+
+        Tokens are a word's if every two neighbours stand side by side: the first contraction over a boundary would also come first among the
+        two alone. A piece gives back its last tokens, as the next bytes may change them; where the seam to the next piece doesn't
+        stand, more is given back, at last the whole word.
+        """
+        ids, start, back, more = np.empty(0, "<u4"), 0, BACK, 0
+        while True:
+            end = start + PIECE + more
+            found = np.frombuffer(self._contract_long([word[start:end]])[0], "<u4")
+            if len(ids) and not self._stand(int(ids[-1]), int(found[0])):
+                given = sum(len(self.tokens[i]) for i in ids[-back:].tolist())
+                ids, start, more, back = ids[:-back], start - given, more + given, back * 4
+                continue
+            if end >= len(word):
+                return np.concatenate([ids, found]).tobytes()
+            kept = found[:-BACK]
+            if not len(kept):  # a piece of few tokens: a longer one
+                more += PIECE
+                continue
+            ids, start, back, more = np.concatenate([ids, kept]), start + sum(len(self.tokens[i]) for i in kept.tolist()), BACK, 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pattern.findall(t) for t in texts]
+        """Ids of each text as little-endian unsigned 32-bit integers. Words of a long text are taken in slices."""
+        if sum(map(len, texts)) <= 2 * GROUP:
+            return self._encode_words([self.pattern.findall(t) for t in texts])
+        out = []
+        for text in texts:
+            parts, words = [], []
+            for match in self.pattern.finditer(text):
+                words.append(match.group())
+                if len(words) == SLICE:
+                    parts += self._encode_words([words])
+                    words = []
+            out.append(b"".join(parts + self._encode_words([words])))
+        return out
+
+    def _encode_words(self, cut: list[list[str]]) -> list[bytes]:
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
         held: dict[str, bytes] = {}
@@ -212,22 +255,24 @@ class Bpe:
         rest = [k for k, i in enumerate(own) if i is None]
         if rest:
             held.update(zip((fresh[k] for k in rest), self.contract([raw[k] for k in rest]), strict=True))
-        self.young.update(held)
+        self.young.update((w, ids) for w, ids in held.items() if len(w) <= LONG)  # very long words hardly come twice
         get = held.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence, by an ordered aggregation; a byte travels as the code point of its value."""
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
-        out = [b""] * len(ids)
-        if not len(flat):
-            return out
-        self.db.register("given", pa.table({"w": owner, "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-        for w, text in self.db.execute("SELECT w, array_to_string(list(v.piece ORDER BY pos), '') FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY w").fetchall():
-            out[w] = text.encode("latin-1")
-        self.db.unregister("given")
-        return out
+        """Bytes of each id sequence, by an ordered aggregation over slices of ids; a byte travels as the code point of its value.
+
+        A token's bytes don't depend on its neighbours, so a sequence may be cut between any two ids.
+        """
+        owners = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
+        whole, parts = np.frombuffer(b"".join(ids), "<u4"), [[] for _ in ids]
+        for i in range(0, len(whole), SLICE):
+            flat = whole[i : i + SLICE].astype(np.int32)
+            self.db.register("given", pa.table({"w": owners[i : i + SLICE], "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
+            for w, text in self.db.execute("SELECT w, array_to_string(list(v.piece ORDER BY pos), '') FROM given g JOIN vocabulary v ON v.id = g.id GROUP BY w").fetchall():
+                parts[w].append(text.encode("latin-1"))
+            self.db.unregister("given")
+        return [b"".join(p) for p in parts]
 
 
 def _groups(texts: list[str]):
