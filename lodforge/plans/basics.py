@@ -66,7 +66,7 @@ def chunk_prune(spark, sf):
     return rows.join(F.broadcast(hits), "chunk_id").groupBy("chunk_id").agg(F.count("*").alias("n"))
 
 
-r.on_points("decimate_step", "SELECT chunk_id, ix, iy, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, ix, iy ORDER BY ordinal) - 1 AS s FROM cells) WHERE s % 10 = 0",
+r.on_ordinals("decimate_step", "SELECT chunk_id, ix, iy, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, ix, iy ORDER BY ordinal) - 1 AS s FROM cells) WHERE s % 10 = 0",
             lambda p: chunks.decimate(p, 10, ("chunk_id", "ix", "iy")).select("chunk_id", "ix", "iy", "ordinal"))
 
 _INVALID = "faulty AS (SELECT * REPLACE (CASE WHEN red % 1024 = 0 THEN NULL ELSE z END AS z) FROM cells)"

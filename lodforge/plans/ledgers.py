@@ -34,7 +34,7 @@ def _pilot(p):
 
 
 r.on_points("pilot_cells", f"(SELECT ix, iy FROM {r._CENSUS} ORDER BY n DESC, ix, iy LIMIT 1) UNION (SELECT ix, iy FROM {r._CENSUS} ORDER BY abs(n - (SELECT quantile_cont(n,0.25) FROM {r._CENSUS})), ix, iy LIMIT 1)", _pilot)
-r.on_points("node_bounds", "SELECT ordinal, ix*2000.0::DOUBLE-4000 + floor((x-(ix*2000-4000))/250)*250 AS lo_x, iy*2000.0::DOUBLE-2000 + floor((y-(iy*2000-2000))/250)*250 AS lo_y, 250.0::DOUBLE AS size FROM cells", lambda p: _bounds(p))
+r.on_ordinals("node_bounds", "SELECT ordinal, ix*2000.0::DOUBLE-4000 + floor((x-(ix*2000-4000))/250)*250 AS lo_x, iy*2000.0::DOUBLE-2000 + floor((y-(iy*2000-2000))/250)*250 AS lo_y, 250.0::DOUBLE AS size FROM cells", lambda p: _bounds(p))
 
 
 def _bounds(p):
@@ -62,7 +62,7 @@ def _tiles(p):
     return r._pyramid(p).groupBy("lvl", "px", "py").agg(F.count("*").alias("n")).withColumn("b", g.estimated_bytes(c("n")))
 
 
-r.on_points("tile_size_metrics", f"SELECT count(*) AS tiles, CAST(sum(b) AS BIGINT) AS total, CAST(sum(b) // count(*) AS BIGINT) AS mean, max(b) AS largest, (SELECT max(n) FROM (SELECT n FROM {_TILES} ORDER BY b DESC LIMIT 64)) AS most_points FROM {_TILES}",
+r.on_ordinals("tile_size_metrics", f"SELECT count(*) AS tiles, CAST(sum(b) AS BIGINT) AS total, CAST(sum(b) // count(*) AS BIGINT) AS mean, max(b) AS largest, (SELECT max(n) FROM (SELECT n FROM {_TILES} ORDER BY b DESC LIMIT 64)) AS most_points FROM {_TILES}",
             lambda p: (lambda k: k.agg(F.count("*").alias("tiles"), F.sum("b").alias("total"), F.floor(F.sum("b") / F.count("*")).alias("mean"), F.max("b").alias("largest"))
                        .crossJoin(F.broadcast(k.orderBy(F.desc("b")).limit(64).agg(F.max("n").alias("most_points")))))(_tiles(p)))
 r.on_timing("human_meters", "SELECT event_id, concat(CASE WHEN m < 0 THEN '-' ELSE '' END, CASE WHEN abs(m) >= 10000 THEN concat(printf('%.1f', abs(m)/1000.0::DOUBLE), ' km') WHEN abs(m) >= 1000 THEN concat(printf('%.2f', abs(m)/1000.0::DOUBLE), ' km') ELSE concat(abs(m), ' m') END) AS label FROM (SELECT event_id, decoded % 500 * 100 - 25000 AS m FROM timing)",

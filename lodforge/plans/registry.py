@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodforge.functions import geometry as g
 from lodforge.functions import text as t
 from lodforge.operators import sampling
+from lodforge.operators.tree import few as tree_few
 from lodforge.sources import points as src
 
 QUERIES: dict = {}
@@ -39,9 +40,13 @@ def query(oracle: str | None, views: str = _POINTS, name: str | None = None):
 
 
 def on_points(name: str, oracle: str, f) -> None:
-    """Points with their root cell; ordinals only for a query whose twin names them."""
-    cells = _cells if "ordinal" in oracle else _plain_cells
-    query(oracle, _CELLS, name)(lambda spark, sf: f(cells(spark, sf)))
+    """A query of points with their root cell, read without a shuffle."""
+    query(oracle, _CELLS, name)(lambda spark, sf: f(_plain_cells(spark, sf)))
+
+
+def on_ordinals(name: str, oracle: str, f) -> None:
+    """A query of points with root cell and ordinal, which a session writes once."""
+    query(oracle, _CELLS, name)(lambda spark, sf: f(_cells(spark, sf)))
 
 
 def on_timing(name: str, oracle: str, f) -> None:
@@ -74,16 +79,16 @@ on_points("source_profile", "SELECT chunk_id, count(*) AS n, round(min(x),6) AS
 # Filters and projections
 on_points("valid_points", "SELECT count(*) AS n FROM cells WHERE isfinite(x) AND isfinite(y) AND isfinite(z)",
           lambda p: p.where(" and ".join(f"not isnan({a}) and abs({a}) < double('Infinity')" for a in "xyz")).agg(F.count("*").alias("n")))
-on_points("bounds_filter", "SELECT ordinal, round(x,6) AS x, round(y,6) AS y FROM cells WHERE x BETWEEN -1000 AND 1000 AND y BETWEEN 0 AND 500",
+on_ordinals("bounds_filter", "SELECT ordinal, round(x,6) AS x, round(y,6) AS y FROM cells WHERE x BETWEEN -1000 AND 1000 AND y BETWEEN 0 AND 500",
           lambda p: p.where(c("x").between(-1000, 1000) & c("y").between(0, 500)).select("ordinal", _r(c("x")).alias("x"), _r(c("y")).alias("y")))
 on_points("selected_cells", "SELECT ix, iy, count(*) AS n FROM cells WHERE (ix,iy) IN ((1,0),(2,1),(3,1)) GROUP BY 1,2",
           lambda p: p.join(F.broadcast(p.sparkSession.createDataFrame([(1, 0), (2, 1), (3, 1)], "ix int, iy int")), ["ix", "iy"], "left_semi").groupBy("ix", "iy").agg(F.count("*").alias("n")))
-on_points("rgb_to_u8", "SELECT ordinal, CAST(floor(least(greatest(red/256,0),255)) AS INT) AS r8 FROM cells", lambda p: p.select("ordinal", g.rgb_to_u8(c("red")).alias("r8")))
-on_points("detect_color_scale", "SELECT CASE WHEN max(greatest(red,green,blue)) BETWEEN 1 AND 255 THEN 256 END AS scale FROM cells WHERE ordinal < 10000",
+on_ordinals("rgb_to_u8", "SELECT ordinal, CAST(floor(least(greatest(red/256,0),255)) AS INT) AS r8 FROM cells", lambda p: p.select("ordinal", g.rgb_to_u8(c("red")).alias("r8")))
+on_ordinals("detect_color_scale", "SELECT CASE WHEN max(greatest(red,green,blue)) BETWEEN 1 AND 255 THEN 256 END AS scale FROM cells WHERE ordinal < 10000",
           lambda p: p.where("ordinal < 10000").agg(F.when(F.max(F.greatest("red", "green", "blue")).between(1, 255), 256).alias("scale")))
-on_points("nested_sample", "SELECT lvl, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS s FROM cells, (VALUES (0,1000),(1,50),(2,10),(3,2),(4,1)) l(lvl,step) WHERE ordinal % step = 0 GROUP BY 1",
+on_ordinals("nested_sample", "SELECT lvl, count(*) AS n, CAST(sum(ordinal) AS BIGINT) AS s FROM cells, (VALUES (0,1000),(1,50),(2,10),(3,2),(4,1)) l(lvl,step) WHERE ordinal % step = 0 GROUP BY 1",
           lambda p: p.select("ordinal", F.explode(g.levels_of(c("ordinal"))).alias("lvl")).groupBy("lvl").agg(F.count("*").alias("n"), F.sum("ordinal").alias("s")))
-on_points("role_split", "SELECT CASE WHEN ordinal % 1000 = 0 THEN 'p001' ELSE 'adaptive' END AS role, count(*) AS n FROM cells GROUP BY 1", lambda p: p.groupBy(g.role(c("ordinal")).alias("role")).agg(F.count("*").alias("n")))
+on_ordinals("role_split", "SELECT CASE WHEN ordinal % 1000 = 0 THEN 'p001' ELSE 'adaptive' END AS role, count(*) AS n FROM cells GROUP BY 1", lambda p: p.groupBy(g.role(c("ordinal")).alias("role")).agg(F.count("*").alias("n")))
 on_points("tile_id_format", "SELECT DISTINCT printf('z%d_x%06d_y%06d', 0, ix-2, iy-1) AS tile FROM cells", lambda p: p.select(g.tile_id(0, c("ix") - 2, c("iy") - 1).alias("tile")).distinct())
 on_points("tile_id_parse", "SELECT DISTINCT ix-2 AS px, iy-1 AS py, 0 AS lvl FROM cells",
           lambda p: p.select(g.tile_id(0, c("ix") - 2, c("iy") - 1).alias("s")).distinct().select(*[v.alias(n) for v, n in zip(t.parse_tile_id(c("s")), ("lvl", "px", "py"), strict=True)]))
@@ -94,11 +99,11 @@ on_timing("uri_safe", "SELECT event_id, event_id % 3 <> 0 AS safe FROM timing",
           lambda e: e.select("event_id", t.is_contained(F.lit("a"), F.when(c("event_id") % 3 == 0, F.concat(F.lit("../../"), c("uri"))).otherwise(F.concat(F.lit("../"), c("uri")))).alias("safe")))
 # Geometry
 on_points("grid_origin", "SELECT floor(min(x)/2000)*2000 AS ox, floor(min(y)/2000)*2000 AS oy FROM cells", lambda p: p.agg(g.grid_origin(F.min("x")).cast("double").alias("ox"), g.grid_origin(F.min("y")).cast("double").alias("oy")))
-on_points("cell_index", "SELECT ordinal, ix, iy FROM cells", lambda p: p.select("ordinal", "ix", "iy"))
+on_ordinals("cell_index", "SELECT ordinal, ix, iy FROM cells", lambda p: p.select("ordinal", "ix", "iy"))
 on_points("cell_bounds", "SELECT DISTINCT ix, iy, ix*2000.0::DOUBLE-4000 AS lo_x, ix*2000.0::DOUBLE-2000 AS hi_x FROM cells", lambda p: p.select("ix", "iy").distinct().withColumns({"lo_x": c("ix") * F.lit(2000.0) - 4000, "hi_x": c("ix") * F.lit(2000.0) - 2000}))
-on_points("parent_cell", "SELECT ordinal, CAST(floor(floor((x+4000)/50)/5) AS INT) AS px, CAST(floor(floor((y+2000)/50)/5) AS INT) AS py FROM cells",
+on_ordinals("parent_cell", "SELECT ordinal, CAST(floor(floor((x+4000)/50)/5) AS INT) AS px, CAST(floor(floor((y+2000)/50)/5) AS INT) AS py FROM cells",
           lambda p: p.select("ordinal", *[F.floor(g.cell_index(c(a), o, 50.0) / g.RATIOS[4]).cast("int").alias(n) for a, o, n in (("x", -4000.0, "px"), ("y", -2000.0, "py"))]))
-on_points("quadrant", "SELECT ordinal, CAST(x >= 3000 AS INT) + 2*CAST(y >= 500 AS INT) AS q FROM cells", lambda p: p.select("ordinal", g.quadrant(c("x"), c("y"), 3000, 500).alias("q")))
+on_ordinals("quadrant", "SELECT ordinal, CAST(x >= 3000 AS INT) + 2*CAST(y >= 500 AS INT) AS q FROM cells", lambda p: p.select("ordinal", g.quadrant(c("x"), c("y"), 3000, 500).alias("q")))
 _MICRO = "least(greatest(CAST(trunc((y-(iy*2000-2000))/2000*8) AS INT),0),7)*8 + least(greatest(CAST(trunc((x-(ix*2000-4000))/2000*8) AS INT),0),7)"
 
 
@@ -106,7 +111,7 @@ def _micro(p: DataFrame) -> DataFrame:
     return p.withColumn("cell", g.microcell(c("x"), c("y"), c("ix") * F.lit(2000.0) - 4000, c("iy") * F.lit(2000.0) - 2000, 2000.0, 8))
 
 
-on_points("microcell", f"SELECT ordinal, {_MICRO} AS cell FROM cells", lambda p: _micro(p).select("ordinal", "cell"))
+on_ordinals("microcell", f"SELECT ordinal, {_MICRO} AS cell FROM cells", lambda p: _micro(p).select("ordinal", "cell"))
 on_areas("bbox_diagonal", "SELECT area_id, round(sqrt((max_x-min_x)**2+(max_y-min_y)**2+(max_z-min_z)**2),6) AS d FROM areas", lambda a: a.select("area_id", _r(g.diagonal(*[c(f"max_{k}") - c(f"min_{k}") for k in "xyz"])).alias("d")))
 on_areas("representation_error", "SELECT area_id, round(sqrt(greatest((max_x-min_x)*(max_y-min_y),1e-6)/greatest(1,point_count))*2,6) AS e FROM areas", lambda a: a.select("area_id", _r(g.representation_error((c("max_x") - c("min_x")) * (c("max_y") - c("min_y")), c("point_count"), 2.0)).alias("e")))
 on_areas("pnts_size_estimate", "SELECT area_id, 284 + point_count*15 + (8 - point_count*15 % 8) % 8 AS b FROM areas", lambda a: a.select("area_id", g.estimated_bytes(c("point_count")).alias("b")))
@@ -117,10 +122,10 @@ on_areas("frontier_volume", "SELECT area_id, round(greatest(100,1.5*(max_x-min_x
 on_areas("leaf_density", "SELECT area_id, round((max_x-min_x)*(max_y-min_y),4) AS area, round(point_count/greatest((max_x-min_x)*(max_y-min_y),1e-6),9) AS density FROM areas",
          lambda a: a.withColumn("s", (c("max_x") - c("min_x")) * (c("max_y") - c("min_y"))).select("area_id", _r(c("s"), 4).alias("area"), _r(c("point_count") / F.greatest(c("s"), F.lit(1e-6)), 9).alias("density")))
 on_areas("area_numbering", "SELECT area_id, chunk_id FROM areas", lambda a: a.select("area_id", "chunk_id"))
-on_points("geodetic_to_ecef", "SELECT ordinal, round((6378137.0/sqrt(1-6.69437999014e-3*sin(radians(y/100))**2)+z)*cos(radians(y/100))*cos(radians(x/1000)),3) AS ex, round((6378137.0/sqrt(1-6.69437999014e-3*sin(radians(y/100))**2)*(1-6.69437999014e-3)+z)*sin(radians(y/100)),3) AS ez FROM cells",
+on_ordinals("geodetic_to_ecef", "SELECT ordinal, round((6378137.0/sqrt(1-6.69437999014e-3*sin(radians(y/100))**2)+z)*cos(radians(y/100))*cos(radians(x/1000)),3) AS ex, round((6378137.0/sqrt(1-6.69437999014e-3*sin(radians(y/100))**2)*(1-6.69437999014e-3)+z)*sin(radians(y/100)),3) AS ez FROM cells",
           lambda p: p.select("ordinal", *[_r(v, 3).alias(n) for v, n in zip(g.to_ecef(c("x") / 1000, c("y") / 100, c("z")), ("ex", "ey", "ez"), strict=True) if n != "ey"]))
 # Aggregations
-on_points("routing_accounting", "SELECT ix, iy, count(*) FILTER (WHERE ordinal % 1000 = 0) AS p001, count(*) FILTER (WHERE ordinal % 1000 <> 0) AS adaptive FROM cells GROUP BY 1,2",
+on_ordinals("routing_accounting", "SELECT ix, iy, count(*) FILTER (WHERE ordinal % 1000 = 0) AS p001, count(*) FILTER (WHERE ordinal % 1000 <> 0) AS adaptive FROM cells GROUP BY 1,2",
           lambda p: p.groupBy("ix", "iy").agg(F.count_if(c("ordinal") % 1000 == 0).alias("p001"), F.count_if(c("ordinal") % 1000 != 0).alias("adaptive")))
 _LEVELS = "(VALUES (0,1000,2000.0),(1,50,1000.0),(2,10,500.0),(3,2,250.0),(4,1,50.0)) l(lvl,step,size)"
 
@@ -130,7 +135,7 @@ def _pyramid(p: DataFrame) -> DataFrame:
     return p.withColumn("lvl", F.explode(g.levels_of(c("ordinal")))).withColumns({"px": F.floor((c("x") + 4000) / size).cast("int"), "py": F.floor((c("y") + 2000) / size).cast("int")})
 
 
-on_points("pyramid_counts", f"SELECT lvl, CAST(floor((x+4000)/size) AS INT) AS px, CAST(floor((y+2000)/size) AS INT) AS py, count(*) AS n FROM cells, {_LEVELS} WHERE ordinal % step = 0 GROUP BY 1,2,3", lambda p: _pyramid(p).groupBy("lvl", "px", "py").agg(F.count("*").alias("n")))
+on_ordinals("pyramid_counts", f"SELECT lvl, CAST(floor((x+4000)/size) AS INT) AS px, CAST(floor((y+2000)/size) AS INT) AS py, count(*) AS n FROM cells, {_LEVELS} WHERE ordinal % step = 0 GROUP BY 1,2,3", lambda p: _pyramid(p).groupBy("lvl", "px", "py").agg(F.count("*").alias("n")))
 on_points("content_bounds", "SELECT ix, iy, round(min(x),6) AS min_x, round(max(x),6) AS max_x, round((min(y)+max(y))/2,6) AS mid_y FROM cells GROUP BY 1,2", lambda p: p.groupBy("ix", "iy").agg(_r(F.min("x")).alias("min_x"), _r(F.max("x")).alias("max_x"), _r((F.min("y") + F.max("y")) / 2).alias("mid_y")))
 on_points("microcell_occupancy", f"SELECT ix, iy, {_MICRO} AS cell, count(*) AS cnt FROM cells GROUP BY 1,2,3", lambda p: _micro(p).groupBy("ix", "iy", "cell").agg(F.count("*").alias("cnt")))
 _OCC = f"(SELECT ix, iy, {_MICRO} AS cell, count(*) AS cnt FROM cells GROUP BY 1,2,3)"
@@ -154,12 +159,12 @@ def _quota(p: DataFrame) -> DataFrame:
 on_points("quota_allocation", f"SELECT * FROM {_QUOTA}", _quota)
 on_points("sampling_stats", f"SELECT ix, iy, count(*) AS occupied, count(*) FILTER (WHERE alloc>0) AS represented, CAST(sum(alloc) AS BIGINT) AS quota, round(min(alloc/cnt),9) AS lo, round(max(alloc/cnt),9) AS hi FROM {_QUOTA} GROUP BY 1,2",
           lambda p: _quota(p).groupBy("ix", "iy").agg(F.count("*").alias("occupied"), F.count_if(c("alloc") > 0).alias("represented"), F.sum("alloc").alias("quota"), _r(F.min(c("alloc") / c("cnt")), 9).alias("lo"), _r(F.max(c("alloc") / c("cnt")), 9).alias("hi")))
-on_points("quota_join", f"SELECT ordinal, alloc FROM (SELECT ordinal, ix, iy, {_MICRO} AS cell FROM cells) JOIN {_QUOTA} USING (ix,iy,cell)", lambda p: _micro(p).join(_quota(p), ["ix", "iy", "cell"]).select("ordinal", "alloc"))
+on_ordinals("quota_join", f"SELECT ordinal, alloc FROM (SELECT ordinal, ix, iy, {_MICRO} AS cell FROM cells) JOIN {_QUOTA} USING (ix,iy,cell)", lambda p: _micro(p).join(tree_few(_quota(p)), ["ix", "iy", "cell"]).select("ordinal", "alloc"))
 _CENSUS = "(SELECT ix, iy, count(*) AS n FROM cells GROUP BY 1,2)"
 on_points("distribution_summary", f"SELECT count(*) AS cnt, CAST(sum(n) AS BIGINT) AS total, min(n) AS lo, max(n) AS hi, round(avg(n),6) AS mean, round(quantile_cont(n,0.5),6) AS p50, round(quantile_cont(n,0.95),6) AS p95 FROM {_CENSUS}",
           lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).agg(F.count("*").alias("cnt"), F.sum("n").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"), _r(F.avg("n")).alias("mean"), _r(F.percentile("n", 0.5)).alias("p50"), _r(F.percentile("n", 0.95)).alias("p95")))
 on_points("dense_cell", f"SELECT ix, iy, n FROM {_CENSUS} ORDER BY n DESC, ix, iy LIMIT 1", lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ix", "iy").limit(1))
-on_points("role_disjoint", "SELECT count(*) AS shared FROM (SELECT ordinal FROM cells WHERE ordinal % 1000 = 0 INTERSECT SELECT ordinal FROM cells WHERE ordinal % 1000 <> 0)", lambda p: p.where("ordinal % 1000 = 0").select("ordinal").intersect(p.where("ordinal % 1000 <> 0").select("ordinal")).agg(F.count("*").alias("shared")))
+on_ordinals("role_disjoint", "SELECT count(*) AS shared FROM (SELECT ordinal FROM cells WHERE ordinal % 1000 = 0 INTERSECT SELECT ordinal FROM cells WHERE ordinal % 1000 <> 0)", lambda p: p.where("ordinal % 1000 = 0").select("ordinal").intersect(p.where("ordinal % 1000 <> 0").select("ordinal")).agg(F.count("*").alias("shared")))
 # Telemetry
 _FIRST = "coalesce(nullif(transfer,0),nullif(encoded,0),nullif(decoded,0),0)"
 on_timing("request_summary", f"SELECT count(*) AS requests, count(*) FILTER (WHERE uri LIKE '%.pnts') AS content, CAST(sum({_FIRST}) AS BIGINT) AS bytes FROM timing",

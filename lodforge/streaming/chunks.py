@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodforge.operators.tree import few
+
 
 def stream_chunks(rows: DataFrame, folder: str, key: str = "chunk_id") -> DataFrame:
     """``key``, ``n``, ``first`` (ordinal at which the chunk's rows of a batch begin), ``batch`` of all that ``rows``, a stream, has brought so far.
@@ -34,8 +36,9 @@ def stream_chunks(rows: DataFrame, folder: str, key: str = "chunk_id") -> DataFr
 def finalize_cells(points: DataFrame, build, folder: str, keys=("ix", "iy")) -> DataFrame:
     """Builds every root cell of ``points`` that isn't done yet and returns the ledger: ``keys``, ``rows``, ``run``.
 
-    ``build`` takes the open cells' points to their result rows, which keep ``keys``. A run's result goes to a folder of its own;
-    its ledger is written last, so a run that dies leaves its cells open and the next one replaces what it wrote.
+    ``build`` takes the open cells' points to their result rows, which keep ``keys``; a cell it gives no row for is done with 0 rows. A run's
+    result goes to a folder of its own; its ledger is written last, so a run that dies leaves its cells open and the next one
+    replaces what it wrote. The ledger of finished cells is broadcast up to ``tree.FEW`` rows and joined by a shuffle beyond.
     """
     spark = points.sparkSession
     ledger, names = f"{folder}/ledger", list(keys)
@@ -45,9 +48,10 @@ def finalize_cells(points: DataFrame, build, folder: str, keys=("ix", "iy")) ->
     schema = empty.withColumn("run", F.lit(0)).schema
     done = spark.read.schema(schema).parquet(ledger)
     run = (done.agg(F.max("run")).first()[0] or 0) + 1
-    todo = points.join(F.broadcast(done.select(*names)), names, "left_anti")
+    todo = points.join(few(done.select(*names)), names, "left_anti")
     build(todo).write.mode("overwrite").parquet(f"{folder}/cells/run={run}")
     made = spark.read.parquet(f"{folder}/cells/run={run}").groupBy(*names).agg(F.count("*").alias("rows"))
+    made = todo.select(*names).distinct().join(made, names, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     made.write.mode("overwrite").parquet(f"{ledger}/run={run}")
     return spark.read.schema(schema).parquet(ledger)
 

@@ -334,6 +334,8 @@ def test_streams_and_cells_resume(spark):
     p = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (1, 0, 3)], "ix int, iy int, v int")
     finalize_cells(p.where("ix = 0"), lambda d: d, f"{base}/cells")
     assert rows(finalize_cells(p, lambda d: d, f"{base}/cells")) == [(0, 0, 2, 1), (1, 0, 1, 2)]
+    for _ in range(2):  # a cell without a result is done too
+        assert rows(finalize_cells(p, lambda d: d.where("ix = 0"), f"{base}/empty")) == [(0, 0, 2, 1), (1, 0, 0, 1)]
 
 
 def test_written_once(spark):
