@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import SLICE, running, sliced
+
 
 def spatial_chunk(points: DataFrame, length: float = 500.0, origin: tuple[float, float] = (0.0, 0.0), buffer: float = 0.0) -> DataFrame:
     """``points`` with ``cx``, ``cy``, the square of side ``length`` they lie in, and ``is_buffer``.
@@ -40,10 +42,50 @@ def prune(stats: DataFrame, boxes: DataFrame, key: str = "chunk_id") -> DataFram
     return stats.join(b, (stats["max_x"] >= b["low_x"]) & (stats["min_x"] <= b["high_x"]) & (stats["max_y"] >= b["low_y"]) & (stats["min_y"] <= b["high_y"]), "left_semi").select(key)
 
 
+def curve_key(x: Column, y: Column, bounds: tuple[float, float, float, float]) -> Column:
+    """Interleaved bits of both coordinates on a grid of 2^16 steps a side over ``bounds`` (low x, low y, high x, high y): near points have near keys."""
+
+    def spread(value: Column, low: float, high: float) -> Column:
+        step = F.greatest(F.least(F.floor((value - low) / max(high - low, 1e-300) * 65536), F.lit(65535)), F.lit(0)).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            step = step.bitwiseOR(F.shiftleft(step, shift)).bitwiseAND(F.lit(mask))
+        return step
+
+    return spread(x, bounds[0], bounds[2]).bitwiseOR(F.shiftleft(spread(y, bounds[1], bounds[3]), 1))
+
+
+def write_along_curve(points: DataFrame, path: str, rows: int = 1_000_000) -> DataFrame:
+    """Writes ``points`` along a space-filling curve, at most ``rows`` a file, and returns ``file``, bounds and ``n`` of every file, written beside.
+
+    Points without both coordinates come first, in files of which bounds may be null. Each file covers a small area, and so does
+    each row group in it. No points: no files.
+    """
+    spark = points.sparkSession
+    low = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    keyed = points.withColumn("_key", curve_key(F.col("x"), F.col("y"), tuple(v if v is not None else 0.0 for v in low)))
+    keyed.repartitionByRange("_key").sortWithinPartitions("_key").drop("_key").write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(f"{path}/points")
+    held = spark.read.schema(points.schema).parquet(f"{path}/points").withColumn("file", F.col("_metadata.file_path"))
+    chunk_stats(held, "file").write.mode("overwrite").parquet(f"{path}/bounds")
+    return spark.read.parquet(f"{path}/bounds")
+
+
+def read_box(spark: SparkSession, path: str, low: tuple[float, float], high: tuple[float, float]) -> tuple[DataFrame, int]:
+    """Points of ``write_along_curve`` in a box, edges included, and how many files are read: those whose bounds meet it.
+
+    Their names pass through the driver, as those of any files read do; the box goes on as a filter to the files' row groups.
+    """
+    bounds = spark.read.parquet(f"{path}/bounds")
+    boxes = spark.createDataFrame([(*low, *high)], "low_x double, low_y double, high_x double, high_y double")
+    files = [r["file"] for r in prune(bounds, boxes, "file").collect()]
+    schema = spark.read.parquet(f"{path}/points").schema
+    rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return rows.where(F.col("x").between(low[0], high[0]) & F.col("y").between(low[1], high[1])), len(files)
+
+
 def decimate(points: DataFrame, step: int, node=("chunk_id",), order: str = "ordinal") -> DataFrame:
-    """Every ``step``-th point of each node in ``order``: places 0, step, 2 step and so on."""
-    place = F.row_number().over(Window.partitionBy(*node).orderBy(order)) - 1
-    return points.withColumn("_s", place).where(F.col("_s") % step == 0).drop("_s")
+    """Every ``step``-th point of each node in ``order``: places 0, step, 2 step and so on. A node may hold any share of the points."""
+    rows = running(sliced(points, list(node), [order]), list(node), [order], before=True, _s=("sum", F.lit(1)))
+    return rows.where(F.col("_s") % step == 0).drop("_s", SLICE)
 
 
 def consolidate(parts: list[DataFrame]) -> DataFrame:

@@ -31,8 +31,21 @@ def consolidate_sources(spark, sf):
     return chunks.consolidate([rows.where(c("chunk_id") == n).drop("chunk_id", *(("red",) if n == "chunk-6" else ())) for n in NAMES])
 
 
-r.on_points("spatial_chunk", "SELECT CAST(floor((x+4000)/500) AS INT) AS cx, CAST(floor((y+2000)/500) AS INT) AS cy, count(*) AS n, round(min(x),6) AS min_x FROM cells GROUP BY 1,2",
-            lambda p: chunks.spatial_chunk(p, 500.0, (-4000.0, -2000.0)).groupBy("cx", "cy").agg(F.count("*").alias("n"), r._r(F.min("x")).alias("min_x")))
+@r.query("SELECT CAST(floor((x+4000)/500) AS INT) AS cx, CAST(floor((y+2000)/500) AS INT) AS cy, count(*) AS n, round(min(x),6) AS min_x FROM cells GROUP BY 1,2", r._CELLS)
+def spatial_chunk(spark, sf):
+    """Squares written as folders and read back."""
+    path = f"{folder(spark)}/squares"
+    chunks.write_chunks(chunks.spatial_chunk(r._plain_cells(spark, sf), 500.0, (-4000.0, -2000.0)), path)
+    return spark.read.parquet(path).groupBy("cx", "cy").agg(F.count("*").alias("n"), r._r(F.min("x")).alias("min_x"))
+
+
+@r.query("SELECT chunk_id, count(*) AS n, round(sum(z), 3) AS z, true AS skipped FROM points WHERE x BETWEEN 5300 AND 5500 AND y BETWEEN 0 AND 100 GROUP BY 1")
+def box_read(spark, sf):
+    """Points of a box from files along a space-filling curve; only files whose bounds meet it are read."""
+    path = f"{folder(spark)}/curve"
+    files = chunks.write_along_curve(src.plain_points(spark, sf), path, 5000).count()
+    rows, read = chunks.read_box(spark, path, (5300.0, 0.0), (5500.0, 100.0))
+    return rows.groupBy("chunk_id").agg(F.count("*").alias("n"), r._r(F.sum("z"), 3).alias("z")).withColumn("skipped", F.lit(2 * read < files))
 
 
 @r.query("""SELECT ordinal, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, cx <> floor((x+4000)/500) OR cy <> floor((y+2000)/500) AS is_buffer FROM (SELECT ordinal, x, y, unnest(range(CAST(floor((x-20+4000)/500) AS BIGINT), CAST(floor((x+20+4000)/500) AS BIGINT)+1)) AS cx,

@@ -338,6 +338,18 @@ def test_streams_and_cells_resume(spark):
         assert rows(finalize_cells(p, lambda d: d.where("ix = 0"), f"{base}/empty")) == [(0, 0, 2, 1), (1, 0, 0, 1)]
 
 
+def test_files_along_a_curve_are_pruned(spark):
+    path = f"{folder(spark)}/curve"
+    p = spark.range(8000).selectExpr("id ordinal", "id * 7919 % 1000 * 1D x", "id * 104729 % 997 * 1D y").unionAll(spark.sql("select 9000L, cast(null as double), 5D")).repartition(3)
+    bounds = chunks.write_along_curve(p, path, 250)
+    assert bounds.count() >= 33 and bounds.agg({"n": "sum"}).first()[0] == 8001
+    for low, high in (((100.0, 100.0), (160.0, 150.0)), ((0.0, 0.0), (1000.0, 1000.0)), ((5.0, 5.0), (5.0, 500.0)), ((2000.0, 0.0), (3000.0, 1.0))):
+        found, read = chunks.read_box(spark, path, low, high)
+        assert rows(found) == rows(p.where(f"x between {low[0]} and {high[0]} and y between {low[1]} and {high[1]}"))
+        assert read == 0 if low[0] == 2000 else read <= bounds.count() if high[0] == 1000 else 0 < read < bounds.count() / 2
+    assert chunks.write_along_curve(p.limit(0), path).count() == 0 and chunks.read_box(spark, path, (0.0, 0.0), (1.0, 1.0))[0].count() == 0
+
+
 def test_written_once(spark):
     calls = []
     build = lambda: calls.append(1) or spark.range(4)
