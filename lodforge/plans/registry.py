@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodforge.functions import geometry as g
 from lodforge.functions import text as t
-from lodforge.operators import sampling
+from lodforge.operators import audit, sampling
 from lodforge.operators.tree import few as tree_few
 from lodforge.sources import points as src
 
@@ -164,7 +164,7 @@ _CENSUS = "(SELECT ix, iy, count(*) AS n FROM cells GROUP BY 1,2)"
 on_points("distribution_summary", f"SELECT count(*) AS cnt, CAST(sum(n) AS BIGINT) AS total, min(n) AS lo, max(n) AS hi, round(avg(n),6) AS mean, round(quantile_cont(n,0.5),6) AS p50, round(quantile_cont(n,0.95),6) AS p95 FROM {_CENSUS}",
           lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).agg(F.count("*").alias("cnt"), F.sum("n").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"), _r(F.avg("n")).alias("mean"), _r(F.percentile("n", 0.5)).alias("p50"), _r(F.percentile("n", 0.95)).alias("p95")))
 on_points("dense_cell", f"SELECT ix, iy, n FROM {_CENSUS} ORDER BY n DESC, ix, iy LIMIT 1", lambda p: p.groupBy("ix", "iy").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ix", "iy").limit(1))
-on_ordinals("role_disjoint", "SELECT count(*) AS shared FROM (SELECT ordinal FROM cells WHERE ordinal % 1000 = 0 INTERSECT SELECT ordinal FROM cells WHERE ordinal % 1000 <> 0)", lambda p: p.where("ordinal % 1000 = 0").select("ordinal").intersect(p.where("ordinal % 1000 <> 0").select("ordinal")).agg(F.count("*").alias("shared")))
+on_ordinals("role_disjoint", "SELECT count(*) AS shared FROM (SELECT ordinal FROM cells WHERE ordinal % 1000 = 0 INTERSECT SELECT ordinal FROM cells WHERE ordinal % 1000 <> 0)", lambda p: audit.shared_keys(p.where("ordinal % 1000 = 0"), p.where("ordinal % 1000 <> 0")))
 # Telemetry
 _FIRST = "coalesce(nullif(transfer,0),nullif(encoded,0),nullif(decoded,0),0)"
 on_timing("request_summary", f"SELECT count(*) AS requests, count(*) FILTER (WHERE uri LIKE '%.pnts') AS content, CAST(sum({_FIRST}) AS BIGINT) AS bytes FROM timing",
