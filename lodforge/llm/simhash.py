@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize
+from .common import bounded_batches, discard, join_counted, materialize
 
 TILE, RADIUS, SHINGLE, SEED = 4096, 3, 3, 42
 _PART = 1 << 16
@@ -167,13 +167,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def simhash_components(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id``, ``fp`` (signed), ``root`` (smallest fingerprint of the component), ``component_id`` for every document."""
+    """``doc_id``, ``fp`` (signed), ``root`` (smallest fingerprint of the component), ``component_id`` for every document.
+
+    Roots of frequent fingerprints, and ids of frequent roots, are broadcast, so however many copies a text has, they aren't one task's.
+    """
     with bounded_batches(documents.sparkSession):
         own = materialize(documents.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     rooted = distinct.join(components(fingerprint_links(distinct, radius)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(rooted.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+    rooted = materialize(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_counted(rooted.select("fp", "root", F.col("n").alias("rows")), least, ["root"], "n")
+    return join_counted(own, named, ["fp"], "rows").select("doc_id", "fp", "root", "component_id")
 
 
 def with_hex(found: DataFrame) -> DataFrame:
@@ -183,11 +188,21 @@ def with_hex(found: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component: the one with the smallest id; columns stay, rows repeated under that id become one.
 
-    A component of null ids only keeps one row that has its smallest fingerprint.
+    If rows of one id lie in several components that have it as their smallest, one row of each stays. A component of null ids
+    only keeps one row that has its smallest fingerprint.
     """
     found = materialize(simhash_components(documents.select("doc_id", "text"), radius), "components")
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.join(ids, documents["doc_id"] == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    own = "_" * max(map(len, documents.columns))  # longer names than any of the table's
+    kept, places, prints, group = (f"{own}_{n}" for n in ("kept", "places", "print", "group"))
+    least = found.where("doc_id = component_id")
+    chosen = materialize(least.groupBy(F.col("doc_id").alias(kept)).agg(F.count_distinct("root").alias(places)), "kept")
+    match = F.col("doc_id") == F.col(kept)
+    named = documents.join(chosen.where(F.col(places) == 1), match, "left_semi").dropDuplicates(["doc_id"])
+    if not chosen.where(F.col(places) > 1).isEmpty():
+        held = least.join(chosen.where(F.col(places) > 1), match).select(kept, F.col("fp").alias(prints), F.col("root").alias(group)).distinct()
+        several = documents.join(held.select(kept).distinct(), match, "left_semi").withColumn(own, fingerprints("text"))
+        several = several.join(held, match & (F.col(own) == F.col(prints))).dropDuplicates([kept, group])
+        named = named.unionByName(several.select(*documents.columns))
     roots = found.where("component_id is null and fp = root").select(F.col("fp").alias("_root")).distinct()
     nameless = documents.where(F.col("doc_id").isNull()).withColumn("__fp", fingerprints("text"))
     nameless = nameless.join(roots, nameless["__fp"] == roots["_root"], "left_semi").dropDuplicates(["__fp"]).drop("__fp")

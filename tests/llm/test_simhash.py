@@ -74,3 +74,17 @@ def test_cases(spark):
     kept = [r["doc_id"] for r in simhash.keep_one(cases.frame(spark)).collect()]
     assert len(kept) == len(set(kept)) and {0, 4, 6} <= set(kept) and not {1, 2, 5, 100} & set(kept) and None in kept
     assert simhash.keep_one(cases.frame(spark)).columns == cases.frame(spark).columns
+
+
+def test_hot_copies_and_ids_in_several_components(spark):
+    texts = ["one two three four five six", "seven eight nine ten eleven", None]
+    rows = [(k, texts[0]) for k in range(400)] + [(k, None) for k in range(1000, 1300)] + [(-1, texts[0]), (-1, texts[1]), (-1, texts[1]), (7, texts[1]), (5000, "alone it stands here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(frame).collect()]
+    prints = {k: brute_print(t) for k, (_, t) in enumerate(rows)}
+    group, least = brute_components(prints), {}
+    for k, (i, _) in enumerate(rows):
+        least[group[k]] = min(i, least.get(group[k], i))
+    assert sorted(found) == sorted((i, least[group[k]]) for k, (i, _) in enumerate(rows))
+    kept = sorted((r["doc_id"], r["text"] or "") for r in simhash.keep_one(frame).collect())
+    assert kept == [(-1, texts[0]), (-1, texts[1]), (1000, ""), (5000, "alone it stands here")]
