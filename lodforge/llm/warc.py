@@ -25,6 +25,8 @@ from .common import materialize, work_dir
 #: Fixed values of the format: magic number of the skippable frame, version line, profile of a revisit.
 MAGIC, VERSION, PROFILE = 0x184D2A5D, "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE, DICTIONARY, TRAINED, LEAST, SALTS, LEVEL = 16_000_000, 65_536, 4_000_000, 100, 32, 6
+#: Most digests of repeated payloads that are broadcast, about 100 bytes each.
+REPEATED = 200_000
 _LINE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -86,13 +88,20 @@ def read_archive(stream):
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, refers_to. Payloads that repeat are matched by salted digest; the others join nothing."""
+    """page_id, url, html, digest, refers_to.
+
+    Digests of repeated payloads are broadcast if there are at most ``REPEATED``, and no payload is moved; beyond that rows are
+    joined by salted digest.
+    """
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("_n"))
     again = rows.where(F.col("_n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("_least"), F.count("*").alias("_c")).where("_c > 1")
-    again = again.select("digest", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(again, ["digest", "_salt"], "left")
+    again = materialize(again.select("digest", "_least"), "repeated")
+    if again.count() <= REPEATED:
+        joined = rows.join(F.broadcast(again), "digest", "left")
+    else:
+        spread = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "_salt"], "left")
     revisit = F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("_least")).alias("refers_to"))
 

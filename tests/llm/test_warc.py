@@ -56,3 +56,15 @@ def test_archive_layout():
     assert frame.decompress(data[8 + size :]) == records[0]  # a frame holds one record
     plain = sum(len(zstandard.ZstdCompressor().compress(r)) for r in records)
     assert len(data) < plain
+
+
+def test_many_repeated_payloads_are_joined_instead(spark, monkeypatch):
+    rows = [(k, f"<p>{'text ' * 40}{k % 7}") for k in range(60)] + [(100, None), (None, f"<p>{'text ' * 40}3")]
+    frame = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    plain = lambda f: sorted(((r["page_id"], r["digest"], r["refers_to"]) for r in f.collect()), key=str)
+    near = warc.with_originals(frame)
+    assert "BroadcastHashJoin" in near._jdf.queryExecution().toString()
+    monkeypatch.setattr(warc, "REPEATED", 6)
+    far = warc.with_originals(frame)
+    assert plain(near) == plain(far) and sum(r[2] is not None for r in plain(far)) == 54
+    assert digest(warc.read_archives(warc.write_archives(frame))) == brute(rows)
