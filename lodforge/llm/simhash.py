@@ -192,7 +192,7 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     only keeps one row that has its smallest fingerprint.
     """
     found = materialize(simhash_components(documents.select("doc_id", "text"), radius), "components")
-    own = "_" * max(map(len, documents.columns))  # longer names than any of the table's
+    own = "_" * (1 + max(map(len, documents.columns)))  # longer names than any of the table's
     kept, places, prints, group = (f"{own}_{n}" for n in ("kept", "places", "print", "group"))
     least = found.where("doc_id = component_id")
     chosen = materialize(least.groupBy(F.col("doc_id").alias(kept)).agg(F.count_distinct("root").alias(places)), "kept")
