@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, release
 
 #: Characters of a group of texts, words of a cache generation, recursive steps of a round for long words, bytes of a short word, words a query.
 GROUP, CACHED, ROUND, SHORT, WORDS = 1_000_000, 300_000, 8, 48, 20_000
@@ -337,10 +337,13 @@ def round_trip(documents: DataFrame, path: str | None = None, pattern: str | Non
                 if texts and held + len(t) > GROUP:
                     yield digests(ids, texts)
                     ids, texts, held = [], [], 0
+                    release()
                 ids.append(None if pd.isna(i) else i), texts.append(t)
                 held += len(t)
         if texts:
             yield digests(ids, texts)
+        ids, texts = [], []
+        release()
 
     rows = documents.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     with bounded_batches(documents.sparkSession):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from contextlib import contextmanager
-from functools import reduce
+from functools import cache, reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +73,26 @@ def bounded_batches(spark: SparkSession):
             spark.conf.set(name, value)
 
 
+@cache
+def _trim():
+    """The C library's call that returns freed pages, where it has one."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system.
+
+    Workers are kept for the tasks of later stages, and allocators keep what a large text once took.
+    """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

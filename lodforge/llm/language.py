@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, release
 
 UNKNOWN = "und"
 #: Leading bits of the hash by which ids are counted; most languages whose table is broadcast.
@@ -210,6 +210,7 @@ def identified(network: Network | None, column: str = "text") -> Column:
 
     def run(texts: pd.Series) -> pd.DataFrame:
         names, scores = network.predict(list(texts)) if network else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
+        release()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return F.pandas_udf(run, "lang_pred string, score double")(column)

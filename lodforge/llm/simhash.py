@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, join_counted, materialize
+from .common import bounded_batches, discard, join_counted, materialize, release
 
 TILE, RADIUS, SHINGLE, SEED = 4096, 3, 3, 42
 _PART = 1 << 16
@@ -39,7 +39,9 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+    found = pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+    release()
+    return found
 
 
 def fingerprints(column: str) -> Column:
