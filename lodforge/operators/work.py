@@ -32,7 +32,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what lies under a path; nothing there is no error."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -41,7 +42,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables that ``written`` wrote and nothing reads any more."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+            remove(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 #: Tables that a session has written once, by application and key.
@@ -80,4 +81,4 @@ def clear(spark: SparkSession) -> None:
     """Deletes every working table of this application; results that still read them end with it."""
     for key in [k for k in _ONCE if k[0] == spark.sparkContext.applicationId]:
         del _ONCE[key]
-    _delete(spark, base(spark))
+    remove(spark, base(spark))

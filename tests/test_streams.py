@@ -75,3 +75,13 @@ def test_a_stream_without_events_has_no_rows(spark):
     events = spark.createDataFrame([], SCHEMA)
     cycles, contents = feed(spark, events, [[0]], folder(spark), "10 seconds")
     assert cycles.count() == 0 and contents.count() == 0
+
+
+def test_settled_cycles_leave_the_state_and_no_key_goes_through_python(spark):
+    rows = [(1, at(s), s, kind, settled, None, None, None, part) for s, kind, settled, part in [(1, "moveEnd", None, 0), (2, "frame", True, 0), (30, "moveEnd", None, 0), (31, "frame", False, 0), (100, "frame", True, 1)]]
+    events, place = spark.createDataFrame(rows, SCHEMA), folder(spark)
+    cycles, contents = feed(spark, events, [[0], [1]], place, "10 seconds")
+    assert [r["event_id"] for r in spark.read.parquet(f"{place}/state/held/batch=1").orderBy("event_id").collect()] == [30, 31, 100]
+    assert [r["cycle"] for r in spark.read.parquet(f"{place}/state/cycles").collect()] == [1]
+    same((cycles, contents), events)
+    assert "Python" not in cycles._jdf.queryExecution().toString()
