@@ -14,18 +14,29 @@ KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_
 _PLACE = 33
 
 
+def _ranged(rows: DataFrame, keys) -> DataFrame:
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+
+
+def _offsets(placed: DataFrame) -> DataFrame:
+    """First ordinal of each partition: one row a partition."""
+    counts = placed.groupBy(F.shiftright("_m", _PLACE).alias("_b")).agg(F.count("*").alias("_n"))
+    return counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))
+
+
+def _numbered(placed: DataFrame, offsets: DataFrame) -> DataFrame:
+    part, place = F.shiftright("_m", _PLACE), F.col("_m").bitwiseAND(F.lit((1 << _PLACE) - 1))
+    return placed.withColumn("_b", part).join(F.broadcast(offsets), "_b").withColumn("ordinal", (F.col("_o") + place).cast("long")).drop("_b", "_m", "_o")
+
+
 def with_ordinal(rows: DataFrame, keys=KEY) -> DataFrame:
     """``rows`` with ``ordinal``: gapless from 0 in key order, nulls first; rows equal in all keys get their places in any order.
 
     Rows are dealt to key ranges, sorted there and written with their place, so ordinals never change afterwards. What one task
     sums up is one count a partition. No rows: no ordinals. A column of that name is replaced.
     """
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
-    placed = written(ranged, "ranged")
-    part, place = F.shiftright("_m", _PLACE), F.col("_m").bitwiseAND(F.lit((1 << _PLACE) - 1))
-    counts = placed.groupBy(part.alias("_b")).agg(F.count("*").alias("_n"))
-    offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))  # one row a partition
-    return placed.withColumn("_b", part).join(F.broadcast(offsets), "_b").withColumn("ordinal", (F.col("_o") + place).cast("long")).drop("_b", "_m", "_o")
+    placed = written(_ranged(rows, keys), "ranged")
+    return _numbered(placed, _offsets(placed))
 
 
 def _shaped(rows: DataFrame, *more: str) -> DataFrame:
@@ -42,9 +53,11 @@ def plain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
-    """ordinal and the columns of ``plain_points``; written once a session unless ``fresh``."""
-    build = lambda: _shaped(with_ordinal(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*KEY, "l_quantity", "l_discount")), "ordinal")
-    return build() if fresh else once(spark, ("points", sf_dir), build)
+    """ordinal and the columns of ``plain_points``; places are written once a session unless ``fresh``, the rest is worked out from them at each read."""
+    ranged = lambda: _ranged(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*KEY, "l_quantity", "l_discount"), KEY).drop("l_shipdate")
+    placed = written(ranged(), "ranged") if fresh else once(spark, ("ranged", sf_dir), ranged)
+    offsets = _offsets(placed) if fresh else once(spark, ("offsets", sf_dir), lambda: _offsets(placed))
+    return _shaped(_numbered(placed, offsets), "ordinal")
 
 
 def read_points(parts: list[DataFrame], names: list[str]) -> tuple[DataFrame, DataFrame]:
