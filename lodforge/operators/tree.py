@@ -92,42 +92,69 @@ def _kind(depth: int, profile: Profile):
     return F.when(F.col("input") <= profile.leaf, "leaf").otherwise(inner)
 
 
-def residual_tree(points: DataFrame, profile: Profile = Profile(), origin: tuple[float, float] = (-4000.0, -2000.0)) -> DataFrame:
-    """Points with their owner: ``ordinal, x, y, z, ix, iy, path, depth, kind, input``, written; each input point comes once.
+#: A node of one depth by numbers: its root cell and its column and row of that depth's squares in it.
+_SQUARE = ("ix", "iy", "u", "v")
 
-    ``points`` has ordinal, x, y, z, ix, iy, hi, lo. All cells and nodes of a depth are handled at once and written, at most
-    ``profile.depth`` + 1 times. A node over ``hard`` at the last depth keeps its points as kind ``overflow``. No points: no rows.
+
+def _turns(points: DataFrame, depth: int, origin: tuple[float, float]) -> DataFrame:
+    """``points`` with ``east`` and ``north``: a bit a level, from the first one down, of the half a point lies in."""
+    rows = points.withColumns({"_x": F.col("ix") * F.lit(g.CELL) + origin[0], "_y": F.col("iy") * F.lit(g.CELL) + origin[1], "east": F.lit(0), "north": F.lit(0)})
+    for level in range(1, depth + 1):
+        half = F.lit(g.CELL / 2**level)
+        rows = rows.withColumns({"_e": (F.col("x") >= F.col("_x") + half).cast("int"), "_n": (F.col("y") >= F.col("_y") + half).cast("int")})
+        rows = rows.withColumns({"east": F.col("east") * 2 + F.col("_e"), "north": F.col("north") * 2 + F.col("_n"), "_x": F.col("_x") + F.col("_e") * half, "_y": F.col("_y") + F.col("_n") * half})
+    return rows.drop("_x", "_y", "_e", "_n")
+
+
+def _path(depth: int):
+    """A square's path: a digit a level, east and twice north."""
+    bit = lambda k, level: F.shiftright(k, level).bitwiseAND(F.lit(1))
+    return F.concat(F.lit(""), *[(bit("u", k) + 2 * bit("v", k)).cast("string") for k in range(depth - 1, -1, -1)])
+
+
+def residual_tree(points: DataFrame, profile: Profile = Profile(), origin: tuple[float, float] = (-4000.0, -2000.0), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Points with their owner: ``ordinal, x, y, z, ix, iy, path, depth, kind, input`` and the columns ``keep``; each input point comes once.
+
+    ``points`` has ordinal, x, y, z, ix, iy, hi, lo, and is written once. What is
+    written of a level are its nodes and the cuts of its microcells; points are compared with those of all levels as they are read. Only where
+    a level has over ``FEW`` of them are its points shuffled to them and written. A node over ``hard`` at the last depth keeps its points as
+    kind ``overflow``. No points: no rows.
     """
-    size = F.lit(g.CELL)
-    first = written(points.select("ordinal", "x", "y", "z", "ix", "iy", "hi", "lo"), "hashed")  # each level reads its points three times
-    now = first.withColumns({"path": F.lit(""), "mx": F.col("ix") * size + origin[0], "my": F.col("iy") * size + origin[1], "size": size})
-    levels = []
+    rest = written(_turns(points.select("ordinal", "x", "y", "z", "ix", "iy", "hi", "lo", *keep), profile.depth, origin), "turned")
+    owned = []
     for depth in range(profile.depth + 1):
-        now = now.withColumn("cell", g.microcell(F.col("x"), F.col("y"), F.col("mx"), F.col("my"), F.col("size"), profile.grid))
-        cells = written(now.groupBy(*NODE, "cell").agg(F.count("*").alias("cnt")), "cells")
-        kinds = few(cells.groupBy(*NODE).agg(F.sum("cnt").alias("input")).withColumn("kind", _kind(depth, profile)))
-        inner = cells.join(kinds.where("kind = 'internal'").select(*NODE), list(NODE))
-        quota = written(quota_allocation(inner, profile.target, NODE), "quota")
-        left = quota.agg(F.coalesce(F.sum(F.col("cnt") - F.col("alloc")), F.lit(0))).first()[0]
-        own = representatives(now, quota) if left else now.withColumn("own", F.lit(True))
-        rows = own.join(kinds, list(NODE)).withColumn("own", F.col("own") | (F.col("kind") != "internal")).drop("cell")
-        level = written(rows.withColumn("depth", F.lit(depth)), f"tree-{depth}")
-        discard(cells, quota)
-        levels.append(level)
-        if depth == profile.depth or not left:
+        last, size = depth == profile.depth, F.lit(g.CELL / 2**depth)  # no quotas at the last
+        now = rest.withColumns({n: F.shiftright(k, profile.depth - depth) for n, k in (("u", "east"), ("v", "north"))})
+        low = [F.col(k) * F.lit(g.CELL) + o + F.col(n) * size for k, o, n in zip(("ix", "iy"), origin, ("u", "v"), strict=True)]
+        now = now if last else now.withColumn("cell", g.microcell(F.col("x"), F.col("y"), *low, size, profile.grid))
+        cells = written(now.groupBy(*_SQUARE, *([] if last else ["cell"])).agg(F.count("*").alias("cnt")), "cells")
+        kinds = written(cells.groupBy(*_SQUARE).agg(F.sum("cnt").alias("input")).withColumn("kind", _kind(depth, profile)), "kinds")
+        cuts, left = None, 0
+        if not last:
+            quota = written(quota_allocation(cells.join(kinds.where("kind = 'internal'").select(*_SQUARE), list(_SQUARE)), profile.target, _SQUARE), "quota")
+            left = quota.agg(F.coalesce(F.sum(F.col("cnt") - F.col("alloc")), F.lit(0))).first()[0]
+            cuts = hash_cuts(now, quota, _SQUARE) if left else None
+            discard(quota)
+        discard(cells)
+        wide = max(kinds.count(), cuts.count() if left else 0) > FEW
+        near = (lambda t: t) if wide else F.broadcast
+        rows, own = now.join(near(kinds), list(_SQUARE)), F.lit(True)
+        if left:
+            rows = rows.join(near(cuts), [*_SQUARE, "cell"], "left")
+            own = (F.col("kind") != "internal") | F.coalesce(F.struct("hi", "lo", "ordinal") <= F.col("last"), F.lit(False))
+        level = rows.withColumn("own", own).drop("cell", "last")
+        level = written(level, f"tree-{depth}") if wide else level
+        owned.append(level.where("own").select("ordinal", "x", "y", "z", "ix", "iy", _path(depth).alias("path"), F.lit(depth).alias("depth"), "kind", "input", *keep))
+        if not left:
             break
-        rest, half = level.where("not own"), F.col("size") / 2
-        east, north = (F.col("x") >= F.col("mx") + half).cast("int"), (F.col("y") >= F.col("my") + half).cast("int")
-        now = rest.withColumns({"path": F.concat("path", (east + 2 * north).cast("string")), "mx": F.col("mx") + east * half, "my": F.col("my") + north * half, "size": half}).drop("own", "depth", "kind", "input")
-    owned = written(reduce(DataFrame.unionByName, [level.where("own") for level in levels]).select("ordinal", "x", "y", "z", *NODE, "depth", "kind", "input"), "owned")
-    discard(first, *levels)
-    return owned
+        rest = level.where("not own").drop("u", "v", "kind", "input", "own")
+    return reduce(DataFrame.unionByName, owned)
 
 
 def node_manifest(owned: DataFrame, least: int = 200) -> DataFrame:
     """One row a node: counts, bounds of its own points, parent path (null at the root), children and whether a leaf is underfilled."""
     bounds = [f(k).alias(f"{n}_{k}") for n, f in (("min", F.min), ("max", F.max)) for k in "xyz"]
-    nodes = owned.groupBy(*NODE, "depth", "kind", "input").agg(F.count("*").alias("emitted"), *bounds)
+    nodes = written(owned.groupBy(*NODE, "depth", "kind", "input").agg(F.count("*").alias("emitted"), *bounds), "manifest")  # else the points would be read twice
     nodes = nodes.withColumn("parent", F.when(F.col("depth") > 0, F.expr("substring(path, 1, depth - 1)")))
     below = nodes.where("depth > 0").groupBy("ix", "iy", F.col("parent").alias("path")).agg(F.count("*").alias("children"), F.sum("input").alias("handed"))
     return nodes.join(below, list(NODE), "left").fillna(0, ["children", "handed"]).withColumn("underfilled", (F.col("kind") != "internal") & (F.col("emitted") < least))

@@ -59,12 +59,28 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(found))
 
 
+def _full(spark: SparkSession, key: tuple) -> tuple:
+    return (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), *key, *(_state(spark, k) for k in key[1:] if isinstance(k, str) and "/" in k))
+
+
+#: Tables that are worked out at each read from small tables written once.
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def remembered(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """The unwritten table of ``key``, as for ``once``: what ``build`` writes on its way is written once."""
+    full = _full(spark, key)
+    if full not in _PLANS:
+        _PLANS[full] = build()
+    return _PLANS[full]
+
+
 def once(spark: SparkSession, key: tuple, build) -> DataFrame:
     """The table of ``key`` (a name and the folder it is made of), written by the first call of this application.
 
     It is written again if its files are gone or those of the folder have changed.
     """
-    full = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), *key, *(_state(spark, k) for k in key[1:] if isinstance(k, str) and "/" in k))
+    full = _full(spark, key)
     held = _ONCE.get(full)
     if held is not None:
         place = spark._jvm.org.apache.hadoop.fs.Path(held[1])
@@ -81,4 +97,6 @@ def clear(spark: SparkSession) -> None:
     """Deletes every working table of this application; results that still read them end with it."""
     for key in [k for k in _ONCE if k[0] == spark.sparkContext.applicationId]:
         del _ONCE[key]
+    for key in [k for k in _PLANS if k[0] == spark.sparkContext.applicationId]:
+        del _PLANS[key]
     remove(spark, base(spark))

@@ -28,9 +28,8 @@ def _payloads(spark, sf):
     """Payloads of every node of the tree, with colours, written once a session."""
 
     def build():
-        colours = src.points(spark, sf).select("ordinal", *[g.rgb_to_u8(c(k)).alias(k) for k in ("red", "green", "blue")])
-        owned = tp._owned(spark, sf).select("ordinal", "x", "y", "z", _uri().alias("uri")).join(colours, "ordinal")
-        return pay.encode_pnts(owned)
+        colours = [g.rgb_to_u8(c(k)).alias(k) for k in ("red", "green", "blue")]
+        return pay.encode_pnts(tp._owned(spark, sf).select("ordinal", "x", "y", "z", _uri().alias("uri"), *colours))
 
     return once(spark, ("payloads", sf), build)
 

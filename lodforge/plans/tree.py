@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodforge.functions import geometry as g
 from lodforge.functions.hashing import INCREMENT, LAST, ROUNDS, SALT, with_stable_hash
 from lodforge.operators import tree
-from lodforge.operators.work import once
+from lodforge.operators.work import once, remembered
 from lodforge.plans import registry as r
 
 PROFILE = tree.Profile()
@@ -66,12 +66,12 @@ def _hashed(spark, sf):
 
 
 def _owned(spark, sf):
-    """The tree of the data, written once a session."""
-    return once(spark, ("owned", sf), lambda: tree.residual_tree(_hashed(spark, sf).where("ordinal % 1000 <> 0"), PROFILE))
+    """The tree of the data with the points' colours; its nodes and cuts are written once a session."""
+    return remembered(spark, ("owned", sf), lambda: tree.residual_tree(_hashed(spark, sf).where("ordinal % 1000 <> 0"), PROFILE, keep=("red", "green", "blue")))
 
 
 def _nodes(spark, sf):
-    return tree.node_manifest(_owned(spark, sf))
+    return once(spark, ("nodes", sf), lambda: tree.node_manifest(_owned(spark, sf)))
 
 
 def on_owned(name: str, oracle: str, f) -> None:

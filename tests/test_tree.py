@@ -79,3 +79,13 @@ def test_files_are_counted_once(spark):
     assert run() == {(0, 5), (1, 5)}
     put(3)
     assert run() == {(0, 7), (1, 6)}
+
+
+def test_levels_write_points_only_where_their_tables_are_too_many(spark, monkeypatch):
+    places, write = [], tree.written
+    monkeypatch.setattr(tree, "written", lambda df, name: (places.append(name), write(df, name))[1])
+    run = lambda: sorted(tuple(r) for r in tree.residual_tree(points(spark, 900), tree.Profile(40, 100, 150, 2, 4), (0.0, 0.0)).collect())
+    narrow = run()
+    assert not [p for p in places if p.startswith("tree-")] and "owned" not in places and places.count("turned") == 1
+    monkeypatch.setattr(tree, "FEW", 0)
+    assert run() == narrow and "tree-0" in places
