@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,68 +89,162 @@ def representatives(points: DataFrame, quota: DataFrame, node=NODE) -> DataFrame
     return rows.withColumn("own", F.coalesce(F.struct("hi", "lo", "ordinal") <= F.col("last"), F.lit(False))).drop("last")
 
 
-def _kind(depth: int, profile: Profile):
-    inner = F.lit("internal") if depth < profile.depth else F.when(F.col("input") <= profile.hard, "max-depth-leaf").otherwise("overflow")
-    return F.when(F.col("input") <= profile.leaf, "leaf").otherwise(inner)
-
-
-#: A node of one depth by numbers: its root cell and its column and row of that depth's squares in it.
-_SQUARE = ("ix", "iy", "u", "v")
-
-
-def _turns(points: DataFrame, depth: int, origin: tuple[float, float]) -> DataFrame:
-    """``points`` with ``east`` and ``north``: a bit a level, from the first one down, of the half a point lies in."""
-    rows = points.withColumns({"_x": F.col("ix") * F.lit(g.CELL) + origin[0], "_y": F.col("iy") * F.lit(g.CELL) + origin[1], "east": F.lit(0), "north": F.lit(0)})
-    for level in range(1, depth + 1):
-        half = F.lit(g.CELL / 2**level)
-        rows = rows.withColumns({"_e": (F.col("x") >= F.col("_x") + half).cast("int"), "_n": (F.col("y") >= F.col("_y") + half).cast("int")})
-        rows = rows.withColumns({"east": F.col("east") * 2 + F.col("_e"), "north": F.col("north") * 2 + F.col("_n"), "_x": F.col("_x") + F.col("_e") * half, "_y": F.col("_y") + F.col("_n") * half})
-    return rows.drop("_x", "_y", "_e", "_n")
+def _kind(depth: int, profile: Profile, count: str = "input"):
+    inner = F.lit("internal") if depth < profile.depth else F.when(F.col(count) <= profile.hard, "max-depth-leaf").otherwise("overflow")
+    return F.when(F.col(count) <= profile.leaf, "leaf").otherwise(inner)
 
 
 def _path(depth: int):
     """A square's path: a digit a level, east and twice north."""
     bit = lambda k, level: F.shiftright(k, level).bitwiseAND(F.lit(1))
-    return F.concat(F.lit(""), *[(bit("u", k) + 2 * bit("v", k)).cast("string") for k in range(depth - 1, -1, -1)])
+    return F.concat(F.lit(""), *[(bit("east", k) + 2 * bit("north", k)).cast("string") for k in range(depth - 1, -1, -1)])
+
+
+def _square(depth: int, profile: Profile) -> list:
+    """A node of one depth by numbers: its root cell and its column and row of that depth's squares in it."""
+    return ["ix", "iy", *[F.shiftright(k, profile.depth - depth).alias(n) for k, n in (("east", "u"), ("north", "v"))]]
+
+
+def _packing(profile: Profile) -> dict[str, list[tuple[str, int, int]]]:
+    """Long columns that tell a spot of a root cell: the squares and the microcells of all depths it lies in, as (name, first bit, bits)."""
+    widths = {"east": profile.depth, "north": profile.depth} | {f"cell{d}": (profile.grid**2 - 1).bit_length() or 1 for d in range(profile.depth)}
+    longs, at = [[]], 0
+    for name, bits in widths.items():
+        if at + bits > 62:
+            longs, at = [*longs, []], 0
+        longs[-1].append((name, at, bits))
+        at += bits
+    return {f"spot{k}": fields for k, fields in enumerate(longs)}
+
+
+def _spots(x: np.ndarray, y: np.ndarray, ix: np.ndarray, iy: np.ndarray, profile: Profile, origin: tuple[float, float]) -> dict[str, np.ndarray]:
+    """The columns of ``_packing``, by the same arithmetic in double precision as ``geometry.microcell``."""
+    found = {}
+    for name, v, k, o in (("east", x, ix, origin[0]), ("north", y, iy, origin[1])):
+        low, turns = k * g.CELL + o, np.zeros(len(v), np.int64)
+        for depth in range(profile.depth):  # a bit a level, from the first one down, of the half a point lies in
+            size = g.CELL / 2**depth
+            at = np.clip(np.nan_to_num((v - low) / size * profile.grid), 0, profile.grid - 1).astype(np.int64)
+            found[f"cell{depth}"] = found.get(f"cell{depth}", 0) + at * (1 if name == "east" else profile.grid)
+            beyond = v >= low + size / 2
+            low, turns = low + beyond * (size / 2), turns * 2 + beyond
+        found[name] = turns
+    return {k: reduce(np.bitwise_or, [found[n] << at for n, at, _ in fields]) for k, fields in _packing(profile).items()}
+
+
+def _spotted(points: DataFrame, profile: Profile, origin: tuple[float, float]) -> DataFrame:
+    """``points`` with the columns of ``_packing``, worked out over columns of a batch, as one expression of that length would not be compiled."""
+    names = [*_packing(profile)]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def spot(x: pd.Series, y: pd.Series, ix: pd.Series, iy: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_spots(*[v.to_numpy(np.float64) for v in (x, y, ix, iy)], profile, origin))
+
+    rows = points.where("ix is not null and iy is not null").withColumn("_spot", spot(*[F.col(k).cast("double") for k in ("x", "y", "ix", "iy")]))
+    return rows.select(*points.columns, *[F.col(f"_spot.{n}").alias(n) for n in names])
+
+
+def _shares(spots: DataFrame, profile: Profile, spare: float) -> DataFrame:
+    """``spots`` with ``limit0``…: upper halves of hashes below which a microcell's cut of that depth lies if hashes are spread evenly, with some to spare; 0 where no node can be inner."""
+    sums = {}
+    for depth in range(profile.depth):
+        node = _square(depth, profile)
+        sums |= {f"_n{depth}": F.sum("cnt").over(Window.partitionBy(*node)), f"_c{depth}": F.sum("cnt").over(Window.partitionBy(*node, f"cell{depth}"))}
+    limits, taken = {}, F.lit(0.0)
+    for depth in range(profile.depth):
+        n, cnt = F.col(f"_n{depth}"), F.col(f"_c{depth}")
+        taken = taken + F.when(n > profile.leaf, F.lit(float(profile.target)) / n + 1 / cnt).otherwise(0.0)
+        share = F.least(F.lit(1.0), taken + (spare * F.sqrt(taken * cnt) + 2 * spare) / cnt)
+        limits[f"limit{depth}"] = F.when(n > profile.leaf, F.ceil(share * (1 << 32))).otherwise(0)
+    return spots.withColumns(sums).withColumns(limits).drop(*sums)
+
+
+def _settled(turned: DataFrame, spots: DataFrame, profile: Profile, spare: float) -> DataFrame | None:
+    """``spots`` with ``path``, the ``depth``, ``kind`` and ``input`` of the leaf that keeps what inner nodes leave, and ``cut0``…, ``input0``… of those; None if a cut wasn't found.
+
+    What inner nodes own are the smallest hashes of a spot, however many levels take some. So only points below the greatest limit
+    are looked at; which of the limits sufficed is seen by their number.
+    """
+    key = ["ix", "iy", *_packing(profile)]
+    limits = [f"limit{d}" for d in range(profile.depth)]
+    none = F.lit(None).cast("struct<hi:long,lo:long,ordinal:long>")
+    now = _shares(spots, profile, spare).withColumns({"rest": F.col("cnt"), "done": none, "depth": F.lit(None).cast("int"), "kind": F.lit(None).cast("string"), "input": F.lit(None).cast("long")})
+    now = written(now.withColumn("path", _path(profile.depth)).drop("cnt"), "spots")
+    tall = now.select(*key, F.greatest(F.lit(0), F.lit(0), *limits).alias("_most")).where("_most > 0")
+    near = written(turned.select(*key, "hi", "lo", "ordinal").join(few(tall), key).where("hi < _most").drop("_most"), "near")
+    point = F.struct("hi", "lo", "ordinal")
+    for depth in range(profile.depth + 1):
+        last, node = depth == profile.depth, Window.partitionBy(*_square(depth, profile))
+        square = dict(zip("uv", _square(depth, profile)[2:], strict=True))
+        level = now.withColumns({**square, "_in": F.sum(F.when(F.col("depth").isNull(), F.col("rest"))).over(node)})
+        level = level.withColumn("_kind", F.when(F.col("depth").isNull(), _kind(depth, profile, "_in")))
+        leaf = F.col("_kind") != "internal"  # null where a leaf lies above
+        if not last:
+            cell = ["ix", "iy", "u", "v", f"cell{depth}"]
+            open_ = level.where("_kind = 'internal' and rest > 0").groupBy(*cell).agg(F.sum("rest").alias("cnt"), F.min(f"limit{depth}").alias("_limit"))
+            open_ = written(open_.withColumnRenamed(cell[-1], "cell"), "cells")
+            quota = quota_allocation(open_.drop("_limit"), profile.target, tuple(cell[:-1])).where("alloc > 0").join(open_.drop("cnt"), [*cell[:-1], "cell"]).withColumnRenamed("cell", cell[-1])
+            level = level.join(quota.drop("cnt"), cell, "left")
+        level = level.withColumns({f"input{depth}": F.when(F.col("_kind") == "internal", F.col("_in")), "depth": F.when(leaf, F.lit(depth)).otherwise(F.col("depth")), "kind": F.when(leaf, F.col("_kind")).otherwise(F.col("kind")), "input": F.when(leaf, F.col("_in")).otherwise(F.col("input"))})
+        level = written(level.drop("_in", "_kind", f"limit{depth}"), "level")
+        discard(now)
+        if last:
+            now = level
+            break
+        discard(open_)
+        quota = level.where("alloc is not null and rest > 0").select(*key, *cell[2:], "done", "alloc", "_limit")
+        if quota.isEmpty():
+            now = level.drop("alloc", "_limit", "u", "v")
+            break
+        rows = near.join(few(quota), key).where((F.col("hi") < F.col("_limit")) & (F.col("done").isNull() | (point > F.col("done"))))
+        rank = F.row_number().over(Window.partitionBy(*cell).orderBy("hi", "lo", "ordinal"))
+        kept = written(rows.withColumn("_rank", rank).where("_rank <= alloc").select(*key, *cell[2:], "alloc", point.alias("point")), "kept")
+        cuts = kept.groupBy(*cell).agg(F.count("*").alias("_found"), F.max("point").alias(f"cut{depth}"))
+        owned = kept.groupBy(*key).agg(F.count("*").alias("_own"))
+        now = level.join(cuts, cell, "left").join(owned, key, "left")
+        now = now.withColumns({"rest": F.col("rest") - F.coalesce("_own", F.lit(0)), "done": F.greatest("done", f"cut{depth}"), "_short": F.coalesce("_found", F.lit(0)) < F.col("alloc")})
+        now = written(now.drop("_own", "_found", "alloc", "_limit", "u", "v"), "spots")
+        discard(level, kept)
+        if not now.where("_short").isEmpty():
+            discard(now, near)
+            return None
+        now = now.drop("_short")
+    discard(near)
+    return now
 
 
 def residual_tree(points: DataFrame, profile: Profile = Profile(), origin: tuple[float, float] = (-4000.0, -2000.0), keep: tuple[str, ...] = ()) -> DataFrame:
     """Points with their owner: ``ordinal, x, y, z, ix, iy, path, depth, kind, input`` and the columns ``keep``; each input point comes once.
 
-    ``points`` has ordinal, x, y, z, ix, iy, hi, lo, and is written once. What is
-    written of a level are its nodes and the cuts of its microcells; points are compared with those of all levels as they are read. Only where
-    a level has over ``FEW`` of them are its points shuffled to them and written. A node over ``hard`` at the last depth keeps its points as
-    kind ``overflow``. No points: no rows.
+    ``points`` has ordinal, x, y, z, ix, iy, hi, lo, and is written once. Points are counted by spot, where the squares and microcells of
+    all depths meet; levels are settled over spots and over the few points with small hashes, and a point is compared once with its
+    spot's cuts as it is read. Only where there are over ``FEW`` spots are points shuffled to them and written. A node over
+    ``hard`` at the last depth keeps its points as kind ``overflow``. No points: no rows.
     """
-    rest = written(_turns(points.select("ordinal", "x", "y", "z", "ix", "iy", "hi", "lo", *keep), profile.depth, origin), "turned")
-    owned = []
-    for depth in range(profile.depth + 1):
-        last, size = depth == profile.depth, F.lit(g.CELL / 2**depth)  # no quotas at the last
-        now = rest.withColumns({n: F.shiftright(k, profile.depth - depth) for n, k in (("u", "east"), ("v", "north"))})
-        low = [F.col(k) * F.lit(g.CELL) + o + F.col(n) * size for k, o, n in zip(("ix", "iy"), origin, ("u", "v"), strict=True)]
-        now = now if last else now.withColumn("cell", g.microcell(F.col("x"), F.col("y"), *low, size, profile.grid))
-        cells = written(now.groupBy(*_SQUARE, *([] if last else ["cell"])).agg(F.count("*").alias("cnt")), "cells")
-        kinds = written(cells.groupBy(*_SQUARE).agg(F.sum("cnt").alias("input")).withColumn("kind", _kind(depth, profile)), "kinds")
-        cuts, left = None, 0
-        if not last:
-            quota = written(quota_allocation(cells.join(kinds.where("kind = 'internal'").select(*_SQUARE), list(_SQUARE)), profile.target, _SQUARE), "quota")
-            left = quota.agg(F.coalesce(F.sum(F.col("cnt") - F.col("alloc")), F.lit(0))).first()[0]
-            cuts = hash_cuts(now, quota, _SQUARE) if left else None
-            discard(quota)
-        discard(cells)
-        wide = max(kinds.count(), cuts.count() if left else 0) > FEW
-        near = (lambda t: t) if wide else F.broadcast
-        rows, own = now.join(near(kinds), list(_SQUARE)), F.lit(True)
-        if left:
-            rows = rows.join(near(cuts), [*_SQUARE, "cell"], "left")
-            own = (F.col("kind") != "internal") | F.coalesce(F.struct("hi", "lo", "ordinal") <= F.col("last"), F.lit(False))
-        level = rows.withColumn("own", own).drop("cell", "last")
-        level = written(level, f"tree-{depth}") if wide else level
-        owned.append(level.where("own").select("ordinal", "x", "y", "z", "ix", "iy", _path(depth).alias("path"), F.lit(depth).alias("depth"), "kind", "input", *keep))
-        if not left:
-            break
-        rest = level.where("not own").drop("u", "v", "kind", "input", "own")
-    return reduce(DataFrame.unionByName, owned)
+    turned = written(_spotted(points.select("ordinal", "x", "y", "z", "ix", "iy", "hi", "lo", *keep), profile, origin), "turned")
+    packing = _packing(profile)
+    key = ["ix", "iy", *packing]
+    parts = {n: F.shiftright(k, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for k, fields in packing.items() for n, at, bits in fields}
+    spots = written(turned.groupBy(*key).agg(F.count("*").alias("cnt")).withColumns(parts), "counts")
+    spare, held = 6.0, None
+    while held is None:
+        held = _settled(turned, spots, profile, spare)
+        spare *= 16
+    depths = [d for d in range(profile.depth) if f"cut{d}" in held.columns]
+    point, inner = F.struct("hi", "lo", "ordinal"), F.lit(profile.depth)
+    for d in reversed(depths):
+        inner = F.when(F.coalesce(point <= F.col(f"cut{d}"), F.lit(False)), F.lit(d)).otherwise(inner)
+    wide = held.count() > FEW
+    names = ["path", "depth", "kind", "input", *[f"{n}{d}" for d in depths for n in ("cut", "input")]]
+    table = held.select(*key, *[F.col(n).alias(f"leaf_{n}") if n in ("depth", "kind", "input", "path") else n for n in names])
+    rows = turned.join(table if wide else F.broadcast(table), key).withColumn("_at", inner)
+    by_inner = F.col("_at") < profile.depth
+    depth = F.when(by_inner, F.col("_at")).otherwise(F.col("leaf_depth"))
+    put = F.col("leaf_input")
+    for d in depths:
+        put = F.when(F.col("_at") == d, F.col(f"input{d}")).otherwise(put)
+    rows = rows.withColumn("depth", depth).select("ordinal", "x", "y", "z", "ix", "iy", F.expr("substring(leaf_path, 1, depth)").alias("path"), "depth", F.when(by_inner, F.lit("internal")).otherwise(F.col("leaf_kind")).alias("kind"), put.alias("input"), *keep)
+    return written(rows, "tree-0") if wide else rows  # else each read would shuffle the points
 
 
 def node_manifest(owned: DataFrame, least: int = 200) -> DataFrame:

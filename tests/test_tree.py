@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodforge.functions.hashing import with_stable_hash
 from lodforge.operators import pyramid, tree
+from lodforge.operators.sampling import quota_allocation
 from lodforge.operators.work import folder
 from lodforge.streaming.census import incremental_counts
 
@@ -89,3 +90,45 @@ def test_levels_write_points_only_where_their_tables_are_too_many(spark, monkeyp
     assert not [p for p in places if p.startswith("tree-")] and "owned" not in places and places.count("turned") == 1
     monkeypatch.setattr(tree, "FEW", 0)
     assert run() == narrow and "tree-0" in places
+
+
+def test_spots_decide_as_levels_do(spark):
+    """Uneven points, a grid that doesn't nest, hashes that aren't spread: against a level by level walk in plain Python."""
+    rows = spark.range(3000).select(F.col("id").alias("ordinal"), (F.pmod(F.col("id") * 7919, F.lit(2000)) * F.when(F.col("id") % 3 == 0, 0.01).otherwise(1.0)).alias("x"), (F.pmod(F.col("id") * 104729, F.lit(1999)) + 0.5).alias("y"), F.lit(1.0).alias("z"))
+    rows = with_stable_hash(rows.withColumns({"ix": F.lit(0), "iy": F.lit(0)})).withColumn("hi", F.when(F.col("ordinal") % 2 == 0, (1 << 32) - 1 - F.col("ordinal") % 40).otherwise(F.col("hi")))
+    p = tree.Profile(40, 100, 150, 3, 5)
+    got = {r["ordinal"]: (r["path"], r["kind"], r["input"]) for r in tree.residual_tree(rows, p, (0.0, 0.0)).collect()}
+    want = {}
+
+    def walk(held, path, low, size):
+        inner = len(held) > p.leaf and len(path) < p.depth
+        if not inner:
+            kind = "leaf" if len(held) <= p.leaf else "max-depth-leaf" if len(held) <= p.hard else "overflow"
+            want.update({r["ordinal"]: (path, kind, len(held)) for r in held})
+            return
+        at = lambda v, o: min(max(int((v - o) / size * p.grid), 0), p.grid - 1)
+        cells = {}
+        for r in held:
+            cells.setdefault(at(r["y"], low[1]) * p.grid + at(r["x"], low[0]), []).append(r)
+        counts = spark.createDataFrame([(0, k, len(v)) for k, v in cells.items()], "node int, cell int, cnt long")
+        quota = {q["cell"]: q["alloc"] for q in quota_allocation(counts, p.target).collect()}
+        rest = []
+        for k, v in cells.items():
+            v.sort(key=lambda r: (r["hi"], r["lo"], r["ordinal"]))
+            want.update({r["ordinal"]: (path, "internal", len(held)) for r in v[: quota[k]]})
+            rest += v[quota[k] :]
+        half = size / 2
+        for d in range(4):
+            e, n = d % 2, d // 2
+            below = [r for r in rest if (r["x"] >= low[0] + half) == e and (r["y"] >= low[1] + half) == n]
+            if below:
+                walk(below, f"{path}{d}", (low[0] + e * half, low[1] + n * half), half)
+
+    walk(rows.collect(), "", (0.0, 0.0), 2000.0)
+    assert got == want and {k for _, k, _ in want.values()} >= {"internal", "leaf"}
+
+
+def test_points_are_shuffled_for_no_level(spark):
+    """The plan that reads the points joins them once, with the table of spots."""
+    plan = tree.residual_tree(points(spark, 900), tree.Profile(40, 100, 150, 4, 4), (0.0, 0.0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Relation") == 2
