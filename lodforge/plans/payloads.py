@@ -29,7 +29,8 @@ def _payloads(spark, sf):
 
     def build():
         colours = [g.rgb_to_u8(c(k)).alias(k) for k in ("red", "green", "blue")]
-        return pay.encode_pnts(tp._owned(spark, sf).select("ordinal", "x", "y", "z", _uri().alias("uri"), *colours))
+        encoded = pay.encode_pnts(tp._owned(spark, sf).select("ix", "iy", "path", "ordinal", "x", "y", "z", *colours), ("ix", "iy", "path"))
+        return encoded.withColumn("depth", F.length("path")).select(_uri().alias("uri"), "payload", "bytes")
 
     return once(spark, ("payloads", sf), build)
 

@@ -38,20 +38,24 @@ def encode_payload(xyz: np.ndarray, rgb: np.ndarray | None) -> bytes:
     return HEADER.pack(MAGIC, VERSION, HEADER.size + len(head) + len(body), len(head), len(body), 0, 0) + head + body
 
 
-def encode_pnts(points: DataFrame) -> DataFrame:
-    """``uri``, ``payload``, ``bytes`` of each node of points (uri, ordinal, x, y, z and maybe red, green, blue from 0 to 255).
+def encode_pnts(points: DataFrame, node: tuple[str, ...] = ("uri",)) -> DataFrame:
+    """``node``, ``payload``, ``bytes`` of each node of points (the columns ``node``, ordinal, x, y, z and maybe red, green, blue from 0 to 255).
 
-    A group is a node, so the tree's hard limit bounds it. Points go in ordinal order. Null colours count as 0.
+    A group is a node, so the tree's hard limit bounds it. Points go in ordinal order. Null colours count as 0. Points are shuffled with
+    their node, so a short key costs less than a uri; a point's colours go as one number.
     """
     coloured = {"red", "green", "blue"} <= set(points.columns)
+    byte = lambda k: F.coalesce(F.col(k).cast("int"), F.lit(0)).bitwiseAND(F.lit(255))
+    rgb = [(byte("red") * 65536 + byte("green") * 256 + byte("blue")).alias("_rgb")] if coloured else []
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordinal")
-        rgb = rows[["red", "green", "blue"]].fillna(0).to_numpy() if coloured else None
+        rgb = (rows["_rgb"].to_numpy()[:, None] >> np.array([16, 8, 0])) & 255 if coloured else None
         raw = encode_payload(rows[["x", "y", "z"]].to_numpy(np.float64), rgb)
-        return pd.DataFrame({"uri": [rows["uri"].iloc[0]], "payload": [raw], "bytes": [len(raw)]})
+        return pd.DataFrame([(*key, raw, len(raw))], columns=[*node, "payload", "bytes"])
 
-    return points.groupBy("uri").applyInPandas(one, "uri string, payload binary, bytes long")
+    columns = ", ".join(f"`{n}` {t}" for n, t in points.select(*node).dtypes)
+    return points.select(*node, "ordinal", "x", "y", "z", *rgb).groupBy(*node).applyInPandas(one, f"{columns}, payload binary, bytes long")
 
 
 def _number(value) -> bool:
