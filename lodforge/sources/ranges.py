@@ -15,19 +15,24 @@ from .payloads import HEADER, MAGIC, TABLE, feature_table
 
 #: File systems that a task can read ranges of by itself.
 SCHEMES = ("file", "hdfs", "s3", "gs")
+#: Tasks that scan a listing, or eight a core if that is more.
+SCANS = 256
 
 
 def listing(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """``path``, ``size``, ``modified`` (null for empty files) of every file; contents aren't read.
 
-    Spark's scan leaves out empty files, so those come from its list of the files' names, which the driver holds in any case.
+    Spark's scan leaves out empty files, so those come from its list of the files' names, which the driver holds in any case. Files are
+    scanned once, by a bounded number of tasks: by itself Spark starts one for some thirty files, and each task reports to the driver.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
-    rows = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    names = spark.createDataFrame([(unquote(name),) for name in found.inputFiles()], "path string")
-    same = F.regexp_replace("path", r"^([a-z0-9]+):/+", "$1:/")  # one slash or three
-    empty = names.withColumn("_same", same).join(rows.select(same.alias("_same")), "_same", "left_anti")
-    return rows.unionByName(empty.select("path", F.lit(0).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified")))
+    rows = found.select(F.col("path").alias("_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    rows = rows.coalesce(max(SCANS, 8 * spark.sparkContext.defaultParallelism))
+    names = spark.createDataFrame([(unquote(name),) for name in found.inputFiles()], "_name string")
+    same = lambda path: F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/").alias("_same")  # noqa: E731  one slash or three
+    every = rows.select("*", same("_path")).unionByName(names.select("*", same("_name")), allowMissingColumns=True)
+    told = every.groupBy("_same").agg(F.coalesce(F.max("_path"), F.max("_name")).alias("path"), F.coalesce(F.max("size"), F.lit(0)).alias("size"), F.max("modified").alias("modified"))
+    return told.drop("_same")
 
 
 def read_ranges(files: DataFrame, take: Callable, schema: str) -> DataFrame:
@@ -62,8 +67,8 @@ def read_ranges(files: DataFrame, take: Callable, schema: str) -> DataFrame:
 
 def readable(files: DataFrame) -> bool:
     """Whether tasks can read ranges of the files by themselves; else only Spark's readers reach them."""
-    first = files.select("path").first()
-    return first is None or ":" not in first["path"] or first["path"].split(":")[0] in SCHEMES
+    first = next(iter(files.inputFiles()), "")  # known without a scan
+    return ":" not in first or first.split(":")[0] in SCHEMES
 
 
 def _header(read: Callable, size: int) -> tuple:

@@ -163,3 +163,14 @@ def test_documents_of_odd_tiles(spark):
     assert docs["e"] is None and len(json.loads(docs["d"])["root"]["children"]) == 1 and json.loads(docs["f"])["root"]["children"][0]["content"]["uri"] == "f1.pnts"
     read = payloads.read_tile_documents(spark.createDataFrame(list(docs.items()), "doc string, json string"))
     assert {(r["doc"], r["problem"]) for r in read.where(F.col("problem").isNotNull()).collect()} == {("e", "null")}
+
+
+def test_listing_scans_files_once_in_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    for k in range(100):
+        (tmp_path / f"{k} %.txt").write_bytes(b"x" * (k % 3))
+    monkeypatch.setattr(ranges, "SCANS", 1)
+    limit = 8 * spark.sparkContext.defaultParallelism
+    listed = ranges.listing(spark, f"file://{tmp_path}")
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and f"Repartition {limit}, false" in plan
+    assert ranges.readable(listed) and sorted((r["path"].rsplit("/", 1)[1], r["size"], r["modified"] is None) for r in listed.collect()) == sorted((f"{k} %.txt", k % 3, k % 3 == 0) for k in range(100))
