@@ -143,7 +143,8 @@ def metadata_byte_delta(spark, sf):
 def variant_parity(spark, sf):
     """Documents with and without diagnostics refer to the same contents; the second variant then loses some and gains others."""
     first, second = (pay.read_tile_documents(_documents(spark, sf, with_)) for with_ in (True, False))
-    changed = second.where(~c("uri").rlike(r"3\.pnts$")).unionByName(second.where(c("uri").rlike(r"1\.pnts$")).withColumn("uri", F.concat(F.lit("new/"), "uri")))
+    kept, more = F.when(~c("uri").rlike(r"3\.pnts$"), c("uri")), F.when(c("uri").rlike(r"1\.pnts$"), F.concat(F.lit("new/"), "uri"))
+    changed = second.select(F.explode(F.array_compact(F.array(kept, more))).alias("uri"))
     return pay.variant_parity(first, changed)
 
 

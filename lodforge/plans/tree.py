@@ -124,7 +124,7 @@ _ALL = " UNION ALL ".join(f"SELECT * FROM u{d}" for d in range(PROFILE.depth + 1
 
 
 def _rolled(spark, sf):
-    return tree.subtree_rollup(_nodes(spark, sf), PROFILE)
+    return once(spark, ("rolled", sf), lambda: tree.subtree_rollup(_nodes(spark, sf), PROFILE))
 
 
 @r.query(f"SELECT ix, iy, path, kind, round(error,6) AS error, {', '.join(f'round(sub_{n}_{k},6) AS sub_{n}_{k}' for n in ('min', 'max') for k in 'xyz')} FROM ({_ALL})", _ROLLUP)

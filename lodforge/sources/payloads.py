@@ -219,6 +219,10 @@ def metadata_maps(nodes: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def variant_parity(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``uri``, ``side`` of content that only one of two variants' tiles (uri) refers to, repeats counted; no rows if they match."""
-    only = lambda x, y, side: x.select("uri").where("uri is not null").exceptAll(y.select("uri").where("uri is not null")).withColumn("side", F.lit(side))
-    return only(a, b, "first").unionByName(only(b, a, "second"))
+    """``uri``, ``side`` of content that only one of two variants' tiles (uri) refers to, repeats counted; no rows if they match. Each variant is read once."""
+    both = a.select("uri", F.lit(1).alias("_n")).unionByName(b.select("uri", F.lit(-1).alias("_n")))
+    left = both.where("uri is not null").groupBy("uri").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    block = 10_000  # repeats go in blocks, so that no array grows with them
+    rows = left.select("uri", F.when(F.col("_n") > 0, "first").otherwise("second").alias("side"), F.abs("_n").alias("_n"))
+    rows = rows.withColumn("_b", F.explode(F.expr(f"sequence(0L, (_n - 1) div {block})")))
+    return rows.withColumn("_k", F.explode(F.expr(f"sequence(1L, least({block}L, _n - _b * {block}))"))).select("uri", "side")

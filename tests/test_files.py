@@ -174,3 +174,24 @@ def test_listing_scans_files_once_in_a_bounded_number_of_tasks(spark, tmp_path,
     plan = listed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Join" not in plan and f"Repartition {limit}, false" in plan
     assert ranges.readable(listed) and sorted((r["path"].rsplit("/", 1)[1], r["size"], r["modified"] is None) for r in listed.collect()) == sorted((f"{k} %.txt", k % 3, k % 3 == 0) for k in range(100))
+
+
+def test_variants_are_read_once_and_repeats_are_counted(spark):
+    """As many rows as one side has more, over a block of repeats too, and each variant comes once in the plan."""
+    one = spark.range(25_003).select(F.lit("many").alias("uri")).unionByName(spark.createDataFrame([("both",), ("both",), (None,)], "uri string"))
+    two = spark.createDataFrame([("both",), ("many",), ("new",), ("new",), (None,), (None,)], "uri string")
+    found = payloads.variant_parity(one, two)
+    told = {(r["uri"], r["side"]): r["count"] for r in found.groupBy("uri", "side").count().collect()}
+    assert told == {("many", "first"): 25_002, ("both", "first"): 1, ("new", "second"): 2}
+    assert payloads.variant_parity(two, two).count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("Aggregate") == 1
+
+
+def test_documents_are_built_once_a_variant(spark, small):
+    from lodforge.plans import payloads as queries
+    from lodforge.plans import tree as nodes
+
+    plan = queries.variant_parity(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 2
+    assert nodes._rolled(spark, small).inputFiles() == nodes._rolled(spark, small).inputFiles()
