@@ -98,3 +98,28 @@ def test_parts_differ_between_tables(spark):
     for src, dst in neighbours.first_neighbours(nodes, 4000).select("src", "dst").distinct().toPandas().itertuples(index=False):
         met[top(src)] = top(dst)
     assert len({top(i) for i in range(4000)}) <= 2
+
+
+def test_shuffled_rows_are_few_for_the_pairs_compared(spark):
+    x = np.random.default_rng(8).normal(size=(4000, 16))
+    vectors = neighbours.materialize(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vectors")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+
+    def stages():
+        found = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = stages()
+    found = neighbours.nearest(vectors, neighbours.F.col("vec_id") % 50 == 0).collect()
+    assert len(found) == 400
+    assert sum(n for k, n in stages().items() if k not in before) < 1_000_000
+
+
+def test_rankings_of_keys_in_order():
+    source = np.random.default_rng(9)
+    for n in (0, 1, 3000):
+        key, score = neighbours._once(neighbours._pairs(source.integers(0, 20, n), source.integers(0, 99, n)), source.integers(0, 9, n) / 9)
+        order = np.lexsort((key, -score, key >> 32))
+        own = key[order] >> 32
+        assert list(neighbours._ranked(key, score, 7)) == list(order[np.arange(len(own)) - np.searchsorted(own, own) < 7])
+        assert list(neighbours._distinct(key >> 32)) == sorted(set((key >> 32).tolist()))
