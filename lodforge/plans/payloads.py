@@ -44,7 +44,7 @@ def _files(spark, rows, **more):
     """Rows written as files, and those files as Spark lists them, with ``uri`` under the root."""
     root = f"{folder(spark)}/files"
     filetree.write_files(rows, root, **more)
-    return ranges.listing(spark, root, recursive=True).withColumn("uri", F.regexp_extract("path", r"/files/(.*)$", 1))
+    return ranges.every_file(spark, root, recursive=True).withColumn("uri", F.regexp_extract("path", r"/files/(.*)$", 1))
 
 
 @r.query(f"SELECT {_URI} AS uri, emitted AS points, true AS whole FROM nodes", tp._TREE)
@@ -159,18 +159,20 @@ def report_source(spark, sf):
 
 
 _TABLES = "/{lineitem,events}*.parquet"
+#: Folders of written texts, so that tasks share their listing.
+FOLDERS = 1024
 
 
 @r.query("""SELECT name, size, sha256, bytes_read, sha256(concat('[', string_agg(concat('{"name":"', name, '","size":', size, ',"sha256":"', sha256, '"}'), ',' ORDER BY name) OVER (), ']')) AS dataset, substr(sha256(concat('[', string_agg(concat('{"name":"', name, '","size":', size, ',"sha256":"', sha256, '"}'), ',' ORDER BY name) OVER (), ']')), 1, 16) AS salt
   FROM (SELECT concat(doc_id, '.txt') AS name, CAST(strlen(body) AS BIGINT) AS size, sha256(substr(body, 1, 1048576)) AS sha256, least(CAST(strlen(body) AS BIGINT), 1048576) AS bytes_read FROM (SELECT doc_id, repeat(coalesce(text, ''), CASE WHEN doc_id = 0 THEN 4000 ELSE 1 END) AS body FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM documents)))""", "none AS (SELECT 1)")
 def source_fingerprint(spark, sf):
-    """Texts written as files, one of them far over a MiB, of which only the first MiB is read."""
+    """Texts written as files in folders by a hash, one of them far over a MiB, of which only the first MiB is read."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")
     body = F.when(c("doc_id") == 0, F.repeat(text, F.lit(4000))).otherwise(text)
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat("doc_id", F.lit(".txt")).alias("uri"), body.cast("binary").alias("payload"))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)), F.lit("/"), "doc_id", F.lit(".txt")).alias("uri"), body.cast("binary").alias("payload"))
     root = f"{folder(spark)}/files"
     filetree.write_files(rows, root)
-    return files.fingerprints(spark, root).drop("modified")
+    return files.fingerprints(spark, root, recursive=True).drop("modified")
 
 
 @r.query(None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +15,37 @@ from . import ranges
 MIB = 1 << 20
 
 
-def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _dataset(ledger: DataFrame) -> DataFrame:
+    """``dataset``: SHA-256 of the files as a JSON list in name order. As a hash takes its text in order, one task streams it; what it sorts is spilled."""
+
+    def run(batches):
+        told, between = hashlib.sha256(b"["), b""
+        for batch in batches:
+            for text in batch["text"]:
+                told.update(between + text.encode())
+                between = b","
+        told.update(b"]")
+        yield pd.DataFrame({"dataset": [told.hexdigest()]})
+
+    keys = ["name", "size", "sha256"]
+    ordered = ledger.select(*keys).repartition(1).sortWithinPartitions(*keys)
+    return ordered.select(F.to_json(F.struct(*keys)).alias("text")).mapInPandas(run, "dataset string")
+
+
+def fingerprints(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """``name``, ``size``, ``modified``, ``sha256`` (of the first MiB), ``bytes_read`` of every file, with ``dataset`` (hash over the files in name order) and ``salt`` (its first 16 digits).
 
     A task reads a file's first MiB only, so files may have any size. In a store that only Spark's readers reach, files are read whole.
-    What meets in one task is one hash a file.
+    Folders are listed by tasks, and the hash over all files is streamed, so neither the driver nor a task holds all names.
     """
-    found = ranges.listing(spark, paths)
-    if ranges.readable(found):
+    found = ranges.every_file(spark, paths, recursive)
+    if ranges.reachable(spark, paths) is not None or ranges.readable(found):
         hashed = ranges.read_ranges(found, lambda read, size: (hashlib.sha256(read(0, MIB)).hexdigest(),), "sha256 string")
     else:
-        whole = spark.read.format("binaryFile").load(paths)
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
         hashed = whole.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2(F.substring("content", 1, MIB), 256).alias("sha256"), F.col("length").alias("bytes_read"))
     ledger = written(hashed.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "modified", "sha256", "bytes_read"), "fingerprints")
-    dataset = ledger.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "size", "sha256")))), 256).alias("dataset"))  # one row
-    return ledger.crossJoin(F.broadcast(dataset)).withColumn("salt", F.substring("dataset", 1, 16))
+    return ledger.crossJoin(F.broadcast(_dataset(ledger))).withColumn("salt", F.substring("dataset", 1, 16))
 
 
 def crs_name(metadata: Column) -> Column:

@@ -3,12 +3,15 @@
 Each task writes its files under a staging folder beside the target. When all have ended, the commit takes over a staged file for each
 uri that a successful task names, entries last, so a reader never finds a document that refers to files not there yet; a whole
 replacement swaps folders, which takes one rename. A task that dies leaves its files in the staging folder, which commit and abort delete.
+A task names its files to the driver in a list beside them, which the commit reads line by line, so the driver holds few names however many there are.
 
 Paths are those pyarrow can write (local or shared folders, HDFS, object stores).
 """
 
 from __future__ import annotations
 
+import io
+import json
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -21,6 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 FORMAT = "lodforge_files"
+#: Names of files that a task tells the driver by itself; further ones stand in its list.
+TOLD = 1000
+#: Folders that a writer remembers to have made.
+MADE = 100_000
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -40,6 +47,7 @@ def _plain(uri: str) -> str:
 class Staged(WriterCommitMessage):
     folder: str
     names: list[str]
+    listed: bool = False
 
 
 class FileTreeWriter(DataSourceWriter):
@@ -54,43 +62,77 @@ class FileTreeWriter(DataSourceWriter):
         files, root = place(self.staging)
         context = TaskContext.get()
         folder = f"{context.partitionId()}-{context.taskAttemptId()}"
-        names, made = [], {root}
+        names, made, more = {}, {root}, None
 
         def within(above: str) -> None:
             """Makes a folder below the staging folder, but never that one again once it has been dropped."""
             if above not in made:
                 within(posixpath.dirname(above))
                 files.create_dir(above, recursive=False)
+                if len(made) > MADE:
+                    made.intersection_update({root})
                 made.add(above)
 
-        for row in rows:
-            name = _plain(row[self.uri])
-            full = f"{root}/{folder}/{name}"
-            within(posixpath.dirname(full))
-            with files.open_output_stream(full) as out:
-                out.write(bytes(row[self.payload] or b""))
-            names.append(name)
-        return Staged(folder, names)
+        try:
+            for row in rows:
+                name = _plain(row[self.uri])
+                full = f"{root}/{folder}/{name}"
+                again = name in names or (len(names) == TOLD and files.get_file_info(full).type != fs.FileType.NotFound)
+                within(posixpath.dirname(full))
+                with files.open_output_stream(full) as out:
+                    out.write(bytes(row[self.payload] or b""))
+                if len(names) < TOLD:
+                    names[name] = None
+                elif not again:
+                    more = more or files.open_output_stream(f"{root}/{folder}.names")
+                    more.write(f"{json.dumps(name)}\n".encode())
+        finally:
+            if more:
+                more.close()
+        return Staged(folder, list(names), more is not None)
 
     def commit(self, messages: list[Staged | None]) -> None:
         files, root = place(self.staging)
         _, target = place(self.path)
-        staged = {name: f"{root}/{m.folder}/{name}" for m in messages if m for name in m.names}
-        moves = sorted(((source, name) for name, source in staged.items()), key=lambda move: move[1] == self.last)
-        into = f"{root}/whole" if self.overwrite else target
-        made = set()
+        into, made, last = f"{root}/whole" if self.overwrite else target, set(), None
         files.create_dir(into, recursive=True)
-        for source, name in moves:
+
+        def move(source: str, name: str) -> None:
             if (above := posixpath.dirname(f"{into}/{name}")) not in made:
                 files.create_dir(above, recursive=True)
+                if len(made) > MADE:
+                    made.clear()
                 made.add(above)
-            files.move(source, f"{into}/{name}")
+            try:
+                files.move(source, f"{into}/{name}")
+            except OSError:  # stores that never move a file onto another
+                if files.get_file_info(f"{into}/{name}").type != fs.FileType.File:
+                    raise
+                files.delete_file(f"{into}/{name}")
+                files.move(source, f"{into}/{name}")
+
+        for m in messages:
+            for name in self._names(files, root, m) if m else ():
+                source = f"{root}/{m.folder}/{name}"
+                if name == self.last:
+                    last = source
+                else:
+                    move(source, name)
+        if last:
+            move(last, self.last)
         if self.overwrite:
             if files.get_file_info(target).type != fs.FileType.NotFound:
                 files.move(target, f"{root}/before")
             files.move(into, target)
         self._drop(files, root)
 
+    @staticmethod
+    def _names(files: fs.FileSystem, root: str, m: Staged) -> Iterator[str]:
+        yield from m.names
+        if m.listed:
+            with io.TextIOWrapper(files.open_input_stream(f"{root}/{m.folder}.names"), "utf-8") as lines:
+                yield from map(json.loads, lines)
+
     def abort(self, messages: list[Staged | None]) -> None:
         self._drop(*place(self.staging))
 

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodforge.operators.work import written
+
 from .filetree import place
 from .payloads import HEADER, MAGIC, TABLE, feature_table
 
@@ -17,6 +23,8 @@ from .payloads import HEADER, MAGIC, TABLE, feature_table
 SCHEMES = ("file", "hdfs", "s3", "gs")
 #: Tasks that scan a listing, or eight a core if that is more.
 SCANS = 256
+#: Files that a task lists at once.
+LISTED = 10_000
 
 
 def listing(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
@@ -35,6 +43,81 @@ def listing(spark: SparkSession, paths: str | list[str], recursive: bool = False
     return told.drop("_same")
 
 
+def _entries(top: str) -> Iterator[tuple[str, int, float, bool]]:
+    """Path, size, time and whether it is a folder, of what lies in a folder or of a file itself; what Spark's readers take for hidden is left out."""
+    system, root = place(top)
+    seen = lambda name: not name.startswith((".", "_")) and not name.endswith("._COPYING_")
+    if isinstance(system, fs.LocalFileSystem):  # one entry at a time, other stores give a folder's entries as one list
+        if os.path.isdir(root):
+            with os.scandir(root) as entries:
+                for e in entries:
+                    if seen(e.name):
+                        told = e.stat()
+                        yield f"{root}/{e.name}", told.st_size, told.st_mtime, e.is_dir()
+        else:
+            told = os.stat(root)
+            yield root, told.st_size, told.st_mtime, False
+        return
+    own = system.get_file_info(root)
+    lead = top[: len(top) - len(root)] if top.endswith(root) else top.split("://")[0] + "://"
+    for e in system.get_file_info(fs.FileSelector(root)) if own.type == fs.FileType.Directory else [own]:
+        if e is own or seen(e.base_name):
+            yield lead + e.path, e.size or 0, e.mtime.timestamp() if e.mtime else 0.0, e.type == fs.FileType.Directory
+
+
+def walked(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+    """``path``, ``size``, ``modified`` of every file in folders, as ``listing`` gives them, but listed by tasks, a folder each.
+
+    The driver holds no file's name. Folders below go round by round through a written table, dealt to four tasks a core.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list) -> pd.DataFrame:
+            told = pd.DataFrame(rows, columns=["path", "size", "modified", "folder"])
+            return told.assign(modified=pd.to_datetime(told["modified"], unit="s", utc=True).dt.floor("us"))
+
+        rows = []
+        for batch in batches:
+            for top in batch["path"]:
+                for entry in _entries(top):
+                    rows.append(entry)
+                    if len(rows) >= LISTED:
+                        yield frame(rows)
+                        rows = []
+        if rows:
+            yield frame(rows)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    now, found = spark.createDataFrame([(p,) for p in paths], "path string"), []
+    while True:
+        told = written(now.repartition(tasks, "path").mapInPandas(look, "path string, size long, modified timestamp, folder boolean"), "walked")
+        found.append(told.where("not folder").drop("folder"))
+        now = told.where("folder").select("path")
+        if not recursive or now.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+def reachable(spark: SparkSession, paths: str | list[str]) -> list[str] | None:
+    """``paths`` in full if tasks can list and read them by themselves; None if one is a pattern or lies in a store that only Spark's readers reach."""
+    told = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        full = system.makeQualified(where).toString()
+        if re.search(r"[*?{}\[\]\\]", path) or full.split(":")[0] not in SCHEMES:
+            return None
+        if not system.exists(where):
+            raise FileNotFoundError(path)
+        told.append(re.sub("^file:/+", "/", full))
+    return told
+
+
+def every_file(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """Files by ``walked`` where tasks can, else by ``listing``."""
+    told = reachable(spark, paths)
+    return listing(spark, paths, recursive) if told is None else walked(spark, told, recursive)
+
+
 def read_ranges(files: DataFrame, take: Callable, schema: str) -> DataFrame:
     """``files`` (path and other columns) with the columns of ``schema`` that ``take(read, size)`` gives, and ``bytes_read``.
 
@@ -62,7 +145,7 @@ def read_ranges(files: DataFrame, take: Callable, schema: str) -> DataFrame:
             yield pd.concat([batch.reset_index(drop=True), found], axis=1)
 
     columns = ", ".join(f"`{n}` {t}" for n, t in files.dtypes)
-    return files.repartition("path").mapInPandas(run, f"{columns}, {schema}, bytes_read long")
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path").mapInPandas(run, f"{columns}, {schema}, bytes_read long")
 
 
 def readable(files: DataFrame) -> bool:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import struct
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -195,3 +196,31 @@ def test_documents_are_built_once_a_variant(spark, small):
     plan = queries.variant_parity(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 2
     assert nodes._rolled(spark, small).inputFiles() == nodes._rolled(spark, small).inputFiles()
+
+
+def test_names_of_files_do_not_meet_in_the_driver(spark, monkeypatch):
+    """Messages of tasks hold few names, and the plan of the fingerprints none."""
+    path = f"{folder(spark)}/tree"
+    rows = [(f"{k % 7}/{k} %.txt", str(k).encode()) for k in range(6000)]
+    writer = filetree.FileTreeWriter({"path": path}, True, ["uri", "payload"])
+    monkeypatch.setattr(filetree.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0))
+    message = writer.write(iter([*rows, *rows[:5], *rows[-5:]]))
+    assert len(message.names) <= 1000
+    writer.commit([message])
+    monkeypatch.undo()
+    assert tree(path) == dict(rows) and os.listdir(os.path.dirname(local(path))) == ["tree"]
+    filetree.write_files(table(spark, rows).repartition(2).union(table(spark, rows[:5])), path)
+    assert tree(path) == dict(rows)
+    for name in ("_hidden", "1/.hidden"):
+        open(f"{local(path)}/{name}", "wb").close()
+    open(f"{local(path)}/1/empty", "wb").close()
+    found = files.fingerprints(spark, path, recursive=True)
+    assert "4999 %.txt" not in found._jdf.queryExecution().toString() and len(found.inputFiles()) < 200
+    got = {r["name"]: (r["size"], r["sha256"]) for r in found.collect()}
+    expected = {f"{k} %.txt": (len(str(k)), hashlib.sha256(str(k).encode()).hexdigest()) for k in range(6000)} | {"empty": (0, hashlib.sha256().hexdigest())}
+    assert got == expected
+    whole = json.dumps([{"name": n, "size": s, "sha256": h} for n, (s, h) in sorted(expected.items())], separators=(",", ":"))
+    assert {r["dataset"] for r in found.select("dataset").distinct().collect()} == {hashlib.sha256(whole.encode()).hexdigest()}
+    assert {r["name"] for r in files.fingerprints(spark, path).collect()} == set()
+    with pytest.raises(FileNotFoundError):
+        ranges.every_file(spark, f"{path}/none")
