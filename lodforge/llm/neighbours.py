@@ -414,6 +414,14 @@ def neighbour_graph(nodes: DataFrame, held: DataFrame, count: int, buckets: int,
             return graph
 
 
+def _place(number: np.ndarray, buckets: int) -> np.ndarray:
+    """Places of nodes in their buckets, in two bytes instead of a number's four: buckets hold ``BUCKET`` nodes on average."""
+    place = number // buckets
+    if len(place) and place.max() >= 1 << 16:
+        raise ValueError("a bucket holds over 65,536 nodes")
+    return place.astype("<u2")
+
+
 def _slices(asked: np.ndarray, pairs: int) -> list[tuple[int, int]]:
     """Ranges of queries (in order) that take a few million of ``pairs`` each, so that a task never compares all at once."""
     count = min(len(asked), 1 + pairs // (40 * PART))
@@ -469,10 +477,10 @@ def search(seeds: DataFrame, held: DataFrame, graph: DataFrame, buckets: int, ki
             size = (end - begin)[k : k + PART]
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[k : k + PART], size)
             key = _distinct(_pairs(np.repeat(q[k : k + PART], size), member[place]))
-            yield _post("reached", (key & _LOW) % buckets, (key >> 32).astype("<i4"), (key & _LOW).astype("<i4"))
+            yield _post("reached", (key & _LOW) % buckets, (key >> 32).astype("<i4"), _place(key & _LOW, buckets))
 
-    def measure(_, mail):
-        q, node = _read(mail, "reached", "<i4", "<i4")
+    def measure(b, mail):
+        q, place = _read(mail, "reached", "<i4", "<u2")
         if not len(q):
             return
         x = _unit(_own(mail), kind)
@@ -481,19 +489,22 @@ def search(seeds: DataFrame, held: DataFrame, graph: DataFrame, buckets: int, ki
         asked, questions = asked[order], _unit(_rows(raw, len(asked)), kind)[order]
         for low, high in _slices(asked, len(q)):
             inside = (q >= low) & (q <= high)
-            key = _distinct(_pairs(q[inside], node[inside]))
+            key = _distinct(_pairs(q[inside], place[inside]))
             own, other = key >> 32, key & _LOW
             one, first = np.unique(own, return_index=True)
             score = np.empty(len(own))
             for at, begin, end in zip(np.searchsorted(asked, one), first, [*first[1:], len(own)], strict=True):
-                score[begin:end] = x[other[begin:end] // buckets] @ questions[at]
-            yield _post("scores", own % buckets, own.astype("<i4"), other.astype("<i4"), score)
+                score[begin:end] = x[other[begin:end]] @ questions[at]
+            yield _post(f"scores {b}", own % buckets, own.astype("<i4"), other.astype("<u2"), score)
 
     def best(size: int, turn: int):
         def run(b, mail):
             q, node, score, _, since, asked, raw = _read(mail, "pool", *_POOL)
             raw = _rows(raw, len(asked))
-            more, to, further = _read(mail, "scores", "<i4", "<i4", "<f8")
+            told = [(int(name.split()[1]), *_read(mail, name, "<i4", "<u2", "<f8")) for name in sorted(mail) if name.startswith("scores")]
+            more, further = (np.concatenate([np.empty(0, t), *(x[k] for x in told)]) for k, t in ((1, "<i4"), (3, "<f8")))
+            to = np.concatenate([np.empty(0, "<i4"), *(place.astype("<i4") * buckets + at for at, _, place, _ in told)])
+            del told
             for low, high in _slices(np.sort(asked), len(more)):
                 held, come, own = ((x >= low) & (x <= high) for x in (q, more, asked))
                 yield from settle(b, (q[held], node[held], score[held], since[held]), (more[come], to[come], further[come]), asked[own], raw[own])
